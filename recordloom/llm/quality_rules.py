@@ -118,7 +118,6 @@ RULES = (
     Rule("duplicate_lines", lambda m: m.lines[0] >= 4 and 10 * m.lines[1] > 3 * m.lines[0]),
     Rule("word_length", lambda m: not 2 * m.n_words <= m.word_chars <= 14 * m.n_words),
     Rule("shouting", lambda m: 5 * m.n_capitals > 2 * m.word_chars),
-    Rule("repeated_words", lambda m: 5 * m.n_repeat_words > m.n_words),
     Rule("top_word", lambda m: m.n_words >= 20 and 4 * m.top_word > m.n_words),
 )
 
@@ -191,6 +190,6 @@ m AS (SELECT g.doc_id, n AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]',
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 20 * n_symbols > n_words OR (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)
-    OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 5 * n_capitals > 2 * word_chars OR 5 * n_repeat_words > n_words OR (n_words >= 20 AND 4 * top_word > n_words)) AS kept
+    OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 5 * n_capitals > 2 * word_chars OR (n_words >= 20 AND 4 * top_word > n_words)) AS kept
 FROM m
 """
