@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A worker remembers between so many chunks and twice as many from slice to slice; the longest of them in characters.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 class ChunkTable:
@@ -60,6 +60,7 @@ class ChunkTable:
         parts = pc.split_pattern(texts, " ")
         n = np.diff(parts.offsets.to_numpy())
         coded = parts.flatten().dictionary_encode()
+        del parts
         at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         starts = np.cumsum(n) - n
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -69,7 +70,7 @@ class ChunkTable:
         index = {}
         keys: list[str] = []
 
-        def of(key: str) -> int:
+        def of(key: str, index=index, keys=keys) -> int:
             i = index.get(key)
             if i is None:
                 i = index[key] = len(keys)
@@ -82,8 +83,9 @@ class ChunkTable:
         if self.first != " ":
             inner[starts] = False
         used[at[inner]] = True
-        code = np.full(len(words), -1, np.int64)
+        code = np.full(len(words), -1, np.int32)
         kept = np.flatnonzero(used)
+        del inner, coded
         keys += [" " + words[i] for i in kept.tolist()]
         code[kept] = np.arange(len(kept))
         if odd.any() or self.first != " ":
@@ -96,19 +98,22 @@ class ChunkTable:
             pieces = []
             for i, (a, k) in enumerate(zip(starts.tolist(), n.tolist(), strict=True)):
                 if empty[i]:
-                    pieces.append(np.zeros(0, np.int64))
+                    pieces.append(np.zeros(0, np.int32))
                 elif odd[i]:
-                    pieces.append(np.array([of(x) for x in self.cut(texts[i].as_py())], np.int64))
+                    pieces.append(np.array([of(x) for x in self.cut(texts[i].as_py())], np.int32))
                 else:
                     pieces.append(seq[a : a + k])
             n = np.array([len(x) for x in pieces], np.int64)
             seq = np.concatenate(pieces) if pieces else seq
+        del at, words, index
         flat, begin, length = self.table(keys)
+        del keys
         sizes = length[seq]
         ends = np.cumsum(sizes)
-        at = np.repeat((begin[seq] - (ends - sizes)).astype(np.int32), sizes)
-        at += np.arange(len(at), dtype=np.int32)
-        ids = flat[at]
+        place = np.repeat((begin[seq] - (ends - sizes)).astype(np.int32), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place]
+        pa.default_memory_pool().release_unused()
         return ids, np.concatenate([[0], np.append(0, ends)[np.cumsum(n)]]).astype(np.int64)
 
 

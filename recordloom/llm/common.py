@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many bytes, which bounds a Python worker's memory.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
