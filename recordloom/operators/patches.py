@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
@@ -40,13 +41,17 @@ def patched(source: bytes, patch: bytes) -> bytes:
     return "".join(new + old[done:]).encode()
 
 
-@F.pandas_udf("struct<content: binary, error: string>")
-def apply_patch(source: pd.Series, patch: pd.Series) -> pd.DataFrame:
+def apply_patch(source: str, patch: str) -> Column:
     """content, or the error for which there is none; null for a null source or patch."""
-    out = []
-    for a, b in zip(source, patch, strict=True):
-        try:
-            out.append((patched(bytes(a), bytes(b)), None) if a is not None and b is not None else (None, None))
-        except ValueError as error:
-            out.append((None, str(error)))
-    return pd.DataFrame(out, columns=["content", "error"])
+
+    @F.pandas_udf("struct<content: binary, error: string>")
+    def apply(source: pd.Series, patch: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(source, patch, strict=True):
+            try:
+                out.append((patched(bytes(a), bytes(b)), None) if a is not None and b is not None else (None, None))
+            except ValueError as error:
+                out.append((None, str(error)))
+        return pd.DataFrame(out, columns=["content", "error"])
+
+    return apply(source, patch)

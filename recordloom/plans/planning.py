@@ -111,7 +111,8 @@ def allocate(items: DataFrame, used: DataFrame) -> DataFrame:
             out.append(own)
         return rows.assign(item_id=out)
 
-    return items.groupBy("repo_id").cogroup(used.select("repo_id", "id").groupBy("repo_id")).applyInPandas(place, f"{schema}, item_id string")
+    taken = used.select(F.col("repo_id").alias("_repo"), "id")  # by another name, for both sides may stem from one table
+    return items.groupBy("repo_id").cogroup(taken.groupBy("_repo")).applyInPandas(place, f"{schema}, item_id string")
 
 
 def planned(r: Records, issues: DataFrame | None = None) -> DataFrame:
