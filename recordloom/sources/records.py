@@ -22,12 +22,20 @@ class Records:
     """
 
     def __init__(self, tree: DataFrame, tracked: DataFrame | None = None, keep: bool = True):
-        self.tree = tree.persist() if keep else tree
-        self.keep = keep
+        self.keep, self._held = keep, []
+        self.tree = self.kept(tree)
         self.tracked = tracked if tracked is not None else tree.sparkSession.createDataFrame([], "repo_id string, path string")
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        return df.persist() if self.keep else df
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df, held in memory or on disk once it is asked for, until release()."""
+        if self.keep:
+            self._held.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Lets go of all that is kept."""
+        while self._held:
+            self._held.pop().unpersist()
 
     def _json(self, files: DataFrame, schema: str) -> DataFrame:
         """repo_id, path, parent, name, text, keys (null if the file isn't a JSON object) and data."""
@@ -53,7 +61,7 @@ class Records:
         order = F.struct(F.array_position(F.array(*map(F.lit, model.STATUSES)), status).alias("s"), F.col("path").alias("p"))
         missing = F.sort_array(F.array_except(F.array(*map(F.lit, model.WORK_FIELDS)), "keys"))
         out = own.select("*", status.alias("dir_status"), t.name("parent").alias("dir_name"), order.alias("ord"), missing.alias("missing"), F.coalesce("data.id", F.lit("")).alias("id"), F.coalesce("data.status", F.lit("")).alias("status"))
-        return self._kept(out)
+        return self.kept(out)
 
     @cached_property
     def broken(self) -> DataFrame:
@@ -64,31 +72,31 @@ class Records:
     @cached_property
     def items(self) -> DataFrame:
         """Manifests of repositories whose work can be read."""
-        return self._kept(self.work.join(self.broken.select("repo_id"), "repo_id", "left_anti"))
+        return self.kept(self.work.join(self.broken.select("repo_id"), "repo_id", "left_anti"))
 
     @cached_property
     def known_work(self) -> DataFrame:
         """repo_id, id and path of valid ids, at their first manifest; manifests that lack fields aren't among them."""
         sound = self.items.where((F.size("missing") == 0) & F.col("id").rlike(r"^[0-9]{3,}\z"))
-        return self._kept(sound.groupBy("repo_id", "id").agg(F.min_by("path", "ord").alias("path")))
+        return self.kept(sound.groupBy("repo_id", "id").agg(F.min_by("path", "ord").alias("path")))
 
     @cached_property
     def criteria(self) -> DataFrame:
         """One row for each criterion of a complete manifest, with pos from 0."""
         rows = self.items.where(F.size("missing") == 0).select("repo_id", "path", "parent", "ord", "status", F.col("id").alias("item"), F.col("data.provenance").alias("item_provenance"), F.posexplode("data.acceptance_criteria").alias("pos", "c"))
         linked = F.coalesce("c.evidence", F.array().cast("array<string>"))
-        return self._kept(rows.select("*", F.coalesce("c.id", F.lit("")).alias("id"), F.col("c.state").alias("state"), F.col("c.provenance").alias("provenance"), linked.alias("linked")).drop("c"))
+        return self.kept(rows.select("*", F.coalesce("c.id", F.lit("")).alias("id"), F.col("c.state").alias("state"), F.col("c.provenance").alias("provenance"), linked.alias("linked")).drop("c"))
 
     @cached_property
     def edges(self) -> DataFrame:
         """repo_id, path, src, dst, pos and src_ord of dependencies of all manifests."""
-        return self._kept(self.items.select("repo_id", "path", F.col("id").alias("src"), "status", F.col("ord").alias("src_ord"), F.posexplode("data.depends_on").alias("pos", "dst")))
+        return self.kept(self.items.select("repo_id", "path", F.col("id").alias("src"), "status", F.col("ord").alias("src_ord"), F.posexplode("data.depends_on").alias("pos", "dst")))
 
     @cached_property
     def evidence(self) -> DataFrame:
         found = self.files.where(F.col("path").rlike(r"^evidence/runs/[^/]+\.json\z"))
         missing = F.sort_array(F.array_except(F.array(*map(F.lit, model.EVIDENCE_FIELDS)), "keys"))
-        return self._kept(self._json(found, model.EVIDENCE).select("*", missing.alias("missing"), F.coalesce("data.id", F.lit("")).alias("id")))
+        return self.kept(self._json(found, model.EVIDENCE).select("*", missing.alias("missing"), F.coalesce("data.id", F.lit("")).alias("id")))
 
     @cached_property
     def evidence_provenance(self) -> DataFrame:
@@ -98,7 +106,7 @@ class Records:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return self._kept(self._json(self.files.where(F.col("path").rlike(r"^audits/findings/[^/]+\.json\z")), model.FINDING))
+        return self.kept(self._json(self.files.where(F.col("path").rlike(r"^audits/findings/[^/]+\.json\z")), model.FINDING))
 
     @cached_property
     def invariants(self) -> DataFrame:
@@ -110,16 +118,16 @@ class Records:
 
     @cached_property
     def owners(self) -> DataFrame:
-        return self._kept(self._json(self.one("governance/owners.json"), model.OWNERS))
+        return self.kept(self._json(self.one("governance/owners.json"), model.OWNERS))
 
     @cached_property
     def scopes(self) -> DataFrame:
         """repo_id, scope (id), paths and pos."""
-        return self._kept(self.owners.select("repo_id", "path", F.posexplode("data.scopes").alias("pos", "s")).select("repo_id", "path", "pos", F.col("s.id").alias("scope"), F.col("s.paths").alias("paths"), F.col("s").isNull().alias("odd")))
+        return self.kept(self.owners.select("repo_id", "path", F.posexplode("data.scopes").alias("pos", "s")).select("repo_id", "path", "pos", F.col("s.id").alias("scope"), F.col("s.paths").alias("paths"), F.col("s").isNull().alias("odd")))
 
     @cached_property
     def registry(self) -> DataFrame:
-        return self._kept(self._json(self.one("audits/registry.json"), model.REGISTRY))
+        return self.kept(self._json(self.one("audits/registry.json"), model.REGISTRY))
 
     @cached_property
     def audit_scopes(self) -> DataFrame:
@@ -144,11 +152,11 @@ class Records:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return self._kept(self.front("decisions"))
+        return self.kept(self.front("decisions"))
 
     @cached_property
     def policies(self) -> DataFrame:
-        return self._kept(self.front("governance/policies"))
+        return self.kept(self.front("governance/policies"))
 
     @cached_property
     def adopters(self) -> DataFrame:

@@ -203,3 +203,18 @@ def test_streaming(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows(spark.table("told"), "path", "message") == [("20260102-x.json", "evidence id must match filename"), ("bad.json", "expected a JSON object")]
+
+
+def test_cli(spark, tmp_path, capsys):
+    from recordloom import cli
+
+    for path, text in base().items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    at = ["--root", str(tmp_path), "--as-of", AS_OF]
+    assert cli.main(["dashboard", "--write", *at], spark) == 0
+    (tmp_path / "VERSION").write_text("odd\n")
+    assert cli.main(["validate", *at], spark) == 1 and "must be semantic" in capsys.readouterr().out
+    (tmp_path / "changed").write_text("governance/owners.json\n")
+    assert cli.main(["changed", "--changed", str(tmp_path / "changed"), *at], spark) == 1
+    assert cli.main(["next-id", *at], spark) == 0 and "work 002" in capsys.readouterr().out
