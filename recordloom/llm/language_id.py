@@ -6,7 +6,8 @@ sum of its words' logarithms. Piece probabilities are learned by expectation max
 texts: words are counted by language over the whole corpus, and each distinct word is worked on once in each round.
 
 A word is a run of letters, in lower case, behind a word marker; a longer one is cut every LONGEST letters. A letter
-that is no piece is an unknown piece. Arrays over words of one length hold the sums of all of them at once.
+that is no piece is an unknown piece. Arrays over words of one length hold the sums of all of them at once; substrings are
+told by 64-bit hashes.
 
 Cases: a null text, or one without a letter, has lang_pred `und` and score 0; so have all if no row can be learned
 from; equal scores go to the first language by name; rows with null lang or doc_id aren't learned from; repeated rows
@@ -15,6 +16,7 @@ count each; an empty table gives an empty one; other columns are ignored by pred
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -38,7 +40,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words(text: str) -> list[str]:
     own = _WORD.findall(text.lower())
-    if len(text) > LONGEST and any(len(w) > LONGEST for w in own):
+    if max(map(len, own), default=0) > LONGEST:
         own = [w[i : i + LONGEST] for w in own for i in range(0, len(w), LONGEST)]
     return own
 
@@ -56,40 +58,78 @@ def vocabulary(name: str = VOCABULARY) -> dict[str, int]:
     return {p: i + 1 for i, p in enumerate(sorted({p for p in own if p == p.lower() and re.fullmatch(r"▁?[^\W\d_]*", p) and p}))}
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Pieces:
+    """Pieces and their beginnings as sorted 64-bit hashes, so that whole columns of substrings are looked up at once."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.longest = max(map(len, ids), default=1)
+        own = dict.fromkeys((p[:k] for p in ids for k in range(1, len(p) + 1)), -1) | ids
+        size = self.longest
+        codes = np.zeros((len(own), size), np.uint64)
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        for row, p in enumerate(own):
+            codes[row, : len(p)] = [ord(c) for c in p]
+        h = np.zeros(len(own), np.uint64)
+        for k in range(size):
+            h = np.where(k < n, self.next(h, codes[:, k]), h)
+        order = np.argsort(h)
+        self.hashes, self.ids = h[order], np.fromiter(own.values(), np.int32, len(own))[order]
+
+    @staticmethod
+    def next(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The hash of a text with one more letter."""
+        return (h + code + np.uint64(1)) * _BASE
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece, -1 for the beginning of one, -2 for neither."""
+        if not len(self.hashes):
+            return np.full(len(h), -2, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.ids[at], np.int32(-2))
+
+
 class Lattices:
-    """Segmentations of words of one length: the piece between any two places, -1 for none."""
-
-    def __init__(self, own: list[str], pieces: dict[str, int], longest: int):
-        marked = ["▁" + w for w in own]
-        self.n = len(marked[0])
-        get = pieces.get
-        self.spans = []
-        for j in range(1, self.n + 1):
-            for i in range(max(0, j - longest), j):
-                ids = np.fromiter((get(w[i:j], -1) for w in marked), np.int32, len(marked))
-                if j == i + 1:
-                    ids[ids < 0] = 0
-                if (ids >= 0).any():
-                    self.spans.append((i, j, ids))
-
-    def forward(self, p: np.ndarray) -> list[np.ndarray]:
-        """For each place, the summed probability of all ways to it: words x languages. p: pieces x languages, 0 behind."""
-        at = [np.zeros((len(self.spans[0][2]), p.shape[1])) for _ in range(self.n + 1)]
+    """Segmentations of words of one length: for two places, the rows of words with a piece between them, and the pieces."""
+
+    def __init__(self, own: list[str], pieces: Pieces):
+        codes = np.frombuffer("".join("▁" + w for w in own).encode("utf-32-le"), np.uint32).reshape(len(own), -1).astype(np.uint64)
+        self.rows, self.n = codes.shape
+        self.spans: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for i in range(self.n):
+            alive, h = np.arange(self.rows), np.zeros(self.rows, np.uint64)
+            for j in range(i + 1, min(self.n, i + pieces.longest) + 1):
+                h = pieces.next(h, codes[alive, j - 1])
+                found = pieces.find(h)
+                if j == i + 1:  # one letter always is a piece, if only the unknown one
+                    self.spans.append((i, j, alive, np.maximum(found, 0)))
+                elif len(hit := np.flatnonzero(found >= 0)):
+                    self.spans.append((i, j, alive[hit], found[hit]))
+                on = found > -2
+                alive, h = alive[on], h[on]
+                if not len(alive):
+                    break
+
+    def forward(self, of, shape: tuple = ()) -> list[np.ndarray]:
+        """For each place, the summed probability of all ways to it; of(ids, rows) gives probabilities, `shape` for each word."""
+        at = [np.zeros((self.rows, *shape)) for _ in range(self.n + 1)]
         at[0] += 1
-        for i, j, ids in self.spans:
-            at[j] += at[i] * p[ids]
+        for i, j, rows, ids in self.spans:
+            at[j][rows] += at[i][rows] * of(ids, rows)
         return at
 
-    def expected(self, p: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
-        """Adds each piece's expected number, times the word's count, to out."""
-        ahead = self.forward(p)
-        back = [np.zeros_like(ahead[0]) for _ in ahead]
+    def expected(self, of, times: np.ndarray, add) -> None:
+        """add(ids, rows, numbers): each piece's expected number in each word, times the word's count."""
+        ahead = self.forward(of)
+        back = [np.zeros(self.rows) for _ in ahead]
         back[self.n] += 1
-        for i, j, ids in reversed(self.spans):
-            back[i] += p[ids] * back[j]
+        for i, j, rows, ids in reversed(self.spans):
+            back[i][rows] += of(ids, rows) * back[j][rows]
         share = times / np.maximum(ahead[self.n], 1e-300)
-        for i, j, ids in self.spans:
-            np.add.at(out, ids, ahead[i] * p[ids] * back[j] * share)
+        for i, j, rows, ids in self.spans:
+            add(ids, rows, ahead[i][rows] * of(ids, rows) * back[j][rows] * share[rows])
 
 
 def by_length(own: list[str]) -> dict[int, list[int]]:
@@ -101,14 +141,11 @@ def by_length(own: list[str]) -> dict[int, list[int]]:
 
 @dataclass
 class Model:
-    """langs in order, and p: (pieces + 1) x langs, the last row 0 for no piece."""
+    """langs in order, and p: pieces x langs, the unknown piece first."""
 
     langs: list[str]
     p: np.ndarray
-    pieces: dict[str, int]
-
-    def __post_init__(self):
-        self.longest = max(map(len, self.pieces), default=1)
+    pieces: Pieces
 
     def logs(self, own: list[str], most: int = 20_000) -> np.ndarray:
         """words x langs: the logarithm of each word's probability."""
@@ -116,16 +153,16 @@ class Model:
         for rows in by_length(own).values():
             for a in range(0, len(rows), most):
                 part = rows[a : a + most]
-                last = Lattices([own[i] for i in part], self.pieces, self.longest).forward(self.p)[-1]
+                last = Lattices([own[i] for i in part], self.pieces).forward(lambda ids, _: self.p[ids], (len(self.langs),))[-1]
                 out[part] = np.log(np.maximum(last, 1e-300))
         return out
 
 
 def _smoothed(counts: np.ndarray) -> np.ndarray:
-    """Probabilities from counts (pieces x langs), drawn to those of all languages together; a row of 0 behind."""
+    """Probabilities from counts (pieces x langs), drawn to those of all languages together."""
     all_langs = counts.sum(1) + 0.01
     pooled = all_langs / all_langs.sum()
-    return np.vstack([(counts + POOLED * pooled[:, None]) / (counts.sum(0) + POOLED), np.zeros(counts.shape[1])])
+    return (counts + POOLED * pooled[:, None]) / (counts.sum(0) + POOLED)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -152,58 +189,52 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", name: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
     """The model of all rows of docs whose lang and text aren't null."""
-    pieces = vocabulary(name)
-    longest = max(map(len, pieces))
+    known = vocabulary(name)
+    pieces, n = Pieces(known), len(known) + 1
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
     counted = written(word_counts(rows), "words")
     # As many rows as there are languages.
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    if not langs:
+        return Model([], np.zeros((n, 0)), pieces)
     at = {lang: k for k, lang in enumerate(langs)}
-    p = np.ones((len(pieces) + 2, 1))  # first, every piece wherever it fits
-    p[-1] = 0
-    p /= 8.0
 
     def expect(p: np.ndarray) -> np.ndarray:
-        broadcast = docs.sparkSession.sparkContext.broadcast(p)
+        broadcast = docs.sparkSession.sparkContext.broadcast((p, pieces))
 
         def run(batches):
-            p, out = broadcast.value, np.zeros((len(pieces) + 2, len(langs)))
+            (p, pieces), out = broadcast.value, np.zeros((n, len(langs)))
             for batch in batches:
                 own, lang, times = batch.column(1).to_pylist(), np.array([at[x] for x in batch.column(0).to_pylist()]), batch.column(2).to_numpy().astype(float)
-                for k in np.unique(lang).tolist():
-                    mine = np.flatnonzero(lang == k)
-                    few = [own[i] for i in mine.tolist()]
-                    total = np.zeros((len(pieces) + 2, 1))
-                    for part in by_length(few).values():
-                        Lattices([few[i] for i in part], pieces, longest).expected(p[:, [k if p.shape[1] > 1 else 0]], times[mine[part]][:, None], total)
-                    out[:, k] += total[:, 0]
-            piece, lang = np.nonzero(out[:-1])
+                for part in by_length(own).values():
+                    mine = lang[part]
+                    Lattices([own[i] for i in part], pieces).expected(lambda ids, rows, mine=mine: p[ids, mine[rows]], times[part], lambda ids, rows, x, mine=mine: np.add.at(out, (ids, mine[rows]), x))
+            piece, lang = np.nonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(out[piece, lang])], ["piece", "lang", "n"])
 
         # Pieces times languages at most.
         sums = counted.select("lang", "word", "n").mapInArrow(run, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros((len(pieces) + 1, len(langs)))
+        out = np.zeros((n, len(langs)))
         # Rounded, so that the order in which tasks end leaves no trace.
         out[sums["piece"].to_numpy(), sums["lang"].to_numpy()] = np.round(sums["n"].to_numpy(), 6)
         broadcast.unpersist()
         return _smoothed(out)
 
-    if not langs:
-        return Model([], np.zeros((len(pieces) + 2, 0)), pieces)
+    p = np.full((n, len(langs)), 0.125)  # first, every piece wherever it fits
     for _ in range(1 + rounds):
         p = expect(p)
     return Model(langs, p, pieces)
 
 
 def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    number: dict[str, int] = {}
+    number = defaultdict(itertools.count().__next__)
     langs, score = ["und"] * len(texts), np.zeros(len(texts))
-    place, sizes, seq = [], [], []
+    place, seq = [], []
     for i, text in enumerate(texts):
         own = words(text) if text and model.langs else []
         if own and has_letter(own):
-            place.append(i), sizes.append(len(own))
-            seq.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
+            place.append(i)
+            seq.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
     if place:
         logs = model.logs(list(number))
         for i, own in zip(place, seq, strict=True):

@@ -31,7 +31,7 @@ def op3_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece_chunks.decode(sentencepiece_chunks.encode(_table(spark, sf_dir, "documents")))
+    out = sentencepiece_chunks.encode_and_decode(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

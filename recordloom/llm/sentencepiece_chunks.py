@@ -17,29 +17,35 @@ from .chunk_table import piece_bpe
 from .common import id_and_text, text_slices
 
 MODEL = "piece_bpe_32k.model"
+#: Bytes of a slice, about.
+SLICE = 8 << 20
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """doc_id and ids (array of int) of each row, equal to the library's encode() of the whole text."""
+def _encoded(batch: pa.RecordBatch, model: str) -> pa.RecordBatch:
+    ids, at = piece_bpe(model)[0].encode(batch.column(1))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
+
 
-    def run(batches):
-        table, _ = piece_bpe(model)
-        for batch in text_slices(batches):
-            ids, at = table.encode(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
+def _decoded(batch: pa.RecordBatch, model: str) -> pa.RecordBatch:
+    sp = piece_bpe(model)[1]
+    # A text at a time: Python's integers take many times the room of the array's.
+    texts = [sp.decode(x.values.tolist()) if x.is_valid and len(x) else "" for x in batch.column(1)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+    """doc_id and ids (array of int) of each row, equal to the library's encode() of the whole text."""
     df = id_and_text(docs, id_col, text_col)
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return df.mapInArrow(lambda batches: (_encoded(b, model) for b in text_slices(batches, most=SLICE)), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids and text: the library's decode() of each row's ids; null ids are no ids."""
+    df = encoded.select("doc_id", "ids")
+    return df.mapInArrow(lambda batches: (_decoded(b, model) for b in batches), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
-    def run(batches):
-        _, sp = piece_bpe(model)
-        for batch in batches:
-            texts = [sp.decode(x) if x else "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    df = encoded.select("doc_id", "ids")
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+    """decode(encode(docs)) in one Python worker: ids needn't go to Spark and back, nor a second worker stand by."""
+    df = id_and_text(docs, id_col, text_col)
+    return df.mapInArrow(lambda batches: (_decoded(_encoded(b, model), model) for b in text_slices(batches, most=SLICE)), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

@@ -31,6 +31,8 @@ from .components import components, hot_lookup
 REACH = 1
 #: Fingerprints in a shard, about; in the tree's sample at most; in a shard that one task searches at most; in a leaf.
 SHARD, SAMPLE, SHARD_MOST, LEAF = 2048, 1 << 17, 200_000, 4096
+#: Buckets of ids that are broadcast, at most.
+BUCKETS = 1 << 20
 
 
 def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
@@ -221,7 +223,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(docs, id_col, text_col).where("doc_id is not null")
     ids = written(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stands")), "near")
     gone = ids.where("not stands or rows > 1").select(F.col("doc_id").alias("_gone"))
-    out = docs.join(gone, key == F.col("_gone"), "left_anti")
+    # Ids that go are told by buckets of their hashes, BUCKETS at most, which are broadcast: a row in none of their buckets
+    # surely stays and needn't move. Only the others, those that go and one in 16 besides, are shuffled for the join.
+    n = min(BUCKETS, 1 << max(4, (16 * gone.count()).bit_length()))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
+    marked = F.broadcast(gone.select(bucket(F.col("_gone")).alias("_bucket")).distinct())
+    held = docs.withColumn("_doc_bucket", bucket(key.cast(ids.schema["doc_id"].dataType)))
+    same = F.col("_doc_bucket") == F.col("_bucket")
+    out = held.join(marked, same, "left_anti").unionByName(held.join(marked, same, "left_semi").join(gone.hint("merge"), key == F.col("_gone"), "left_anti")).drop("_doc_bucket")
     again = ids.where("stands and rows > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return out

@@ -26,6 +26,8 @@ from .common import id_and_text, text_slices, written
 TOKENIZER, END, SIZE = "word_bpe_49k.json", 1, 4096
 #: Pieces in a group, about. Rows of it are some 60 bytes, so a group is below 1 MB.
 GROUP = 8192
+#: Rounds at most, so that a round's number has 6 bits; each leaves about a tenth.
+ROUNDS = 64
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END, size: int = SIZE) -> DataFrame:
@@ -95,7 +97,7 @@ def pack(lengths: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     schema = T.StructType([*todo.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
 
     while True:
-        groups, last = max(1, -(-n // group)), n <= group or n == left
+        groups, last = max(1, -(-n // group)), n <= group or n == left or number == ROUNDS - 1
 
         dealt = todo.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(groups)))
         placed = written(dealt.groupBy("_group").applyInArrow(_placing(groups, last, number, size), schema), "placed")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +70,23 @@ def report_counts(planned: DataFrame) -> DataFrame:
     return planned.groupBy("repo_id").agg(*(F.count_if(made & F.col("path").rlike(p)).alias(k) for k, p in kinds.items()), F.count_if(~made).alias("skipped"))
 
 
+
+
+def bootstrap_files(as_of: str, version: str = "0.1.0", days: int = 90) -> dict[str, str]:
+    """The files of an empty sound repository, without its dashboard: {path: text}."""
+    due = (datetime.date.fromisoformat(as_of) + datetime.timedelta(days=days)).isoformat()
+    text = lambda x: json.dumps(x, indent=2, sort_keys=True) + "\n"
+    return {
+        "VERSION": f"{version}\n",
+        "AGENTS.md": "# Contract\n\nRecords here are the source of truth; reports are generated from them.\n",
+        "governance/owners.json": text({"scopes": [{"id": "governance", "paths": ["**"], "owner": "maintainers"}], "roles": [], "preflight": {"enabled": True}}),
+        "governance/invariants.json": text({"version": 1, "invariants": []}),
+        "governance/frozen-surface.json": text({"version": 1, "protected": []}),
+        "audits/registry.json": text({"scopes": [{"path": ".", "owner": "maintainers", "contract": "AGENTS.md", "last_reviewed": as_of, "next_review": due, "alignment": "aligned", "notes": ""}]}),
+    }
+
+
+def bootstrap(repos: DataFrame, as_of: str) -> DataFrame:
+    """repo_id, path and text of the files that new repositories (repo_id) begin with."""
+    files = repos.sparkSession.createDataFrame(list(bootstrap_files(as_of).items()), "path string, text string")
+    return repos.select("repo_id").distinct().crossJoin(F.broadcast(files))

@@ -6,6 +6,8 @@ Row-local rules of a relation are one pass over it; the others are joins, window
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -335,13 +337,26 @@ def dashboard(r: Records, as_of: str) -> DataFrame:
     return _absent(r, path, "P19", "missing generated dashboard; generate it").unionByName(stale)
 
 
+#: The file under schemas/ that overrides the given schema of a kind, for its own repository.
+SCHEMA_FILES = {"work": "work-item.schema.json", "evidence": "evidence-run.schema.json", "findings": "audit-finding.schema.json", "invariants": "invariants.schema.json", "frozen": "frozen-surface.schema.json", "adopters": "adopter-fleet.schema.json"}
+
+
 def schemas(r: Records, given: dict[str, dict]) -> DataFrame:
-    """Structural problems by JSON Schemas: {kind: schema} for work, evidence, findings, invariants, frozen and adopters."""
+    """Structural problems by JSON Schemas: {kind: schema} for the kinds of SCHEMA_FILES.
+
+    A repository's own schema file goes before the given one. Each distinct text of these few files is compiled once.
+    """
     whole = {"work": r.items.where(F.size("missing") == 0), "evidence": r.evidence.where(F.size("missing") == 0), "findings": r.findings, "invariants": r.invariants, "frozen": r.frozen, "adopters": r.adopters}
+    local = r.files.where((F.col("parent") == "schemas") & F.col("name").isin(*(SCHEMA_FILES[k] for k in given)) & F.json_object_keys("text").isNotNull()).select("repo_id", "name", "text")
+    texts = [(x["name"], x["text"]) for x in local.select("name", "text").distinct().collect()]
     frames = []
     for kind, schema in given.items():
-        own = whole[kind].where("keys is not null").select("repo_id", "path", F.explode(jsonschema.errors(F.try_parse_json("text"), schema)).alias("e"))
-        frames.append(ops.problems(own, ("P1", F.lit(True), say("schema ", F.col("e.location"), ": ", F.col("e.message")))))
+        mine = local.where(F.col("name") == SCHEMA_FILES[kind])
+        plans = [(whole[kind].join(mine.select("repo_id"), "repo_id", "left_anti") if texts else whole[kind], schema)]
+        plans += [(whole[kind].join(mine.where(F.col("text") == text).select("repo_id"), "repo_id", "left_semi"), json.loads(text)) for name, text in texts if name == SCHEMA_FILES[kind]]
+        for rows, own in plans:
+            found = rows.where("keys is not null").select("repo_id", "path", F.explode(jsonschema.errors(F.try_parse_json("text"), own)).alias("e"))
+            frames.append(ops.problems(found, ("P1", F.lit(True), say("schema ", F.col("e.location"), ": ", F.col("e.message")))))
     return ops.union_all(frames)
 
 
