@@ -122,7 +122,7 @@ def _flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(n.sum())), n
 
 
-def _joined(tokenizer, between: str, mark: int, plain: Callable[[str], object], group: int = 4096) -> Callable:
+def _joined(tokenizer, between: str, mark: int, plain: Callable[[str], bool], group: int = 4096) -> Callable:
     """Chunks encoded many at a time, joined by a text that becomes the id `mark`.
 
     A plain chunk may hold `between` inside, as lines of a text do, if it becomes that id there as well; chunks that
@@ -134,7 +134,7 @@ def _joined(tokenizer, between: str, mark: int, plain: Callable[[str], object],
 
     def segment(chunks: list[str]):
         ids, sizes = [], np.zeros(len(chunks), np.int64)
-        easy = np.fromiter((plain(x) is not None for x in chunks), bool, len(chunks))
+        easy = np.fromiter(map(plain, chunks), bool, len(chunks))
         order = np.concatenate([np.flatnonzero(easy), np.flatnonzero(~easy)])
         for a in range(0, len(order), group):
             part = order[a : a + group]
@@ -203,9 +203,21 @@ def _library(name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+def _plain(tokenizer, fits: Callable[[str], object]) -> Callable[[str], bool]:
+    """Chunks that may be joined: those that `fits` takes and that hold no added token, at which the library parts a text.
+
+    Raises ValueError where an added token has white space or takes some beside it, so that a cut could part it.
+    """
+    added = list(tokenizer.get_added_tokens_decoder().values())
+    if any(x.lstrip or x.rstrip or x.single_word or x.normalized or re.search(r"\s", x.content) for x in added):
+        raise ValueError("added tokens of this tokenizer depend on the white space beside them")
+    if not added:
+        return lambda x: fits(x) is not None
+    holds = re.compile("|".join(re.escape(x.content) for x in added)).search
+    return lambda x: fits(x) is not None and holds(x) is None
 
 
 @functools.lru_cache(1)
@@ -218,7 +230,7 @@ def byte_bpe(name: str = "byte_bpe_50k.json") -> ChunkTable:
         head, *rest = _EDGE.split(text)
         return [head, *(" " + x for x in rest)]
 
-    plain = re.compile(r" ?\S+(?:\n\S+)*").fullmatch
+    plain = _plain(t, re.compile(r" ?\S+(?:\n\S+)*").fullmatch)
     return ChunkTable(_joined(t, "\n", newline[0], plain), _loose, cut)
 
 
@@ -227,7 +239,7 @@ def word_bpe(name: str = "word_bpe_49k.json") -> ChunkTable:
     """BPE with word ends, white space dropped: any space parts two chunks."""
     t = _library(name)
     mark = t.encode("\x01", add_special_tokens=False).ids
-    plain = re.compile("[^\x01]+").fullmatch
+    plain = _plain(t, re.compile("[^\x01]+").fullmatch)
     table = ChunkTable(_joined(t, " \x01 ", mark[0], plain), lambda parts, words: np.zeros(len(words), bool), lambda text: [text], " ")
     inner = table.encode
     table.encode = lambda texts: inner(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
