@@ -70,3 +70,10 @@ def test_the_stage_links_at_four_fifths(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4]
     docs = spark.createDataFrame([data[0], (2, ends(12), "k")], SCHEMA)  # 88 of 112
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
+
+
+def test_rows_are_told_apart_where_ids_are_equal_or_null(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    data = [(1, one, "k"), (1, two, "k"), (0, one, "k"), (None, three, "k"), (None, three, "k"), (None, two, "k")]
+    got = [(r["doc_id"], r["text"]) for r in near_copies.keep_one(spark.createDataFrame(data, SCHEMA)).collect()]
+    assert len(got) == 3 and set(got) == {(0, one), (1, two), (None, three)}
