@@ -13,7 +13,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Large-star and small-star in turn (Kiveris et al. 2014) until the links no longer change; each round is written, so
     lost executors cost at most that round. Nodes link to ever smaller ones, and a star's centre is met by grouped
-    minima alone, so no task gathers a component. An empty table gives an empty one.
+    minima alone, so no task gathers a component. An empty table gives an empty one. Raises RuntimeError where the links
+    still change after `rounds` rounds.
     """
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     known = None
@@ -30,6 +31,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if tuple(state) == known:
             break
         known = tuple(state)
+    else:
+        raise RuntimeError(f"links still change after {rounds} rounds")
     # All links now go to centres.
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
