@@ -4,7 +4,7 @@ Documents are tokenized, given an end id and cut only where longer than a sequen
 (or a new one) that leaves the sum over residual gaps g of N(g)^2 smallest, N(g) being the open bins with gap g; the
 pieces of a group come in order of falling length.
 
-Pieces are dealt to groups by a hash of document and piece, about GROUP in each, so that every group has the lengths of
+Pieces are numbered when they are written and dealt to groups by a hash of that number, about GROUP in each, so that every group has the lengths of
 the whole corpus and no group is large. What a group leaves in bins that aren't full is dealt anew, into fewer and
 fewer groups, until one is left or nothing changes: the last round packs only what all the others left over.
 
@@ -92,20 +92,20 @@ def _placing(groups: int, last: bool, number: int, size: int):
 def pack(lengths: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     """The columns of `lengths` with sequence_id and offset. It has doc_id, piece and length (at most `size`)."""
     own = [c for c in lengths.columns if c not in ("sequence_id", "offset")]
-    todo = written(lengths.select(own), "pieces")
+    todo = written(lengths.select(*own, F.monotonically_increasing_id().alias("_row")), "pieces")
     n, left, done, number = todo.count(), None, None, 0
     schema = T.StructType([*todo.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
 
     while True:
         groups, last = max(1, -(-n // group)), n <= group or n == left or number == ROUNDS - 1
 
-        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(groups)))
+        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(number)), F.lit(groups)))
         placed = written(dealt.groupBy("_group").applyInArrow(_placing(groups, last, number, size), schema), "placed")
-        shut = placed.where(~F.col("open")).drop("open")
+        shut = placed.where(~F.col("open")).drop("open", "_row")
         done = shut if done is None else done.unionByName(shut)
         if last:
             return done
-        todo, left, number = placed.where("open").select(own), n, number + 1
+        todo, left, number = placed.where("open").select(*own, "_row"), n, number + 1
         n = todo.count()
         if n == 0:
             return done
