@@ -220,13 +220,24 @@ def test_rules_are_ordered_by_rejection_for_their_cost(spark):
             m.raw.split()
         return m.raw.startswith(b"a")
 
-    made = (quality_rules.Rule("never", lambda m: False), quality_rules.Rule("dear", slow), quality_rules.Rule("cheap", lambda m: m.raw[:1] == b"a"))
-    df = spark.createDataFrame([(("a " if i % 2 else "b ") * 500,) for i in range(60)], "text string")
+    made = (quality_rules.Rule("few", lambda m: m.raw[:1] == b"c"), quality_rules.Rule("dear", slow), quality_rules.Rule("cheap", lambda m: m.raw[:1] == b"a"))
+    df = spark.createDataFrame([(("b ", "a ", "b ", "a ", "a ", "c ")[i % 6] * 500,) for i in range(60)], "text string")
     plan = quality_rules.plan(df, made)
-    assert [x["name"] for x in plan] == ["cheap", "dear", "never"] and plan[0]["rejected"] == plan[1]["rejected"] == 0.5
+    # All that the dear rule rejects is gone when the cheap one has run.
+    assert [x["name"] for x in plan] == ["cheap", "few", "dear"] and plan[0]["rejected"] == 0.5 and plan[1]["rejected"] == pytest.approx(1 / 3) and plan[2]["rejected"] == 0
     assert quality_rules.plan(df, made, 1)[0]["rejected"] in (0.0, 1.0)
 
 
+def test_measures_that_are_taken_cost_nothing(spark):
+    made = (quality_rules.Rule("words", lambda m: m.n_words > 3, ("words",)), quality_rules.Rule("repeats", lambda m: m.n_repeat_words > 3, ("words", "n_repeat_words")))
+    df = spark.createDataFrame([(" ".join(f"w{j % 700}" for j in range(3000)),)] * 8, "text string")
+    alone = {x["name"]: x["cost"] for x in quality_rules.plan(df, made)}
+    behind = {x["name"]: x["cost"] for x in quality_rules.plan(df, made, taken=("words", "n_repeat_words"))}
+    assert behind["repeats"] < alone["words"] and behind["words"] < alone["words"]
+    assert quality_rules.plan(df, made, before=(quality_rules.Rule("all", lambda m: True),))[0]["rejected"] == 0
+    assert [x["rejected"] for x in quality_rules.plan(df.limit(0), made)] == [0, 0]
+
+
 # --- URLs ---
 
 
