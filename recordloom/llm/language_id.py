@@ -5,13 +5,16 @@ a word in a language is summed over all its segmentations into pieces by a forwa
 sum of its words' logarithms. Piece probabilities are learned by expectation maximisation over the words of labelled
 texts: words are counted by language over the whole corpus, and each distinct word is worked on once in each round.
 
-A word is a run of letters, in lower case, behind a word marker; a longer one is cut every LONGEST letters. A letter
-that is no piece is an unknown piece. Arrays over words of one length hold the sums of all of them at once; substrings are
-told by 64-bit hashes.
+A word is a run of letters, in lower case, behind a word marker. A run of more than LONGEST letters is a chain of parts of
+LONGEST letters, of which only the first has the marker; no piece crosses the end of a part. A letter that is no piece
+is an unknown piece. Arrays over words of one length hold the sums of all of them at once and are scaled every SCALED
+letters, so that no sum is lost below the smallest number; substrings are told by 64-bit hashes. A Python worker keeps
+the scores of words from text to text, in a bounded table.
 
 Cases: a null text, or one without a letter, has lang_pred `und` and score 0; so have all if no row can be learned
 from; equal scores go to the first language by name; rows with null lang or doc_id aren't learned from; repeated rows
-count each; an empty table gives an empty one; other columns are ignored by predict() and kept by keep().
+count each; a text of any length is scored whole, in a batch of its own; an empty table gives an empty one; other
+columns, whatever their names, are ignored by predict() and kept by keep().
 """
 
 from __future__ import annotations
@@ -31,22 +34,30 @@ from .chunk_table import tokenizer_path
 from .common import id_and_text, text_slices, written
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Letters of a word, rounds of expectation maximisation, weight of the pooled distribution in counts.
-LONGEST, ROUNDS, POOLED = 32, 2, 100.0
-#: Words that a task counts before it sends its counts on.
-HELD = 500_000
+#: Letters of a part, rounds of expectation maximisation, letters between scalings.
+LONGEST, ROUNDS, SCALED = 256, 2, 8
+#: How far a language's distribution is drawn to that of all of them, and that one to an even one: shares of all counts.
+POOLED, EVEN = 0.001, 0.01
+#: Words that a task counts before it sends its counts on; words whose scores a worker keeps, in two halves.
+HELD, REMEMBERED = 500_000, 200_000
+#: keep() takes a text for none of the languages that lies so many standard deviations of a word below the usual; the least
+#: deviation that counts (a few memorised words have hardly any).
+FAR, SPREAD = 5.0, 0.7
 _WORD = re.compile(r"[^\W\d_]+")
+MARK = "▁"
 
 
 def words(text: str) -> list[str]:
+    """The marked words of a text; of a long run, its parts."""
     own = _WORD.findall(text.lower())
     if max(map(len, own), default=0) > LONGEST:
-        own = [w[i : i + LONGEST] for w in own for i in range(0, len(w), LONGEST)]
-    return own
+        own = [(MARK if i == 0 else "") + w[i : i + LONGEST] for w in own for i in range(0, len(w), LONGEST)]
+        return own
+    return [MARK + w for w in own]
 
 
 def has_letter(own: list[str]) -> bool:
-    return any(c.isalpha() for w in own for c in w)
+    return any(c.isalpha() for w in own for c in w.lstrip(MARK))
 
 
 def vocabulary(name: str = VOCABULARY) -> dict[str, int]:
@@ -95,8 +106,8 @@ class Lattices:
     """Segmentations of words of one length: for two places, the rows of words with a piece between them, and the pieces."""
 
     def __init__(self, own: list[str], pieces: Pieces):
-        codes = np.frombuffer("".join("▁" + w for w in own).encode("utf-32-le"), np.uint32).reshape(len(own), -1).astype(np.uint64)
-        self.rows, self.n = codes.shape
+        codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), -1).astype(np.uint64)
+        (self.rows, self.n), self.longest = codes.shape, pieces.longest
         self.spans: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         for i in range(self.n):
             alive, h = np.arange(self.rows), np.zeros(self.rows, np.uint64)
@@ -112,24 +123,49 @@ class Lattices:
                 if not len(alive):
                     break
 
-    def forward(self, of, shape: tuple = ()) -> list[np.ndarray]:
-        """For each place, the summed probability of all ways to it; of(ids, rows) gives probabilities, `shape` for each word."""
-        at = [np.zeros((self.rows, *shape)) for _ in range(self.n + 1)]
+    def forward(self, of, shape: tuple = ()) -> tuple[list[np.ndarray], list[np.ndarray | float]]:
+        """For each place, the summed probability of all ways to it, and the logarithm by which that is to be raised.
+
+        of(ids, rows) gives probabilities, `shape` for each word.
+        """
+        at, log = [np.zeros((self.rows, *shape)) for _ in range(self.n + 1)], [0.0] * (self.n + 1)
         at[0] += 1
+        reached = 0
         for i, j, rows, ids in self.spans:
+            if i != reached:
+                reached = i
+                if i % SCALED == 0:  # all ways to place i are summed; it becomes 1
+                    by = at[i].copy()
+                    for k in range(i, min(self.n, i + self.longest) + 1):
+                        at[k] /= by
+                    log[i:] = [log[i] + np.log(by)] * (self.n + 1 - i)
             at[j][rows] += at[i][rows] * of(ids, rows)
-        return at
+        return at, log
+
+    def logs(self, of, shape: tuple = ()) -> np.ndarray:
+        """The logarithm of each word's probability."""
+        at, log = self.forward(of, shape)
+        return np.log(at[-1]) + log[-1]
 
     def expected(self, of, times: np.ndarray, add) -> None:
         """add(ids, rows, numbers): each piece's expected number in each word, times the word's count."""
-        ahead = self.forward(of)
-        back = [np.zeros(self.rows) for _ in ahead]
+        ahead, log = self.forward(of)
+        back, later = [np.zeros(self.rows) for _ in ahead], [0.0] * (self.n + 1)
         back[self.n] += 1
-        for i, j, rows, ids in reversed(self.spans):
+        reached = self.n
+        for i, j, rows, ids in sorted(self.spans, key=lambda x: -x[1]):
+            if j != reached:
+                reached = j
+                if j % SCALED == 0:
+                    by = back[j].copy()
+                    for k in range(max(0, j - self.longest), j + 1):
+                        back[k] /= by
+                    later[: j + 1] = [later[j] + np.log(by)] * (j + 1)
             back[i][rows] += of(ids, rows) * back[j][rows]
-        share = times / np.maximum(ahead[self.n], 1e-300)
+        whole = log[self.n] + np.log(ahead[self.n])
         for i, j, rows, ids in self.spans:
-            add(ids, rows, ahead[i][rows] * of(ids, rows) * back[j][rows] * share[rows])
+            scale = times * np.exp(log[i] + later[j] - whole)
+            add(ids, rows, ahead[i][rows] * of(ids, rows) * back[j][rows] * scale[rows])
 
 
 def by_length(own: list[str]) -> dict[int, list[int]]:
@@ -141,28 +177,36 @@ def by_length(own: list[str]) -> dict[int, list[int]]:
 
 @dataclass
 class Model:
-    """langs in order, and p: pieces x langs, the unknown piece first."""
+    """langs in order, and p: pieces x langs, the unknown piece first.
+
+    usual: for each language, mean and standard deviation of a word's logarithm for each of its letters, in what was learned.
+    """
 
     langs: list[str]
     p: np.ndarray
     pieces: Pieces
+    usual: np.ndarray | None = None
 
-    def logs(self, own: list[str], most: int = 20_000) -> np.ndarray:
-        """words x langs: the logarithm of each word's probability."""
+    def logs(self, own: list[str], letters: int = 200_000) -> np.ndarray:
+        """words x langs: the logarithm of each word's probability. letters: how many are worked on at once, about."""
         out = np.zeros((len(own), len(self.langs)))
-        for rows in by_length(own).values():
+        for size, rows in by_length(own).items():
+            most = max(1, letters // size)
             for a in range(0, len(rows), most):
                 part = rows[a : a + most]
-                last = Lattices([own[i] for i in part], self.pieces).forward(lambda ids, _: self.p[ids], (len(self.langs),))[-1]
-                out[part] = np.log(np.maximum(last, 1e-300))
+                out[part] = Lattices([own[i] for i in part], self.pieces).logs(lambda ids, _: self.p[ids], (len(self.langs),))
         return out
 
 
 def _smoothed(counts: np.ndarray) -> np.ndarray:
-    """Probabilities from counts (pieces x langs), drawn to those of all languages together."""
-    all_langs = counts.sum(1) + 0.01
-    pooled = all_langs / all_langs.sum()
-    return (counts + POOLED * pooled[:, None]) / (counts.sum(0) + POOLED)
+    """Probabilities from counts (pieces x langs), drawn to those of all languages together and these to even ones.
+
+    Both by a share, so that what isn't seen doesn't grow less likely as more is learned.
+    """
+    pooled = (1 - EVEN) * counts.sum(1) / counts.sum() + EVEN / len(counts)
+    total = counts.sum(0)
+    own = np.where(total > 0, counts / np.where(total > 0, total, 1), pooled[:, None])
+    return (1 - POOLED) * own + POOLED * pooled[:, None]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -223,12 +267,63 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", name:
     p = np.full((n, len(langs)), 0.125)  # first, every piece wherever it fits
     for _ in range(1 + rounds):
         p = expect(p)
-    return Model(langs, p, pieces)
+    return Model(langs, p, pieces, _usual(counted, at, p, pieces))
 
 
-def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    number = defaultdict(itertools.count().__next__)
-    langs, score = ["und"] * len(texts), np.zeros(len(texts))
+def _usual(counted: DataFrame, at: dict[str, int], p: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """langs x (mean, standard deviation) of the logarithms of counted words in their languages, for each letter."""
+    broadcast = counted.sparkSession.sparkContext.broadcast((p, pieces))
+
+    def run(batches):
+        (p, pieces), sums = broadcast.value, np.zeros((len(at), 3))
+        for batch in batches:
+            own, lang, times = batch.column(1).to_pylist(), np.array([at[x] for x in batch.column(0).to_pylist()]), batch.column(2).to_numpy().astype(float)
+            for size, part in by_length(own).items():
+                mine = lang[part]
+                each = Lattices([own[i] for i in part], pieces).logs(lambda ids, rows, mine=mine: p[ids, mine[rows]]) / size
+                for k, v in enumerate((np.ones(len(part)), each, each * each)):
+                    np.add.at(sums[:, k], mine, v * times[part])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), *(pa.array(sums[:, k]) for k in range(3))], ["lang", "n", "s", "q"])
+
+    # A row for each language.
+    rows = counted.select("lang", "word", "n").mapInArrow(run, "lang int, n double, s double, q double").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    broadcast.unpersist()
+    out = np.zeros((len(at), 2))
+    for r in rows:
+        mean = r["s"] / max(r["n"], 1)
+        out[r["lang"]] = round(mean, 6), round(max(r["q"] / max(r["n"], 1) - mean * mean, 0) ** 0.5, 6)
+    return out
+
+
+class _Scores:
+    """The logarithms of words that a worker has met, in a bounded table: what hasn't been met for long is worked out again."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.older = model, {}, {}
+
+    def __call__(self, own: list[str]) -> np.ndarray:
+        rows = list(map(self.known.get, own))
+        for i in [i for i, x in enumerate(rows) if x is None]:
+            if (row := self.older.get(own[i])) is not None:
+                self.known[own[i]] = rows[i] = row
+        new = [i for i, x in enumerate(rows) if x is None]
+        if new:
+            for i, row in zip(new, self.model.logs([own[i] for i in new]), strict=True):
+                rows[i] = raw = row.tobytes()
+                if len(own[i]) <= 32:
+                    if len(self.known) >= REMEMBERED // 2:
+                        self.known, self.older = {}, self.known
+                    self.known[own[i]] = raw
+        return np.frombuffer(b"".join(rows), np.float64).reshape(len(own), len(self.model.langs))
+
+
+def _judge(scores: _Scores, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score, and how far the text's words lie from the usual of that language, in a word's standard deviations.
+
+    With fewer than 16 words, the last is less in proportion to its error.
+    """
+    number, model = defaultdict(itertools.count().__next__), scores.model
+    langs, score, beyond = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     place, seq = [], []
     for i, text in enumerate(texts):
         own = words(text) if text and model.langs else []
@@ -236,12 +331,15 @@ def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
             place.append(i)
             seq.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
     if place:
-        logs = model.logs(list(number))
+        logs = scores(list(number))
+        size = np.fromiter(map(len, number), np.int64, len(number))
         for i, own in zip(place, seq, strict=True):
             total = logs[own].sum(0)
             k = int(total.argmax())
             langs[i], score[i] = model.langs[k], 1 / np.exp(total - total[k]).sum()
-    return langs, score
+            mean, spread = model.usual[k]
+            beyond[i] = ((logs[own, k] / size[own]).mean() - mean) / max(spread, SPREAD) * min(1, len(own) ** 0.5 / 4)
+    return langs, score, beyond
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,21 +347,32 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        scores = _Scores(broadcast.value)
         for batch in text_slices(batches):
-            langs, score = _judge(broadcast.value, batch.column(1).to_pylist())
+            langs, score, _ = _judge(scores, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     df = id_and_text(docs, id_col, text_col)
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known, with a score of `least` or more, with all their columns."""
+def keep(docs: DataFrame, model: Model, least: float = 0.5, far: float = FAR, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known, with all their columns: those with a letter, a score of `least` or more, and words
+    that lie no more than `far` below the usual of their language, so that a text in none of them goes.
+
+    Where no language could be learned, all rows with a letter are kept.
+    """
     broadcast, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
+        scores = _Scores(broadcast.value)
         for batch in text_slices(batches, at):
-            langs, score = _judge(broadcast.value, pc.cast(batch.column(at), pa.string()).to_pylist())
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, score.tolist(), strict=True)], pa.bool_()))
+            texts = pc.cast(batch.column(at), pa.string()).to_pylist()
+            if scores.model.langs:
+                langs, score, beyond = _judge(scores, texts)
+                kept = [x != "und" and s >= least and b >= -far for x, s, b in zip(langs, score.tolist(), beyond.tolist(), strict=True)]
+            else:
+                kept = [has_letter(words(x or "")) for x in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

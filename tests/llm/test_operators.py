@@ -480,11 +480,11 @@ def test_forward_sums_all_segmentations():
                 out += p[i] * every(w[k:])
         return out
 
-    own, known = ["abba", "bbaa", "xaby"], language_id.Pieces(pieces)
-    assert language_id.Lattices(own, known).forward(lambda ids, _: p[ids], (2,))[-1] == pytest.approx(np.array([every("▁" + w) for w in own]))
+    own, known = ["▁abba", "▁bbaa", "▁xaby"], language_id.Pieces(pieces)
+    assert np.exp(language_id.Lattices(own, known).logs(lambda ids, _: p[ids], (2,))) == pytest.approx(np.array([every(w) for w in own]))
     # Expected numbers of pieces add up to the letters that they cover.
     total = np.zeros(len(p))
-    language_id.Lattices(["abba"], known).expected(lambda ids, _: p[ids, 0], np.array([2.0]), lambda ids, rows, x: np.add.at(total, ids, x))
+    language_id.Lattices(["▁abba"], known).expected(lambda ids, _: p[ids, 0], np.array([2.0]), lambda ids, rows, x: np.add.at(total, ids, x))
     assert (total * np.array([1, *map(len, pieces)])).sum() == pytest.approx(10)
 
 

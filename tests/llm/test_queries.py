@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from recordloom.llm import chunk_table, language_id, queries, quality_rules
+from tests.llm.test_near_copies import groups as brute_groups
 from tests.llm.test_operators import brute_components, brute_fingerprint
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
@@ -135,14 +136,13 @@ def test_pipeline_stages(spark, texts, db):
             own = {i: x for i, x in own.items() if any(c.isalpha() for c in x)}
             assert {r[0] for r in out.select("doc_id").collect()} <= set(own)
             model = language_id.train(docs)
-            langs, score = language_id._judge(model, list(own.values()))
-            own = {i: x for (i, x), a, s in zip(own.items(), langs, score, strict=True) if a != "und" and s >= 0.5}
+            langs, score, beyond = language_id._judge(language_id._Scores(model), list(own.values()))
+            own = {i: x for (i, x), a, s, b in zip(own.items(), langs, score, beyond, strict=True) if a != "und" and s >= 0.5 and b >= -language_id.FAR}
         elif name == "quality_rules":
             verdict = {i: (failed, kept) for i, failed, kept in db.sql(f"SELECT doc_id, base_failed, kept FROM ({quality_rules.SQL})").fetchall()}
             own = {i: x for i, x in own.items() if verdict[i][1]}
         elif name == "near_dedup":
-            label = brute_components([brute_fingerprint(x) for x in own.values()])
-            own = {i: x for k, (i, x) in enumerate(own.items()) if label[k] == k}
+            own = {i: own[i] for _, i, _ in brute_groups(list(own.items()))}
         if name != "packing":
             assert out.columns == columns
             assert {r["doc_id"]: r["text"] for r in out.collect()} == own
