@@ -48,7 +48,7 @@ def op6_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_rules.scan(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.col("first_at").cast("bigint").alias("first_at"), F.array_join("licenses", ",").alias("licenses"))
+    return out.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.col("first_at").cast("bigint").alias("first_at"), F.array_join("licenses", ",").alias("licenses"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

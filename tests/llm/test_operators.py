@@ -459,7 +459,7 @@ def test_licenses(spark, docs, none):
     df = spark.createDataFrame([(i, x, 1) for i, x in texts.items()], "doc_id bigint, text string, licenses int")
     got = {r["doc_id"]: r for r in license_rules.scan(df).collect()}
     assert {i: r["licenses"] for i, r in got.items()} == {1: ["Apache-2.0"], 2: ["MIT"], 3: ["GPL-3.0-or-later"], 4: [], 5: [], 6: []}
-    assert got[1]["sentence_ids"] == [1, 2, 3] and got[1]["first_at"] == 1 and got[6]["n_sentences"] == 0 and got[6]["first_at"] is None
+    assert got[1]["sentence_ids"] == ["Apache-2.0.notice", "license.use", "license.obtain"] and got[1]["first_at"] == 1 and got[6]["sentence_ids"] == [] and got[6]["first_at"] is None
     assert license_rules.scan(docs).count() == docs.count() and license_rules.scan(none).count() == 0
 
 
