@@ -1,16 +1,25 @@
-"""Near copies by the exact Jaccard similarity of their word shingles: a self-join of prefixes.
+"""Near copies: SimHash links by the vantage-point tree, held to an exact Jaccard similarity, and a join of prefixes for the rest.
 
 A text's set holds the hash (64 bits) of each run of `words` words, cut and lower-cased as for SimHash; a shorter text is
-one shingle. All sets are sorted in one order: shingles rare in a sample of texts first, then by hash. Of two sets with
-similarity t or more, each has one of the other's among its first n - ceil(t n) + 1, so only these are joined, and a pair
-goes on where its places and sizes leave room for the overlap it needs, and where the parities of both sets over 1024
-bits, which differ in no more bits than the sets in shingles, allow it. Its similarity is then counted from both whole sets. No pair is left out and none is let in wrongly, but for collisions of 64-bit hashes (and 128 bits for whole sets).
-
-Equal sets are one node of the search. Where more than STAR nodes share a shingle, each is first compared with the least
-of them; only pairs that this doesn't bring together are compared one by one. No group is gathered in a task.
+one shingle. Texts whose fingerprints over such runs lie at 2 bits or fewer are found by simhash_vp and compared by their
+whole sets. Similar texts mostly lie further apart than that (0.8 makes some 10 of 64 bits, where a tree of any kind no
+longer parts fingerprints), so a second search finds the others: all sets are sorted in one order, shingles rare in a
+sample of texts first, then by hash. Of two sets with similarity t or more, each has one of the other's among its first
+n - ceil(t n) + 1, so texts that share one of these are compared, unless they are linked already, or their places and
+sizes leave no room for the overlap that they need, or the parities of both sets over 1024 bits, which differ in no
+more bits than the sets in shingles, don't allow it. No pair is left out and none is let in wrongly, but for collisions
+of 64-bit hashes (and 128 bits for whole sets).
+
+Equal sets are one node of the search. Each text is first compared with the least of those that it shares a shingle with,
+so that a large group of copies is linked by as many comparisons as it has texts; only pairs of different components
+are then compared one by one. No group is gathered in a task.
+
+Rows are told apart by a number that is stored with their sets, and found again by their place in their Parquet files;
+rows that don't come from files are written first.
 
 Cases: null and empty texts have the empty set and are each other's copies only; equal rows, rows with the same id or
-without one are told apart by a stored row number; an empty table gives an empty one.
+without one are rows of their own, and of equal ids the first row counts as smaller; a very long text is one set; an
+empty table gives an empty one; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -20,16 +29,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_vp
 from .common import text_slices, utf8, written
-from .components import components
+from .components import components, hot_lookup
 
 #: Words of a shingle, least similarity of a link.
 WORDS, SIMILARITY = 5, Fraction(4, 5)
-#: Texts in the sample at most, shingles that count as common at most, nodes that share a shingle without a star.
-SAMPLE, COMMON, STAR = 1 << 15, 1 << 20, 16
+#: Texts in the sample at most, shingles that count as common at most.
+SAMPLE, COMMON = 1 << 15, 1 << 20
 #: Buckets of rows that are broadcast, and words whose hashes a task remembers, at most.
 BUCKETS, REMEMBERED = 1 << 20, 1 << 19
 
@@ -64,6 +75,20 @@ class Shingles:
         return np.unique(out)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs, with a place that is the same whenever they are read: written, unless they come from Parquet files as they are."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return written(docs, "rows")
+    return docs
+
+
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    own = docs.metadataColumn("_metadata")
+    return F.xxhash64(own["file_path"]).alias("file"), own["row_index"].alias("at")
+
+
 def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that more than one text of a sample has, sorted, and how many have them."""
     n = rows.count()
@@ -71,27 +96,28 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         of = Shingles(words)
-        for batch in text_slices(batches):
-            for raw in utf8(batch.column(1)):
+        for batch in text_slices(batches, 0):
+            for raw in utf8(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(of(raw).view(np.int64))], ["h"])
 
-    few = rows.where(F.expr(f"pmod(xxhash64(_row), {1 << 30}) < {rate}")).select("_row", "text").mapInArrow(run, "h bigint")
+    few = rows.where(F.expr(f"pmod(xxhash64(file, at), {1 << 30}) < {rate}")).select("text").mapInArrow(run, "h bigint")
     found = few.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     h, count = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
     order = np.argsort(h)
     return h[order], count[order]
 
 
-def _prefixes(rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """_row, set (its digest), n (its size), the prefix of each row's set and its parity over 1024 bits."""
+def _described(rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """id, file and at of each row; set (its digest), n (its size), prefix, parity over 1024 bits and fp (fingerprint)."""
     table = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
     def run(batches):
         of, (common, count) = Shingles(words), table.value
-        for batch in text_slices(batches):
-            digests, sizes, prefixes, parities = [], [], [], []
-            for raw in utf8(batch.column(1)):
+        for batch in text_slices(batches, 3):
+            digests, sizes, prefixes, parities, fps = [], [], [], [], []
+            for raw in utf8(batch.column(3)):
                 h = of(raw)
+                fps.append(simhash_vp.fingerprint(raw, words))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 parities.append(np.packbits((np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).tobytes())
@@ -102,24 +128,31 @@ def _prefixes(rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
                 prefixes.append(h[: len(h) - needed + 1].view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(parities, pa.binary())], ["_row", "set", "n", "prefix", "parity"])
+            columns = [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(parities, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "file", "at", "set", "n", "prefix", "parity", "fp"])
 
-    return rows.select("_row", "text").mapInArrow(run, "_row bigint, set binary, n bigint, prefix array<bigint>, parity binary")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "file", "at", "text").mapInArrow(run, f"id {kind}, file bigint, at bigint, set binary, n bigint, prefix array<bigint>, parity binary, fp bigint")
 
 
-def _bucketed(rows: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows in two parts by buckets of _row, BUCKETS at most, which are broadcast: those in a bucket of `few`, and the rest.
+def _parted(rows: DataFrame, few: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts by buckets of their keys, BUCKETS at most, which are broadcast: those in a bucket of `few`, and the rest.
 
     Only the first part, the rows of `few` and about one in 16 besides, needs a shuffle to be joined with it.
     """
     n = min(BUCKETS, 1 << max(4, (16 * few.count()).bit_length()))
-    bucket = F.pmod(F.xxhash64("_row"), F.lit(n))
-    marked, same = F.broadcast(few.select(bucket.alias("_bucket")).distinct()), bucket == F.col("_bucket")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(n))
+    marked, same = F.broadcast(few.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket")
     return rows.join(marked, same, "left_semi"), rows.join(marked, same, "left_anti")
 
 
+def _without(rows: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
+    some, rest = _parted(rows, few, *keys)
+    return rest.unionByName(some.join(few.select(*keys).hint("merge"), list(keys), "left_anti").select(rows.columns))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """Those of the pairs (a, b: rows) whose sets have the similarity."""
+    """Those of the pairs (a, b: row numbers) whose sets have the similarity. sets: row, file, at, n, parity."""
 
     def possible(batches):
         num, den = similarity.numerator, similarity.denominator
@@ -133,7 +166,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, si
     def whole(batches):
         of = Shingles(words)
         for batch in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(x).tobytes() for x in utf8(batch.column(1))], pa.binary())], ["_row", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(x).tobytes() for x in utf8(batch.column(1))], pa.binary())], ["row", "set"])
 
     def similar(batches):
         for batch in batches:
@@ -146,50 +179,63 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, si
                 keep[i] = shared * similarity.denominator >= similarity.numerator * (len(both) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    own = sets.select("_row", "n", "parity")
+    own = sets.select("row", "n", "parity")
     pairs = pairs.join(own.toDF("a", "n", "p"), "a").join(own.toDF("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
     pairs = written(pairs.mapInArrow(possible, "a bigint, b bigint"), "possible")
-    used = written(pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct(), "used")
-    held = written(_bucketed(rows, used)[0].join(used.hint("merge"), "_row", "left_semi").select("_row", "text").mapInArrow(whole, "_row bigint, set binary"), "sets")
+    used = sets.join(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "row", "left_semi")
+    used = written(used.select("row", "file", "at"), "used")
+    held = _parted(rows, used, "file", "at")[0].join(used.hint("merge"), ["file", "at"]).select("row", "text")
+    held = written(held.mapInArrow(whole, "row bigint, set binary"), "sets")
     both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(similar, "a bigint, b bigint"), "links")
 
 
-def links(rows: DataFrame, sets: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """a, b: rows that span the components. rows: _row and text; sets: _row, n, prefix and parity of one row of each distinct set."""
+def _simhash_pairs(sets: DataFrame) -> DataFrame:
+    """a, b: rows that link by their fingerprints, in a forest: each with the least of its fingerprint, and those with one another."""
+    least = written(sets.groupBy("fp").agg(F.min("row").alias("low"), F.count("*").alias("n")), "distinct")
+    found = simhash_vp.links(least)
+    a, b = (least.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab")
+    near = found.join(a, "a").join(b, "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
+    same = hot_lookup(sets.select("fp", "row"), least.where("n > 1"), "fp", "n").where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b"))
+    return near.unionByName(same)
+
+
+def components_of_copies(rows: DataFrame, own: DataFrame, sets: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
+    """node, component of linked rows. rows: file, at, text; own: row, n and prefix; sets: row, file, at, n, parity and fp, of a row of each set."""
     num, den = similarity.numerator, similarity.denominator
-    entries = written(sets.where("n > 0").select("_row", "n", F.posexplode("prefix").alias("at", "h")), "entries")
-    groups = written(entries.groupBy("h").agg(F.count("*").alias("size"), F.min("_row").alias("least")).where("size > 1"), "shared")
-    entries = entries.join(groups.where(f"size > {STAR}").select("h", F.lit(True).alias("large")), "h", "left") if (large := not groups.where(f"size > {STAR}").isEmpty()) else entries
-    found = None
-    if large:
-        stars = entries.where("large").join(groups, "h").where("_row <> least").select(F.col("least").alias("a"), F.col("_row").alias("b")).distinct()
-        found = _verified(stars, rows, sets, words, similarity)
-        met = components(found)
-        entries = written(entries.drop("large").join(met.withColumnRenamed("node", "_row"), "_row", "left").withColumn("met", F.coalesce("component", "_row")).drop("component"), "entries")
-    else:
-        entries = entries.withColumn("met", F.col("_row"))
-    entries = entries.join(groups.select("h"), "h", "left_semi")
-    left = entries.select("h", F.col("_row").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("met").alias("met_a"))
-    right = entries.select("h", F.col("_row").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("met").alias("met_b"))
+    # Place in the prefix and size of the set, as one number.
+    entries = own.where("n > 0").select("row", "n", F.posexplode("prefix").alias("at", "h")).select("h", "row", F.shiftleft(F.col("at").cast("bigint"), 32).bitwiseOR(F.col("n")).alias("place"))
+    groups = entries.groupBy("h").agg(F.count("*").alias("size"), F.min("row").alias("least")).where("size > 1")
+    shared = written(entries.join(groups.select("h", "least"), "h"), "shared")
+    first = shared.groupBy("row").agg(F.min("least").alias("a")).where("a < row").select("a", F.col("row").alias("b"))
+    found = _verified(first.unionByName(_simhash_pairs(sets)).distinct(), rows, sets, words, similarity)
+    met = components(found)
+    # Shingles that rows of several components share.
+    with_own = written(shared.select("h", "row", "place").join(met.withColumnRenamed("node", "row"), "row", "left").withColumn("met", F.coalesce("component", "row")).drop("component"), "met")
+    several = with_own.groupBy("h").agg(F.min("met").alias("low"), F.max("met").alias("high")).where("low < high").select("h")
+    left = with_own.join(several, "h", "left_semi")
+    n, at = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), (lambda c: F.shiftright(c, 32))
+    a, b = (left.select("h", F.col("row").alias(c), n("place").alias(f"n_{c}"), at("place").alias(f"at_{c}"), F.col("met").alias(f"met_{c}")) for c in "ab")
     # At the first shingle that two share, all that they share lies from there on in both.
     room = f"least(n_a - at_a, n_b - at_b) * {num + den} >= {num} * (n_a + n_b)"
-    pairs = left.hint("merge").join(right, "h").where(f"a < b and met_a <> met_b and {room}").select("a", "b").distinct()
-    last = _verified(pairs, rows, sets, words, similarity)
-    return last if found is None else found.unionByName(last)
+    rest = a.hint("merge").join(b, "h").where(f"a < b and met_a <> met_b and {room}").select("a", "b").distinct()
+    return components(found.unionByName(_verified(rest, rows, sets, words, similarity)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """One row of each component of near copies, with all its columns: that of the smallest id, those without one last."""
-    docs_held = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    rows = docs_held.select("_row", F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    own = written(_prefixes(rows, words, similarity), "prefixes")
+    docs = _placed(docs)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *_place(docs))
+    own = written(_described(rows, words, similarity).select(F.monotonically_increasing_id().alias("row"), "*"), "prefixes")
     # One row of each set stands for it in the search; the best row of each, by id, may be another.
-    by_id = own.select("_row", "set").join(rows.select("_row", "id"), "_row")
-    best = written(by_id.groupBy("set").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")).alias("best")), "distinct")
-    sets = own.join(best.select(F.col("node").alias("_row")), "_row", "left_semi")
-    met = components(links(rows, sets, words, similarity))
-    kept = best.join(met, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("best").alias("best")).select(F.col("best._row").alias("_row"))
-    gone = written(own.select("_row").join(kept, "_row", "left_anti"), "gone")
-    some, rest = _bucketed(docs_held, gone)
-    return rest.unionByName(some.join(gone.hint("merge"), "_row", "left_anti").select(docs_held.columns)).drop("_row")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "file", "at")
+    best = written(own.groupBy("set").agg(F.min("row").alias("node"), F.min(order).alias("best")), "distinct")
+    again = written(own.select("row", "set", "file", "at").join(best.select("set", "node"), "set").where("row <> node").select("row", "file", "at"), "again")
+    own = _without(own.select("row", "file", "at", "n", "parity", "fp", "prefix"), again.select("row"), "row")
+    sets = written(own.select("row", "file", "at", "n", "parity", "fp"), "nodes")
+    met = components_of_copies(rows.select("file", "at", "text"), own.select("row", "n", "prefix"), sets, words, similarity)
+    kept = best.join(met, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("best").alias("best")).select("best.file", "best.at")
+    places = sets.select("file", "at").unionByName(again.select("file", "at"))
+    gone = written(places.join(kept, ["file", "at"], "left_anti"), "gone")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), *_place(docs))
+    return _without(whole, gone, "file", "at").select("kept.*")

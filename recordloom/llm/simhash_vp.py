@@ -1,19 +1,22 @@
 """SimHash near-duplicates, found in shards of a vantage-point tree over fingerprints.
 
-A bounded sample of distinct fingerprints, one in 16 or fewer, makes the tree: a node keeps a vantage point v and the median m of the
-sample's distances to it. A fingerprint at distance d from v goes inside if d <= m and outside otherwise. Two
-fingerprints at most 2 * REACH bits apart have one halfway that is within REACH bits of both; so each goes to every
-shard that its ball of radius REACH meets (by the triangle bound: inside if d - REACH <= m, outside if d + REACH > m),
-and any two to be linked meet in the shard of the one halfway. Only those near a boundary go to several shards.
+A bounded sample of distinct fingerprints, one in 16 or fewer, makes the tree: a node keeps a vantage point v and a radius m.
+A fingerprint at distance d from v goes inside if d <= m and outside otherwise. Two fingerprints at most 2 * REACH bits
+apart have one halfway that is within REACH bits of both; so each goes to every shard that its ball of radius REACH
+meets (by the triangle bound: inside if d - REACH <= m, outside if d + REACH > m), and any two to be linked meet in the
+shard of the one halfway. Only those near a boundary go to several shards; see _split() for the choice of m.
 
 A shard is searched by a task with a tree of its own, and exactly: below LEAF fingerprints all are compared in blocks;
 where splitting no longer parts them (a dense cluster), they are met by their neighbours at REACH bits, 65 keys for
 each, of which a key can have 65 fingerprints at most. A shard returns a spanning forest of its links, never all pairs.
-Shards over SHARD_MOST are dealt by those keys as a whole, over all tasks.
-
-Cases: a null or empty text has fingerprint zero, linked like any other; equal texts share a fingerprint, are one row
-of the search, and meet again by a join; rows with a null doc_id belong to their group, whose component_id is its
-smallest doc_id that isn't null; an empty table gives an empty one; other columns are ignored, or kept by keep_one().
+Shards are large (SHARD), since copies within a task cost less than those that are shuffled; of random fingerprints,
+which have no clusters, some K ** 0.23 copies go to K shards. A shard over SHARD_MOST is a dense cluster as a whole, or one
+of more than SHARD times the sample's size; it is dealt by those 65 keys over all tasks.
+
+Cases: a null or empty text has fingerprint zero, linked like any other; a bit that is set in just half of the hashes
+isn't set; equal texts share a fingerprint, are one row of the search, and meet again by a join; a very long text has one
+fingerprint of all of it; rows with a null doc_id belong to their group, whose component_id is its smallest doc_id that
+isn't null; an empty table gives an empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +32,8 @@ from .components import components, hot_lookup
 
 #: Fingerprints link at 2 * REACH differing bits or fewer.
 REACH = 1
-#: Fingerprints in a shard, about; in the tree's sample at most; in a shard that one task searches at most; in a leaf.
-SHARD, SAMPLE, SHARD_MOST, LEAF = 2048, 1 << 17, 200_000, 4096
-#: Buckets of ids that are broadcast, at most.
-BUCKETS = 1 << 20
+#: Fingerprints in a shard, about, and at least; in the tree's sample at most; in a shard that one task searches at most; in a leaf.
+SHARD, SHARD_LEAST, SAMPLE, SHARD_MOST, LEAF = 1 << 20, 2048, 1 << 17, 1 << 22, 4096
 
 
 def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
@@ -74,31 +75,64 @@ def distances(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 
 
 class Tree:
-    """The upper part of the tree as arrays; node 1 is the root, node k has children 2k and 2k + 1."""
-
-    def __init__(self, sample: np.ndarray, shards: int):
-        self.depth = max(0, int(np.ceil(np.log2(max(1, shards)))))
-        self.points, self.radii = np.zeros(1 << self.depth, np.uint64), np.full(1 << self.depth, 64, np.int64)
-        parts = {1: sample}
-        for node in range(1, 1 << self.depth):
-            own = parts.pop(node)
-            if len(own):
-                v = self.points[node] = _vantage(own)
-                d = distances(own, v)
-                m = self.radii[node] = int(np.median(d))
-                parts[2 * node], parts[2 * node + 1] = own[d <= m], own[d > m]
-            else:
-                parts[2 * node] = parts[2 * node + 1] = own
+    """The upper part of the tree as arrays: for node k its point, its radius and the node inside; the one outside is next.
+
+    Nodes to which more than `most` of the sample go, copies counted, are split, where _split() finds a way.
+    """
+
+    def __init__(self, sample: np.ndarray, most: int, reach: int = REACH):
+        points, radii, inside, todo = [np.uint64(0)], [64], [0], [(0, sample)]
+        while todo:
+            node, own = todo.pop()
+            if len(own) <= most or (found := _split(own, reach)) is None:
+                continue
+            points[node], radii[node], inside[node] = *found, len(points)
+            d = distances(own, found[0]).astype(np.int64)
+            todo += [(len(points), own[d - reach <= found[1]]), (len(points) + 1, own[d + reach > found[1]])]
+            for held, x in ((points, np.uint64(0)), (radii, 64), (inside, 0)):
+                held += [x, x]
+        self.points, self.radii, self.inside = np.array(points, np.uint64), np.array(radii, np.int64), np.array(inside, np.int64)
+
+    @property
+    def size(self) -> int:
+        """How many shards there are."""
+        return int((self.inside == 0).sum())
 
     def shards(self, fps: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
         """(row, shard) for each shard that the ball of a fingerprint meets."""
-        row, node = np.arange(len(fps)), np.ones(len(fps), np.int64)
-        for _ in range(self.depth):
+        row, node, rows, nodes = np.arange(len(fps)), np.zeros(len(fps), np.int64), [], []
+        while len(row):
+            leaf = self.inside[node] == 0
+            rows.append(row[leaf]), nodes.append(node[leaf])
+            row, node = row[~leaf], node[~leaf]
             d, m = distances(fps[row], self.points[node]).astype(np.int64), self.radii[node]
             low, high = d - reach <= m, d + reach > m
-            row = np.concatenate([row[low], row[high]])
-            node = np.concatenate([2 * node[low], 2 * node[high] + 1])
-        return row, node
+            row, node = np.concatenate([row[low], row[high]]), np.concatenate([self.inside[node[low]], self.inside[node[high]] + 1])
+        return np.concatenate([*rows, row]), np.concatenate([*nodes, node])
+
+
+def _split(own: np.ndarray, reach: int) -> tuple[np.uint64, int] | None:
+    """A vantage point and a radius that parts them, or None where none does without many copies.
+
+    With the shares a and b of them that go inside and outside, copies counted, all in all some (n / most) ** g rows of n
+    come of such splits, where a ** g + b ** g = 1. The radius is the one with the least g: in a gap between clusters g is
+    1, and else a small ball often is better than half of them, for its shell holds few.
+    """
+    v = _vantage(own)
+    n = np.cumsum(np.bincount(distances(own, v), minlength=65 + reach)) / len(own)
+    m = np.arange(65)
+    a, b = n[m + reach], 1 - np.where(m >= reach, n[m - reach], 0)
+    able = (a <= 63 / 64) & (b <= 63 / 64) & (a + b <= 1.5)
+    if not able.any():
+        return None
+    m, a, b = m[able], a[able], b[able]
+    low, high = np.ones(len(m)), np.full(len(m), 64.0)
+    for _ in range(20):
+        g = (low + high) / 2
+        over = a**g + b**g > 1
+        low, high = np.where(over, g, low), np.where(over, high, g)
+    best = np.flatnonzero(high <= high.min() + 1e-3)
+    return v, int(m[best[np.abs(a[best] - b[best]).argmin()]])
 
 
 def _vantage(own: np.ndarray) -> np.uint64:
@@ -147,13 +181,11 @@ def spanning_links(fps: np.ndarray, reach: int = REACH, leaf: int = LEAF) -> lis
                 for i, j in pairs:
                     forest.link(zip(i.tolist(), j.tolist(), strict=True))
             continue
-        v = _vantage(fps[rows])
-        d = distances(fps[rows], v).astype(np.int64)
-        m = int(np.median(d))
-        low, high = rows[d - reach <= m], rows[d + reach > m]
-        if max(len(low), len(high)) < 0.8 * len(rows):
-            todo += [low, high]
-        else:
+        found = _split(fps[rows], reach)
+        if found is not None:
+            d = distances(fps[rows], found[0]).astype(np.int64)
+            todo += [rows[d - reach <= found[1]], rows[d + reach > found[1]]]
+        else:  # a dense cluster, which splitting doesn't part
             _by_neighbours(fps, rows, forest)
     return forest.edges
 
@@ -172,15 +204,18 @@ def _by_neighbours(fps: np.ndarray, rows: np.ndarray, forest: _Forest) -> None:
 
 def links(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """a, b: fingerprints that span the components. distinct: a written table of distinct fp."""
-    n = distinct.count()
+    spark, n = distinct.sparkSession, distinct.count()
+    # Smaller ones where there would be fewer than tasks.
+    shard = min(shard, max(SHARD_LEAST, -(-n // int(spark.conf.get("spark.sql.shuffle.partitions")))))
     rate = int(min(0.9 * sample / max(1, n), 1 / 16) * (1 << 30))
     few = distinct.select("fp").where(F.expr(f"pmod(xxhash64(fp), {1 << 30}) < {rate}")).take(sample)
-    tree = Tree(np.sort(np.array([r[0] for r in few], np.int64)).view(np.uint64), min(-(-n // shard), sample // 8))
+    few = np.sort(np.array([r[0] for r in few], np.int64)).view(np.uint64)
+    tree = spark.sparkContext.broadcast(Tree(few, max(8, int(shard * len(few) / max(1, n)))))  # `sample` nodes at most
 
     def route(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy()
-            row, node = tree.shards(fps.view(np.uint64))
+            row, node = tree.value.shards(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fps[row])], ["shard", "fp"])
 
     routed = written(distinct.select("fp").mapInArrow(route, "shard bigint, fp bigint"), "shards")
@@ -212,26 +247,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = joined.join(least, "component").select("fp", "component_id", "n")
     out = hot_lookup(own, written(table, "groups"), "fp", "n")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the smallest id of each group, with all their columns; of rows with that same id one stays.
-
-    Rows with a null id can't stand for a group and all stay.
-    """
-    key = F.col(f"`{id_col}`")
-    found = near_duplicates(docs, id_col, text_col).where("doc_id is not null")
-    ids = written(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stands")), "near")
-    gone = ids.where("not stands or rows > 1").select(F.col("doc_id").alias("_gone"))
-    # Ids that go are told by buckets of their hashes, BUCKETS at most, which are broadcast: a row in none of their buckets
-    # surely stays and needn't move. Only the others, those that go and one in 16 besides, are shuffled for the join.
-    n = min(BUCKETS, 1 << max(4, (16 * gone.count()).bit_length()))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
-    marked = F.broadcast(gone.select(bucket(F.col("_gone")).alias("_bucket")).distinct())
-    held = docs.withColumn("_doc_bucket", bucket(key.cast(ids.schema["doc_id"].dataType)))
-    same = F.col("_doc_bucket") == F.col("_bucket")
-    out = held.join(marked, same, "left_anti").unionByName(held.join(marked, same, "left_semi").join(gone.hint("merge"), key == F.col("_gone"), "left_anti")).drop("_doc_bucket")
-    again = ids.where("stands and rows > 1").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return out
-    return out.unionByName(docs.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col]))

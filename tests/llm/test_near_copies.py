@@ -51,12 +51,15 @@ def corpus(seed=1):
     return [(i, x, "k") for i, x in zip(ids, data, strict=True)]
 
 
-@pytest.mark.parametrize("star", [16, 2])
-def test_one_of_each_group_stays(spark, monkeypatch, star):
-    monkeypatch.setattr(near_copies, "STAR", star)
-    data = corpus(star)
+@pytest.mark.parametrize("stored", [True, False])
+def test_one_of_each_group_stays(spark, tmp_path, stored):
+    data = corpus(2 + stored)
     want = sorted(i for _, i, _ in groups(data))
-    out = near_copies.keep_one(spark.createDataFrame(data, SCHEMA))
+    docs = spark.createDataFrame(data, SCHEMA)
+    if stored:
+        docs.repartition(3).write.parquet(f"file://{tmp_path}/docs")
+        docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    out = near_copies.keep_one(docs)
     assert out.columns == ["doc_id", "text", "kept"] and sorted(r[0] for r in out.collect()) == want
     assert len(want) < len({x for _, x, _ in data}) - 10
     assert near_copies.keep_one(out.limit(0)).count() == 0
@@ -77,3 +80,20 @@ def test_rows_are_told_apart_where_ids_are_equal_or_null(spark):
     data = [(1, one, "k"), (1, two, "k"), (0, one, "k"), (None, three, "k"), (None, three, "k"), (None, two, "k")]
     got = [(r["doc_id"], r["text"]) for r in near_copies.keep_one(spark.createDataFrame(data, SCHEMA)).collect()]
     assert len(got) == 3 and set(got) == {(0, one), (1, two), (None, three)}
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["doc_id", "text", "row", "file", "at", "set", "h", "met", "bucket", "component", "kept", "_metadata", "fp", "open", "node", "best"]
+    text = " ".join(f"t{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text + (" end" if i == 3 else "") if i != 2 else "other words", *(f"{n}{i}" for n in names[2:])) for i in range(4)], ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    out = near_copies.keep_one(docs)
+    assert out.columns == names and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.where("doc_id in (0, 2)").collect()))
+
+
+def test_a_large_group_is_linked_by_few_comparisons(spark, monkeypatch):
+    base = [f"b{i}" for i in range(120)]
+    data = [(i, " ".join([*base[:60], f"x{i}", *base[60:]]), "k") for i in range(150)]
+    seen, inner = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or inner(pairs, *rest))
+    assert [r["doc_id"] for r in near_copies.keep_one(spark.createDataFrame(data, SCHEMA)).collect()] == [0]
+    assert sum(seen) < 3 * len(data)

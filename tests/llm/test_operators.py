@@ -377,10 +377,6 @@ def test_near_duplicates(spark, docs, none, monkeypatch):
     assert simhash_vp.near_duplicates(none).count() == 0
     monkeypatch.setattr(simhash_vp, "SHARD_MOST", 3)  # all shards by their neighbours' keys
     assert sorted(map(tuple, simhash_vp.near_duplicates(own).collect()), key=str) == want
-    kept = simhash_vp.keep_one(own)
-    assert kept.columns == own.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({*low.values(), None}, key=str)
-    assert simhash_vp.keep_one(none).count() == 0
 
 
 def test_components(spark):
