@@ -4,12 +4,16 @@ Documents are tokenized, given an end id and cut only where longer than a sequen
 (or a new one) that leaves the sum over residual gaps g of N(g)^2 smallest, N(g) being the open bins with gap g; the
 pieces of a group come in order of falling length.
 
-Pieces are numbered when they are written and dealt to groups by a hash of that number, about GROUP in each, so that every group has the lengths of
-the whole corpus and no group is large. What a group leaves in bins that aren't full is dealt anew, into fewer and
-fewer groups, until one is left or nothing changes: the last round packs only what all the others left over.
-
-Cases: a null text is an empty one, and an empty document still has its end id; equal rows are packed each for itself;
-an empty table gives an empty one; other columns of the input are ignored.
+Pieces are numbered when they are written and dealt to groups by a hash of that number, about GROUP in each, so that
+every group has the lengths of the whole corpus and no group is large. What a group leaves in bins that aren't full is
+dealt anew, into fewer and fewer groups, until one is left or nothing changes: the last round packs only what all the
+others left over.
+
+Cases: a null text is an empty one, and an empty document still has its end id; a very long text is cut into as many
+pieces as it needs; equal rows are packed each for itself; pieces of one length go in the order of their numbers, and of
+gaps that are equally good the smallest is taken, an open bin only where it is better than a new one; an empty table
+gives an empty one; other columns of the documents are ignored by pieces(), and all columns, whatever their names, are
+kept by pack(), but for sequence_id and offset, which it gives anew.
 """
 
 from __future__ import annotations
@@ -78,8 +82,8 @@ def sum_of_squares(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, n
 
 def _placing(groups: int, last: bool, number: int, size: int):
     def place(rows: pa.Table) -> pa.Table:
-        group = rows["_group"][0].as_py()
-        rows = rows.drop_columns("_group").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        group = rows["group"][0].as_py()
+        rows = rows.drop_columns("group").sort_by([("length", "descending"), ("row", "ascending")])
         bins, offsets, gaps = sum_of_squares(rows["length"].to_numpy(), size)
         # Round, group and bin as one number; rounds are few, for each leaves a small part.
         rows = rows.append_column("sequence_id", pa.array(((bins * groups + group) << 6) | number))
@@ -90,22 +94,23 @@ def _placing(groups: int, last: bool, number: int, size: int):
 
 
 def pack(lengths: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """The columns of `lengths` with sequence_id and offset. It has doc_id, piece and length (at most `size`)."""
-    own = [c for c in lengths.columns if c not in ("sequence_id", "offset")]
-    todo = written(lengths.select(*own, F.monotonically_increasing_id().alias("_row")), "pieces")
+    """The columns of `lengths` with sequence_id and offset. It has length (1 to `size`) of each piece."""
+    # The caller's columns are one struct, so that no name of theirs meets one of these.
+    own = F.struct(*(F.col(f"`{c}`") for c in lengths.columns if c not in ("sequence_id", "offset")))
+    todo = written(lengths.select(own.alias("own"), F.col("length").cast("bigint").alias("length"), F.monotonically_increasing_id().alias("row")), "pieces")
     n, left, done, number = todo.count(), None, None, 0
     schema = T.StructType([*todo.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
 
     while True:
         groups, last = max(1, -(-n // group)), n <= group or n == left or number == ROUNDS - 1
 
-        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(number)), F.lit(groups)))
-        placed = written(dealt.groupBy("_group").applyInArrow(_placing(groups, last, number, size), schema), "placed")
-        shut = placed.where(~F.col("open")).drop("open", "_row")
+        dealt = todo.withColumn("group", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(groups)))
+        placed = written(dealt.groupBy("group").applyInArrow(_placing(groups, last, number, size), schema), "placed")
+        shut = placed.where("not open").select("own.*", "sequence_id", "offset")
         done = shut if done is None else done.unionByName(shut)
         if last:
             return done
-        todo, left, number = placed.where("open").select(*own, "_row"), n, number + 1
+        todo, left, number = placed.where("open").select("own", "length", "row"), n, number + 1
         n = todo.count()
         if n == 0:
             return done
