@@ -1,4 +1,4 @@
-"""Reachability and cycles of directed graphs held as edge tables."""
+"""Cycles of directed graphs held as edge tables."""
 
 from __future__ import annotations
 
@@ -10,39 +10,77 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder where one is set, else as it is: rounds would otherwise grow the plan."""
-    where = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """df written to the folder in spark.checkpoint.dir and read again, so that rounds don't grow the plan.
+
+    Where that is unset, df is kept by a local session, and on a cluster this raises: its executors share no other folder.
+    """
+    context = df.sparkSession.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         return df.persist()
     path = f"{where.rstrip('/')}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, scope: str = "repo_id", rounds: int = 32) -> DataFrame:
-    """(scope, src, dst) for every path of one or more edges; lengths double each round until nothing is new.
+def _fixpoint(df: DataFrame, step, state) -> tuple[DataFrame, tuple]:
+    """df after so many steps that state(df), a row of aggregates, no longer changes."""
+    df, known = _cut(df), None
+    while True:
+        now = tuple(state(df))
+        if now == known:
+            return df, now
+        df, known = _cut(step(df)), now
 
-    For graphs whose closure fits the cluster, as those of records do; it has a row for each pair that is connected.
-    """
-    known = _cut(edges.select(scope, "src", "dst").distinct())
-    n = known.count()
-    for _ in range(rounds):
-        step = known.select(scope, F.col("src").alias("_mid"), F.col("dst"))
-        longer = known.select(scope, "src", F.col("dst").alias("_mid")).join(step, [scope, "_mid"]).select(scope, "src", "dst")
-        known = _cut(known.unionByName(longer).distinct())
-        more = known.count()
-        if more == n:
-            break
-        n = more
-    return known
+
+def trimmed(edges: DataFrame, scope: str = "repo_id") -> tuple[DataFrame, int]:
+    """The edges left, and their number, when nodes that no edge enters or none leaves are taken away until there are none."""
+
+    def step(e: DataFrame) -> DataFrame:
+        heads, tails = e.select(scope, F.col("dst").alias("src")).distinct(), e.select(scope, F.col("src").alias("dst")).distinct()
+        return e.join(heads, [scope, "src"], "left_semi").join(tails, [scope, "dst"], "left_semi").select(scope, "src", "dst")
+
+    left, (n,) = _fixpoint(edges.select(scope, "src", "dst").distinct(), step, lambda e: e.agg(F.count("*")).first())
+    return left, n
 
 
 def on_cycles(edges: DataFrame, scope: str = "repo_id") -> DataFrame:
-    """(scope, node, component): nodes that reach themselves, and the smallest node that each shares a cycle with."""
-    all_pairs = reachable(edges, scope)
-    back = all_pairs.select(scope, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = all_pairs.join(back, [scope, "src", "dst"])
-    return both.groupBy(scope, F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    """(scope, node, component): nodes on cycles, and the smallest node that each shares a cycle with.
+
+    Nodes off all cycles are trimmed first. Then each node takes the least node from which it can be reached, as its
+    colour; of a colour, those that reach the node it is named for are one component, and are taken away; and so on with
+    the edges left within colours. Every table has a row for an edge or a node, never for a pair of connected nodes;
+    rounds are as many as paths between cycles are long, and components one behind another.
+    """
+    left, n = trimmed(edges, scope)
+    found = left.select(scope, F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    total = lambda c: F.sum(F.xxhash64(scope, "node", c).cast("decimal(38,0)"))
+    while n:
+        nodes = left.select(scope, F.col("src").alias("node"), F.col("src").alias("colour")).distinct()  # trimmed, so each has an edge out
+
+        def spread(own: DataFrame, edges: DataFrame = left) -> DataFrame:
+            there = edges.join(own.withColumnRenamed("node", "src"), [scope, "src"]).select(scope, F.col("dst").alias("node"), "colour")
+            return own.unionByName(there).groupBy(scope, "node").agg(F.min("colour").alias("colour"))
+
+        colours, _ = _fixpoint(nodes, spread, lambda own: own.agg(F.count("*"), total("colour")).first())
+        a, b = (colours.select(scope, F.col("node").alias(c), F.col("colour").alias(f"of_{c}")) for c in ("src", "dst"))
+        inner = _cut(left.join(a, [scope, "src"]).join(b, [scope, "dst"]).where("of_src = of_dst").select(scope, "src", "dst", F.col("of_src").alias("colour")))
+
+        def back(own: DataFrame, edges: DataFrame = inner) -> DataFrame:
+            behind = edges.join(own.withColumnRenamed("node", "dst"), [scope, "dst", "colour"], "left_semi").select(scope, F.col("src").alias("node"), "colour")
+            return own.unionByName(behind).distinct()
+
+        whole, _ = _fixpoint(colours.where("node = colour"), back, lambda own: own.agg(F.count("*")).first())
+        # A component of one node is a cycle only by an edge to itself.
+        loops = left.where("src = dst").select(scope, F.col("src").alias("node"))
+        sizes = whole.groupBy(scope, "colour").agg(F.count("*").alias("size"))
+        real = whole.join(sizes.where("size > 1").select(scope, "colour"), [scope, "colour"], "left_semi").unionByName(whole.join(sizes.where("size = 1").select(scope, "colour"), [scope, "colour"], "left_semi").join(loops, [scope, "node"], "left_semi").select(whole.columns))
+        found = found.unionByName(real.select(scope, "node", F.col("colour").alias("component")))
+        gone = whole.select(scope, F.col("node").alias("src"))
+        left, n = trimmed(inner.join(gone, [scope, "src"], "left_anti").join(gone.withColumnRenamed("src", "dst"), [scope, "dst"], "left_anti"), scope)
+    return found
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -50,34 +88,38 @@ def cycles(edges: DataFrame) -> DataFrame:
 
     edges: repo_id, src, dst, src_ord, pos. Nodes are walked depth first in the order of src_ord, their edges by pos; a
     walk that meets a node on its own path has closed a cycle, told once for each set of nodes. Only the nodes of
-    cycles, found by joins, go to a repository's walk, so what a task gathers is a repository's tangle, not its graph.
+    cycles go to the walk, a task for each component, so what a task gathers is a tangle, not a graph.
     """
-    tangled = on_cycles(edges)
+    tangled = _cut(on_cycles(edges))
     a, b = tangled.select("repo_id", F.col("node").alias("src"), F.col("component").alias("_a")), tangled.select("repo_id", F.col("node").alias("dst"), F.col("component").alias("_b"))
     inner = edges.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"]).where("_a = _b").select("repo_id", "src", "dst", "src_ord", "pos", F.col("_a").alias("component"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["src_ord", "pos"])
-        after = rows.groupby("src", sort=False)["dst"].agg(list).to_dict()
-        state, told, out = {}, set(), []
-        for start in after:
-            if start in state:
-                continue
-            state[start], path, todo = 1, [start], [iter(after[start])]
-            while todo:
-                nxt = next(todo[-1], None)
-                if nxt is None:
-                    state[path.pop()] = 2
-                    todo.pop()
-                elif state.get(nxt) == 1:
-                    ring = path[path.index(nxt) :]
-                    if frozenset(ring) not in told:
-                        told.add(frozenset(ring))
-                        out.append((path[-1], [*ring, nxt]))
-                elif nxt not in state:
-                    state[nxt] = 1
-                    path.append(nxt)
-                    todo.append(iter(after.get(nxt, ())))
-        return pd.DataFrame({"repo_id": [rows["repo_id"].iloc[0]] * len(out), "node": [x[0] for x in out], "cycle": [x[1] for x in out]})
+        out = _closed(list(rows.sort_values(["src_ord", "pos"])[["src", "dst"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({"repo_id": [rows["repo_id"].iloc[0]] * len(out), "node": [ring[-1] for ring in out], "cycle": [[*ring, ring[0]] for ring in out]})
 
     return inner.groupBy("repo_id", "component").applyInPandas(walk, "repo_id string, node string, cycle array<string>")
+
+
+def _closed(edges: list[tuple[str, str]]) -> list[list[str]]:
+    """The cycles that a depth-first walk closes, in the order in which it does; edges come in the walk's order."""
+    following: dict[str, list[str]] = {}
+    for src, dst in edges:
+        following.setdefault(src, []).append(dst)
+    depth: dict[str, int] = {}  # of nodes on the path; -1 for those that are done with
+    path: list[str] = []
+    rings: dict[frozenset, list[str]] = {}
+    # A stack of edges to try, each with the depth of the node that it leaves.
+    stack = [(0, node) for node in reversed(following)]
+    while stack:
+        at, node = stack.pop()
+        while len(path) > at:
+            depth[path.pop()] = -1
+        if node not in depth:
+            depth[node] = at
+            path.append(node)
+            stack += [(at + 1, x) for x in reversed(following.get(node, []))]
+        elif depth[node] >= 0:
+            ring = path[depth[node] :]
+            rings.setdefault(frozenset(ring), ring)
+    return list(rings.values())

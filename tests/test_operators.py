@@ -56,12 +56,38 @@ def test_cycles(spark):
     assert graph.cycles(edges(spark, ("a", "b"), ("b", "c"))).count() == 0
 
 
+def test_components_of_cycles_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    pairs = {(f"{rng.choice('pq')}", a, b) for _ in range(90) for a, b in [(rng.randrange(40), rng.randrange(40))]} | {("p", 100 + i, 101 + i) for i in range(30)} | {("p", 130, 100), ("q", 7, 7), ("q", 200, 201)}
+    after = {}
+    for r, a, b in pairs:
+        after.setdefault((r, a), set()).add((r, b))
+
+    def reached(start):
+        seen, todo = set(), list(after.get(start, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        return seen
+
+    far = {x: reached(x) for x in after}
+    want = sorted((r, n, min(b for (s, b) in far[r, n] if (r, n) in far.get((s, b), ()))) for r, n in far if (r, n) in far[r, n])
+    got = graph.on_cycles(spark.createDataFrame(list(pairs), "repo_id string, src bigint, dst bigint"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 30
+
+
 def test_patches(spark):
     assert patched(b"first\nsecond\n", b"--- a\n+++ b\n@@ -1,0 +2 @@\n+inserted\n") == b"first\ninserted\nsecond\n"
     assert patched(b"a\nb\nc\n", b"@@ -1,3 +1,3 @@\n a\n-b\n+B\n c\n") == b"a\nB\nc\n"
-    for patch, said in ((b"nothing", "no unified-diff hunks"), (b"@@ -1 +1 @@\n-x\n+y\n", "does not match"), (b"@@ -2 +2 @@\n-b\n@@ -1 +1 @@\n-a\n", "out of order")):
+    assert patched(b"a\nb", b"--- a\n+++ b\n@@ -2 +2 @@\n-b\n\\ No newline at end of file\n+c\n") == b"a\nc\n"
+    assert patched(b"a\nb\nc\nd\n", b"@@ -1 +1,2 @@ x\n a\n+A\n@@ -4 +5,0 @@\n-d\n--- next\n") == b"a\nA\nb\nc\n"
+    for patch, said in ((b"nothing", "no hunk"), (b"@@ -1 +1 @@\n-x\n+y\n", "doesn't fit"), (b"@@ -2 +2 @@\n-b\n+b\n@@ -1 +1 @@\n-a\n+a\n", "before the end"), (b"@@ -1,2 +1 @@\n-a\n+y\n", "its head says"), (b"@@ -9 +9 @@\n-x\n+x\n", "doesn't fit")):
         with pytest.raises(ValueError, match=said):
             patched(b"a\nb\n", patch)
     df = spark.createDataFrame([(b"a\n", b"@@ -1 +1 @@\n-a\n+b\n"), (b"a\n", b"no"), (None, b"x")], "s binary, p binary")
     got = [r[0] for r in df.select(apply_patch("s", "p")).collect()]
-    assert bytes(got[0]["content"]) == b"b\n" and "no unified-diff" in got[1]["error"] and got[2] == (None, None)
+    assert bytes(got[0]["content"]) == b"b\n" and "no hunk" in got[1]["error"] and got[2] == (None, None)
