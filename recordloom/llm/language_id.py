@@ -39,7 +39,7 @@ LONGEST, ROUNDS, SCALED = 256, 2, 8
 #: How far a language's distribution is drawn to that of all of them, and that one to an even one: shares of all counts.
 POOLED, EVEN = 0.001, 0.01
 #: Words that a task counts before it sends its counts on; words whose scores a worker keeps, in two halves.
-HELD, REMEMBERED = 500_000, 200_000
+HELD, REMEMBERED = 150_000, 150_000
 #: keep() takes a text for none of the languages that lies so many standard deviations of a word below the usual; the least
 #: deviation that counts (a few memorised words have hardly any).
 FAR, SPREAD = 5.0, 0.7
@@ -215,18 +215,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         held: dict[str, Counter] = defaultdict(Counter)
 
-        def batch_of():
-            rows = [(lang, w, n) for lang, own in held.items() for w, n in own.items()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+        def counts():
+            while held:
+                lang, own = held.popitem()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["lang", "word", "n"])
 
         for batch in text_slices(batches):
             for lang, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 held[lang].update(words(text))
-            if sum(map(len, held.values())) > HELD:
-                yield batch_of()
-        if any(held.values()):
-            yield batch_of()
+                if sum(map(len, held.values())) > HELD:
+                    yield from counts()
+        yield from counts()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 

@@ -42,7 +42,7 @@ WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Texts in the sample at most, shingles that count as common at most.
 SAMPLE, COMMON = 1 << 15, 1 << 20
 #: Buckets of rows that are broadcast, and words whose hashes a task remembers, at most.
-BUCKETS, REMEMBERED = 1 << 20, 1 << 19
+BUCKETS, REMEMBERED = 1 << 20, 1 << 16
 
 
 class Shingles:
