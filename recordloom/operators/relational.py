@@ -32,6 +32,11 @@ def later_occurrences(rows: DataFrame, keys: Sequence[str], order: Sequence[Colu
     return rows.withColumn("_n", F.row_number().over(w)).withColumn("other", other).where("_n > 1").drop("_n")
 
 
+def first_and_last_by(rows: DataFrame, keys: Sequence[str], order: Column | str, value: str, first: str, last: str) -> DataFrame:
+    """One row for each key, with the value of its smallest order and that of its largest, in one pass."""
+    return rows.groupBy(*keys).agg(F.min_by(value, order).alias(first), F.max_by(value, order).alias(last))
+
+
 def first_by(rows: DataFrame, keys: Sequence[str], order: Column | str, values: Sequence[str]) -> DataFrame:
     """One row for each key, that of the smallest order; an aggregate, so a hot key is met by partial minima."""
     return rows.groupBy(*keys).agg(*(F.min_by(v, order).alias(v) for v in values))
@@ -86,6 +91,12 @@ def owners(paths: DataFrame, patterns: DataFrame, path: str, scope: Sequence[str
     return hit.groupBy(*paths.columns).agg(F.sort_array(F.collect_set("_id")).alias("owners"))
 
 
+def owners_of(path: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:
+    """The sorted ids of a few fixed patterns (id, regex, head) that match: a projection, each pattern compiled once."""
+    own = F.array_compact(F.array(*(F.when(F.startswith(path, F.lit(head)) & path.rlike(regex), F.lit(i)) for i, regex, head in patterns)))
+    return F.sort_array(F.array_distinct(own))
+
+
 def most_specific(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str, value: str, scope: Sequence[str] = ()) -> DataFrame:
     """rows with `value` of the longest prefix that is the text or a folder above it, null if there is none.
 
@@ -102,12 +113,13 @@ def most_specific(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str,
 def missing_values(used: DataFrame, column: str, first: int, want: int) -> DataFrame:
     """The `want` smallest numbers from `first` on that aren't used, with rank from 1.
 
-    Among first .. first + want + used - 1 there are always enough, and the gaps are found by an anti-join.
+    Among first .. first + want + used - 1 there are always enough; they are counted first, so that the range is dealt
+    over tasks, and the gaps are found by an anti-join.
     """
     own = used.select(F.col(column).cast("bigint").alias("value")).where(F.col("value") >= first).distinct()
-    span = own.agg(F.expr(f"sequence({first}L, {first}L + {want} + count(*))").alias("s")).select(F.explode("s").alias("value"))
+    span = used.sparkSession.range(first, first + want + own.count()).select(F.col("id").alias("value"))
     free = span.join(own, "value", "left_anti").orderBy("value").limit(want)
-    return free.select("value", F.row_number().over(Window.orderBy("value")).alias("rank"))
+    return free.select("value", F.row_number().over(Window.orderBy("value")).alias("rank"))  # `want` rows
 
 
 def next_id(used: DataFrame, column: str, width: int, start: int = 0) -> DataFrame:

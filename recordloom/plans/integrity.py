@@ -341,14 +341,21 @@ def dashboard(r: Records, as_of: str) -> DataFrame:
 SCHEMA_FILES = {"work": "work-item.schema.json", "evidence": "evidence-run.schema.json", "findings": "audit-finding.schema.json", "invariants": "invariants.schema.json", "frozen": "frozen-surface.schema.json", "adopters": "adopter-fleet.schema.json"}
 
 
+#: Distinct schema texts that one plan compiles, at most.
+SCHEMA_TEXTS = 64
+
+
 def schemas(r: Records, given: dict[str, dict]) -> DataFrame:
     """Structural problems by JSON Schemas: {kind: schema} for the kinds of SCHEMA_FILES.
 
-    A repository's own schema file goes before the given one. Each distinct text of these few files is compiled once.
+    A repository's own schema file goes before the given one. Each distinct text of these files is compiled once, into a
+    branch of the plan; with over SCHEMA_TEXTS of them this raises ValueError, and the fleet is to be checked in parts.
     """
     whole = {"work": r.items.where(F.size("missing") == 0), "evidence": r.evidence.where(F.size("missing") == 0), "findings": r.findings, "invariants": r.invariants, "frozen": r.frozen, "adopters": r.adopters}
     local = r.files.where((F.col("parent") == "schemas") & F.col("name").isin(*(SCHEMA_FILES[k] for k in given)) & F.json_object_keys("text").isNotNull()).select("repo_id", "name", "text")
-    texts = [(x["name"], x["text"]) for x in local.select("name", "text").distinct().collect()]
+    texts = [(x["name"], x["text"]) for x in local.select("name", "text").distinct().take(SCHEMA_TEXTS + 1)]
+    if len(texts) > SCHEMA_TEXTS:
+        raise ValueError(f"over {SCHEMA_TEXTS} distinct schemas")
     frames = []
     for kind, schema in given.items():
         mine = local.where(F.col("name") == SCHEMA_FILES[kind])

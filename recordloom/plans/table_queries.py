@@ -89,8 +89,8 @@ def json_field_extract(table, spark: SparkSession) -> DataFrame:
 h AS (SELECT DISTINCT p_partkey, p_name, id FROM part LEFT JOIN g ON p_name GLOB pat)
 SELECT p_partkey, p_name, count(id) AS n_owners, coalesce(string_agg(id, ', ' ORDER BY id), '') AS owners FROM h GROUP BY p_partkey, p_name HAVING count(id) <> 1""")
 def glob_ownership(table, spark: SparkSession) -> DataFrame:
-    patterns = spark.createDataFrame([(i, t.glob_regex(g), t.glob_head(g)) for i, g in GLOBS], "id string, regex string, head string")
-    out = ops.owners(table("part").select("p_partkey", "p_name"), patterns, "p_name")
+    named = ops.owners_of(F.col("p_name"), [(i, t.glob_regex(g), t.glob_head(g)) for i, g in GLOBS])
+    out = table("part").select("p_partkey", "p_name", named.alias("owners"))
     return out.where(F.size("owners") != 1).select("p_partkey", "p_name", F.size("owners").cast("bigint").alias("n_owners"), F.array_join("owners", ", ").alias("owners"))
 
 
@@ -192,9 +192,7 @@ def dashboard_counts(table, spark: SparkSession) -> DataFrame:
 
 @_query("""SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey""")
 def first_and_last_wins(table, spark: SparkSession) -> DataFrame:
-    order = F.struct("o_orderdate", "o_orderkey")
-    a = ops.first_by(table("orders"), ["o_custkey"], order, ["o_orderkey"]).withColumnRenamed("o_orderkey", "first_order")
-    return a.join(ops.last_by(table("orders"), ["o_custkey"], order, ["o_orderkey"]).withColumnRenamed("o_orderkey", "last_order"), "o_custkey")
+    return ops.first_and_last_by(table("orders"), ["o_custkey"], F.struct("o_orderdate", "o_orderkey"), "o_orderkey", "first_order", "last_order")
 
 
 _FOLDERS = (("/en", "english"), ("/en/1", "first english"), ("/de", "german"))

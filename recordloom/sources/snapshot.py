@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,19 @@ def with_folders(files: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, roots: Mapping[str, str], glob: str | None = None) -> DataFrame:
-    """tree of repositories by id and folder; glob restricts the files' names at the scan."""
-    frames = []
-    for repo, root in roots.items():
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        if glob:
-            reader = reader.option("pathGlobFilter", glob)
-        at = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), F.lit("^" + t.re.escape("/" + root.split("://")[-1].strip("/")) + "/"), F.lit(""))
-        frames.append(reader.load(root).select(F.lit(repo).alias("repo_id"), at.alias("path"), "content"))
-    return with_folders(union_all(frames))
+    """tree of repositories by id and folder, in one scan of all folders; glob restricts the files' names at the scan."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    plain = {repo: ("/" + root.split("://")[-1].strip("/") if "://" in root else os.path.abspath(root)) for repo, root in roots.items()}
+    files = reader.load(list(roots.values())).select(F.split(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "/").alias("parts"), "content")
+    # A file belongs to the root that its first parts name; of roots in one another, both have it.
+    out = []
+    for deep in sorted({x.count("/") + 1 for x in plain.values()}):
+        own = spark.createDataFrame([(repo, x) for repo, x in plain.items() if x.count("/") + 1 == deep], "repo_id string, root string")
+        at = files.select(F.array_join(F.slice("parts", 1, deep), "/").alias("root"), F.array_join(F.slice("parts", deep + 1, F.greatest(F.size("parts"), F.lit(1))), "/").alias("path"), "content")
+        out.append(at.join(own, "root").select("repo_id", "path", "content"))
+    return with_folders(union_all(out))
 
 
 def from_texts(spark: SparkSession, repos: Mapping[str, Mapping[str, str | bytes | None]]) -> DataFrame:

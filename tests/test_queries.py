@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from recordloom.plans import table_queries
+from recordloom.plans import record_queries, repository_queries, table_queries
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="the driver's tables aren't here")
@@ -19,10 +19,13 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(table_queries.QUERIES))
-def test_same_rows_as_sql(spark, db, name):
-    mine = table_queries.QUERIES[name](spark, str(DATA))
-    theirs = db.sql(table_queries.SQL[name])
+MODULES = (table_queries, record_queries, repository_queries)
+
+
+@pytest.mark.parametrize("module, name", [(m, n) for m in MODULES for n in sorted(m.QUERIES)])
+def test_same_rows_as_sql(spark, db, module, name):
+    mine = module.QUERIES[name](spark, str(DATA))
+    theirs = db.sql(module.SQL[name])
     columns = sorted(mine.columns)
     assert columns == sorted(theirs.columns)
     at = [theirs.columns.index(c) for c in columns]
@@ -35,4 +38,11 @@ def test_entry_has_rows_and_a_stable_schema(spark):
 
 
 def test_every_query_has_a_sql_or_is_known_to_have_none():
-    assert set(table_queries.QUERIES) == set(table_queries.SQL)
+    for m in MODULES:
+        assert set(m.QUERIES) == set(m.SQL)
+
+
+@pytest.mark.parametrize("name", sorted(table_queries.QUERIES))
+def test_no_plan_compares_all_rows_with_all(spark, name):
+    plan = table_queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
