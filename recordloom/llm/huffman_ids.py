@@ -7,12 +7,14 @@ segment holds whole documents in ascending order of their ids, at least SEGMENT
     base              ids before it in its bucket
     doc_ids, lengths  its documents and how many ids each has
     payload           the codes' bits, most significant first, filled up to 64
-    checkpoints       little-endian unsigned 32-bit: the bit offset of each BLOCK of ids, which is decoded by itself
+    checkpoints       little-endian unsigned 64-bit: the bit offset of each BLOCK of ids, which is decoded by itself
 
 Beside it lies the table of code lengths (id, bits), from which the codes follow: shorter first, then by id.
 
-Cases: a null text is an empty one, and an empty document still has its end id; a null doc_id comes first; equal ids
-are ordered by their texts; an empty table gives empty tables; other columns of the input are ignored.
+Cases: a null text is an empty one, and an empty document still has its end id; ids may be of any type that can be
+ordered, and a null one comes first; rows with equal ids are ordered by hashes of their texts, then by these, and a
+frequent id has several buckets by those hashes; a very long text is a segment of its own; codes of equal length follow
+the order of ids; an empty table gives empty tables; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ def pack_bits(ids: np.ndarray, code: np.ndarray, bits: np.ndarray) -> tuple[byte
         words[word[first]] = np.bitwise_or.reduceat(whole, first)
         over = room < 0
         words[word[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)
-    return words.astype(">u8").tobytes(), at[::BLOCK].astype("<u4")
+    return words.astype(">u8").tobytes(), at[::BLOCK].astype("<u8")
 
 
 def unpack_bits(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
@@ -114,27 +116,55 @@ def unpack_bits(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np
 
 @dataclass
 class IdFiles:
-    """Where the segments and the code lengths lie."""
+    """Where the segments and the code lengths lie, and the type of the ids of documents."""
 
     segments: str
     lengths: str
+    kind: str
 
 
-_DOCS = "bucket int, segment int, base bigint, doc_ids array<bigint>, lengths array<bigint>"
+_DOCS = "bucket int, segment int, base bigint, doc_ids array<{}>, lengths array<bigint>"
+#: Ids of documents looked at for each bucket, to find their ranges.
+LOOKED_AT = 20
+
+
+def _buckets(docs: DataFrame) -> tuple[int, list[tuple]]:
+    """How many buckets there are at most, and where they begin: (doc_id, hash), of about equal numbers of rows.
+
+    From a sample of ids. An id that has more rows than a bucket gets several of them, by even ranges of hashes.
+    """
+    spark, total = docs.sparkSession, docs.count()
+    n = min(BUCKETS, max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rate = int(min(1.0, LOOKED_AT * n / max(1, total)) * (1 << 30))
+    # Of rows, not of ids, so that a frequent id shows; a row's number is only good for that.
+    few = docs.select("doc_id").where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < rate).groupBy("doc_id").count().collect()
+    few, seen, bounds = sorted(((r[0] is not None, r[0], r[1]) for r in few), key=lambda x: (x[0], x[1]) if x[0] else (x[0],)), 0, []
+    share = sum(x[2] for x in few) / n
+    for _, doc, k in few:
+        parts = int(-(-k // share)) if k > share else 0
+        if parts:
+            bounds += [(doc, -(1 << 63) + (1 << 64) * i // parts) for i in range(parts)]
+            seen = 0
+        elif seen >= share:
+            bounds.append((doc, -(1 << 63)))
+            seen = k
+        else:
+            seen += k
+    return n, bounds
 
 
 def _raw_segments(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """Segments with plain ids, from documents dealt to ranges of doc_id and sorted within."""
-    spark = docs.sparkSession
-    n = min(BUCKETS, max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    at = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    bounds = sorted(set(at)) if n > 1 else []
-    # The bucket is the number of bounds at or below doc_id.
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(f"size(filter(array({', '.join(map(str, bounds))}), x -> x <= doc_id))")) if bounds else F.lit(0)
+    (n, bounds), kind = _buckets(docs), docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    own = F.struct("doc_id", "hash")
+    starts = F.array(*(F.struct(F.lit(doc).cast(kind).alias("doc_id"), F.lit(h).cast("bigint").alias("hash")) for doc, h in bounds))
+    # The bucket is the number of bounds at or below a row; a null id is less than any other.
+    bucket = F.size(F.filter(starts, lambda x: x <= own)) if bounds else F.lit(0)
 
     def run(batches):
         table = byte_bpe(tokenizer)
-        place, number, base, total, held, ids, sizes = None, 0, 0, 0, [], [], []
+        place, number, base, total, held, ids, sizes, id_type = None, 0, 0, 0, [], [], [], None
 
         def segment():
             nonlocal number, base, total
@@ -146,10 +176,11 @@ def _raw_segments(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
             row = [[place], [number], [base], [list(held)], [list(sizes)], [sink.getvalue().to_pybytes()], [width]]
             number, base, total = number + 1, base + len(own), 0
             held.clear(), ids.clear(), sizes.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["bucket", "segment", "base", "doc_ids", "lengths", "raw", "width"])
 
         for batch in text_slices(batches):
+            id_type = batch.column(0).type
             got, at = table.encode(batch.column(1))
             for i, (doc, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if b != place:
@@ -164,8 +195,8 @@ def _raw_segments(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
         if ids:
             yield segment()
 
-    dealt = docs.withColumn("bucket", bucket.cast("int")).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "text")
-    return dealt.mapInArrow(run, f"{_DOCS}, raw binary, width int")
+    dealt = docs.withColumn("bucket", bucket.cast("int")).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "hash", "text")
+    return dealt.select("doc_id", "text", "bucket").mapInArrow(run, f"{_DOCS.format(kind)}, raw binary, width int")
 
 
 def _plain(raw: bytes, width: int) -> np.ndarray:
@@ -175,8 +206,9 @@ def _plain(raw: bytes, width: int) -> np.ndarray:
 def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> IdFiles:
     """Tokenizes the documents, each followed by `end`, and writes their ids; path: by default a new one in the shared folder."""
     spark = docs.sparkSession
-    df = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    files = IdFiles(*(f"{path or f'{shared_dir(spark)}/ids-{uuid.uuid4().hex}'}/{x}" for x in ("segments", "lengths")))
+    df = id_and_text(docs, id_col, text_col)
+    top = path or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    files = IdFiles(f"{top}/segments", f"{top}/lengths", df.schema["doc_id"].dataType.simpleString())
     segments = written(_raw_segments(df, tokenizer, end), "raw-ids", "uncompressed")
 
     def count(batches):
@@ -206,7 +238,7 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
                 payloads.append(payload), marks.append(checkpoints.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(payloads, pa.binary()), pa.array(marks, pa.binary())], [*batch.schema.names[:5], "payload", "checkpoints"])
 
-    segments.mapInArrow(code, f"{_DOCS}, payload binary, checkpoints binary").sortWithinPartitions("bucket", "segment").write.option("compression", "uncompressed").parquet(files.segments)
+    segments.mapInArrow(code, f"{_DOCS.format(files.kind)}, payload binary, checkpoints binary").sortWithinPartitions("bucket", "segment").write.option("compression", "uncompressed").parquet(files.segments)
     return files
 
 
@@ -216,7 +248,7 @@ def read(spark: SparkSession, files: IdFiles) -> DataFrame:
     lengths = np.zeros(max(bits, default=0) + 1, np.int64)
     for i, b in bits.items():
         lengths[i] = b
-    segments = spark.read.schema(f"{_DOCS}, payload binary, checkpoints binary").parquet(files.segments)
+    segments = spark.read.schema(f"{_DOCS.format(files.kind)}, payload binary, checkpoints binary").parquet(files.segments)
     # One row for each bucket, BUCKETS at most.
     ends = segments.groupBy("bucket").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).collect()
     before, total = {}, 0
@@ -229,10 +261,10 @@ def read(spark: SparkSession, files: IdFiles) -> DataFrame:
         for batch in batches:
             for bucket, _, base, docs, sizes, payload, marks in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 n = np.array(sizes, np.int64)
-                ids = unpack_bits(payload, np.frombuffer(marks, "<u4"), int(n.sum()), table).astype("<u4").tobytes()
+                ids = unpack_bits(payload, np.frombuffer(marks, "<u8"), int(n.sum()), table).astype("<u4").tobytes()
                 end = np.cumsum(n)
                 tokens = [ids[4 * a : 4 * b] for a, b in zip((end - n).tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(before[bucket] + base + end - n), pa.array(n), pa.array(tokens, pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(3).type.value_type), pa.array(before[bucket] + base + end - n), pa.array(n), pa.array(tokens, pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
 
-    return segments.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, tokens binary")
+    return segments.mapInArrow(decode, f"doc_id {files.kind}, start bigint, n_tokens bigint, tokens binary")
 
