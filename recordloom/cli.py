@@ -1,33 +1,87 @@
-"""Commands over folders of records: validate, dashboard, doctor, plan, retire, changed, owners, next-id."""
+"""Commands over folders of records.
+
+validate, dashboard, doctor, plan, retire, changed, owners and next-id read repositories; init, adopt and new tell, or write,
+files that aren't there yet; fleet-verify and release-closeout compare adopters with tables of what their remotes hold; spec
+prints the catalog of record kinds; conformance checks a folder of cases. What version control or a remote knows comes in
+files: lists of paths, one in a line, or JSON lines of the tables that the plans name.
+"""
 
 from __future__ import annotations
 
 import argparse
 import datetime
+import json
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordloom.plans import adoption, change, doctor, integrity, planning, report
+from recordloom import schemas
+from recordloom.plans import adoption, change, doctor, fleet, integrity, planning, report
 from recordloom.sources import snapshot
 from recordloom.sources.records import Records
 
+COMMANDS = ("validate", "dashboard", "doctor", "plan", "retire", "changed", "owners", "next-id", "init", "adopt", "new", "fleet-verify", "release-closeout", "spec", "conformance")
+#: Tables of the remotes as Spark schemas, and where records of a kind lie.
+_HEADS, _FILES, _CLONES = "repository string, branch string, head string", "repository string, revision string, path string, content binary", "url string, path string, marked boolean"
+_PACKAGE, _GIT = "repo_id string, result string, release string, url string, artifacts array<string>", "repo_id string, folder string, tracked boolean, clean boolean, head string"
+_PLACES = {"work": "work/<status>/<id>-<slug>/work-item.json", "evidence": "evidence/runs/<id>.json", "findings": "audits/findings/<id>-<slug>.json", "invariants": "governance/invariants.json", "frozen": "governance/frozen-surface.json", "adopters": "governance/adopters.json"}
+
+
+def _lines(spark: SparkSession, roots: list[str], file: str | None) -> DataFrame:
+    """repo_id and path of a list of paths, the same for each root."""
+    paths = [x for x in Path(file).read_text().split("\n") if x] if file else []
+    return spark.createDataFrame([(root, x) for root in roots for x in paths], "repo_id string, path string")
+
+
+def _table(spark: SparkSession, file: str | None, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(file) if file else spark.createDataFrame([], schema)
+
+
+def _made(files: DataFrame, write: bool) -> list[str]:
+    """Lines of missing_files(); with write, files to be created are written below their repositories' folders."""
+    out = []
+    for x in files.orderBy("repo_id", "path").collect():
+        if write and x.action == "create":
+            path = Path(x.repo_id, x.path)
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(x.text, encoding="utf-8")
+        out.append(f"{x.repo_id}: {x.action} {x.path}")
+    return out
+
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0 if nothing is wrong, 1 if there are problems, findings or hits."""
     parser = argparse.ArgumentParser(prog="recordloom", description=__doc__)
-    parser.add_argument("command", choices=("validate", "dashboard", "doctor", "plan", "retire", "changed", "owners", "next-id"))
-    parser.add_argument("--root", action="append", required=True, help="folder of a repository; may be given several times")
+    parser.add_argument("command", choices=COMMANDS)
+    parser.add_argument("--root", action="append", default=[], help="folder of a repository; may be given several times")
     parser.add_argument("--as-of", default=datetime.date.today().isoformat())
-    parser.add_argument("--write", action="store_true", help="dashboard: write it to its place")
-    parser.add_argument("--changed", help="changed: file of changed paths, one in a line")
+    parser.add_argument("--write", action="store_true", help="dashboard, init, adopt, new: write the files that aren't there")
+    parser.add_argument("--tracked", help="validate: file of paths under version control")
+    parser.add_argument("--ignored", help="doctor: file of paths that version control ignores")
+    parser.add_argument("--git", help="retire: JSON lines of what version control knows of plan folders")
+    parser.add_argument("--issues", help="plan: JSON lines of issues")
+    parser.add_argument("--changed", help="changed: file of changed paths")
     parser.add_argument("--patch", help="changed: file of the change's unified diff")
+    parser.add_argument("--title", help="new: title of the work item")
+    for name in ("heads", "files", "checkouts", "package"):
+        parser.add_argument(f"--{name}", help="fleet-verify, release-closeout: JSON lines of this table")
     args = parser.parse_args(argv)
+    if not args.root and args.command != "spec":
+        parser.error("--root is required")
     spark = spark or SparkSession.builder.appName("recordloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    r = Records(snapshot.load(spark, {root: root for root in args.root}))
+    if args.command == "spec":
+        rows = [(k, kind, _PLACES[kind], integrity.SCHEMA_FILES[kind], json.dumps(schema)) for k, (kind, schema) in enumerate(schemas.SHIPPED.items())]
+        print(report.catalog(spark.createDataFrame(rows, "pos int, record string, location string, file string, text string")).first()["block"])
+        return 0
+    roots = {Path(x).name: x for root in args.root for x in sorted(map(str, Path(root).iterdir())) if Path(x).is_dir()} if args.command == "conformance" else {root: root for root in args.root}
+    for root in args.root if args.command == "init" else ():
+        Path(root).mkdir(parents=True, exist_ok=True)
+    r = Records(snapshot.load(spark, roots), _lines(spark, args.root, args.tracked) if args.tracked else None)
+    repos = spark.createDataFrame([(x,) for x in roots], "repo_id string")
     lines, bad = [], False
     if args.command == "validate":
-        lines = [f"ERROR {x.repo_id} {x.path}: {x.message}" for x in integrity.ordered(integrity.validate(r, args.as_of)).collect()]
+        lines = [f"ERROR {x.repo_id} {x.path}: {x.message}" for x in integrity.ordered(integrity.validate(r, args.as_of, schemas.SHIPPED)).collect()]
         bad = bool(lines)
         lines.append(f"Validation failed with {len(lines)} error(s)." if bad else "Validation passed.")
     elif args.command == "dashboard":
@@ -38,25 +92,47 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 path.write_text(x.dashboard, encoding="utf-8")
             lines.append(x.dashboard)
     elif args.command == "doctor":
-        found = doctor.diagnose(r).persist()
+        shipped = spark.createDataFrame([(integrity.SCHEMA_FILES[kind], json.dumps(x, indent=2).encode()) for kind, x in schemas.SHIPPED.items()], "name string, content binary")
+        found = doctor.diagnose(r, shipped, _lines(spark, args.root, args.ignored)).persist()
         lines = [f"{x.severity} {x.code} {x.repo_id}: {x.message}" for x in found.orderBy("repo_id", "code", "message").collect()]
         lines += [f"repair {x.repo_id}: {x.action} {x.subject or ''}".rstrip() for x in doctor.repairs(r, args.as_of, found).orderBy("repo_id", "action").collect()]
         bad = not found.isEmpty()
     elif args.command == "plan":
-        lines = [f"{x.repo_id}: {x.source} -> {x.home} ({x.criterion_state})" for x in planning.planned(r).orderBy("repo_id", "rank", "ord").collect()]
+        issues = _table(spark, args.issues, "repo_id string, number bigint, title string, body string, state string, url string") if args.issues else None
+        lines = [f"{x.repo_id}: {x.source} -> {x.home} ({x.criterion_state})" for x in planning.planned(r, issues).orderBy("repo_id", "rank", "ord").collect()]
     elif args.command == "retire":
-        git = spark.createDataFrame([], "repo_id string, folder string, tracked boolean, clean boolean, head string")
-        lines = [f"{x.repo_id}: {x.action} {x.folder} ({x.reason})" for x in planning.retirement(r, git).collect()]
+        lines = [f"{x.repo_id}: {x.action} {x.folder} ({x.reason})" for x in planning.retirement(r, _table(spark, args.git, _GIT)).collect()]
         bad = any(": block " in x for x in lines)
     elif args.command == "changed":
-        paths = Path(args.changed).read_text().split("\n") if args.changed else []
         patch = Path(args.patch).read_text() if args.patch else ""
-        changed = spark.createDataFrame([(root, x) for root in args.root for x in paths if x], "repo_id string, path string")
         patches = spark.createDataFrame([(root, "patch", patch) for root in args.root], "repo_id string, path string, text string")
-        lines = [f"{x.repo_id}: {x.hit} is protected: {x.reason}" for x in change.violations(r, changed, patches).orderBy("repo_id", "hit").collect()]
+        lines = [f"{x.repo_id}: {x.hit} is protected: {x.reason}" for x in change.violations(r, _lines(spark, args.root, args.changed), patches).orderBy("repo_id", "hit").collect()]
         bad = bool(lines)
     elif args.command == "owners":
         lines = [f"{x.repo_id}: {x.handle} {' '.join(x.globs)}" for x in adoption.code_owners(r).orderBy("repo_id", "handle").collect()]
+    elif args.command in ("init", "adopt"):
+        if args.command == "adopt":
+            lines = [f"{x.repo_id}: version {x.version}" for x in adoption.detected_version(r).orderBy("repo_id").collect()]
+            lines += [f"{x.repo_id}: owner {x.handle} {' '.join(x.globs)}" for x in adoption.code_owners(r).orderBy("repo_id", "handle").collect()]
+            lines += [f"{x.repo_id}: workflow {x.title}" for x in adoption.workflows(r).orderBy("repo_id", "path").collect()]
+        lines += _made(adoption.missing_files(adoption.bootstrap(repos, args.as_of), r), args.write)
+    elif args.command == "new":
+        wanted = repos.withColumn("title", F.lit(args.title or "Untitled"))
+        lines = _made(adoption.missing_files(adoption.new_work_items(wanted, r, args.as_of), r), args.write)
+    elif args.command in ("fleet-verify", "release-closeout"):
+        verified = fleet.verify(r, _table(spark, args.heads, _HEADS), _table(spark, args.files, _FILES), _table(spark, args.checkouts, _CLONES)).persist()
+        if args.command == "fleet-verify":
+            lines = [f"{'ok' if x.ok else 'ERROR'} {x.repository}: {'; '.join(x.errors or x.checks)}" for x in verified.collect()]
+            bad = not lines or not all(x.ok for x in fleet.fleet_ok(verified).collect())
+        else:
+            found = fleet.closeout(r, verified, _table(spark, args.package, _PACKAGE)).collect()
+            lines = [f"{x.repo_id}: {'; '.join(x.errors) or 'complete'}" for x in found]
+            bad = any(x.errors for x in found)
+    elif args.command == "conformance":
+        meta = r.files.where("path = 'meta.json'").select("repo_id", F.from_json("text", "expect string, fragment string").alias("m")).select("repo_id", "m.expect", F.coalesce("m.fragment", F.lit("")).alias("fragment"))
+        found = integrity.verdicts(meta, r, integrity.validate(r, args.as_of, schemas.SHIPPED)).orderBy("case").collect()
+        lines = [f"{'ok' if x.passed else 'FAILED'} {x.case}: {x.n_problems} problem(s)" for x in found]
+        bad = not all(x.passed for x in found)
     else:
         lines = [f"{x.repo_id}: {kind} {x.next_id}" for kind in ("work", "decisions", "policies") for x in adoption.next_ids(r, kind).collect()]
     r.release()

@@ -54,13 +54,16 @@ def next_ids(r: Records, kind: str) -> DataFrame:
 
 
 def new_work_items(wanted: DataFrame, r: Records, as_of: str, status: str = "active") -> DataFrame:
-    """Manifests (path, text) for titles (repo_id, title), one for each repository."""
+    """Manifests and narratives (path, text) for titles (repo_id, title), one for each repository."""
     own = wanted.join(next_ids(r, "work"), "repo_id")
     criterion = F.struct(F.lit("AC-1").alias("id"), F.lit("Describe the outcome.").alias("text"), F.lit("pending").alias("state"), F.array().cast("array<string>").alias("evidence"))
-    mark = F.struct(F.lit(True).alias("created_before_work_started"), F.lit(as_of).alias("created_at"), F.lit("").alias("note"))
+    mark = F.struct(F.lit(True).alias("created_before_work_started"), F.lit(as_of).alias("created_at"), F.lit("Written before work began.").alias("note"))
     none = F.array().cast("array<string>")
     record = F.struct(F.array(criterion).alias("acceptance_criteria"), none.alias("affected_scopes"), F.lit(as_of).alias("created"), none.alias("depends_on"), F.col("next_id").alias("id"), F.lit("governance").alias("owner_scope"), mark.alias("preflight"), F.lit(status).alias("status"), "title", F.lit(as_of).alias("updated"))
-    return own.select("repo_id", F.concat(F.lit(f"work/{status}/"), "next_id", F.lit("-"), t.slug("title"), F.lit("/work-item.json")).alias("path"), F.to_json(record).alias("text"))
+    at = F.concat(F.lit(f"work/{status}/"), "next_id", F.lit("-"), t.slug("title"))
+    narrative = F.concat(F.lit("# "), "title", F.lit("\n\n- [ ] **AC-1** Describe the outcome.\n"))
+    files = F.array(F.struct(F.concat(at, F.lit("/work-item.json")).alias("path"), F.to_json(record).alias("text")), F.struct(F.concat(at, F.lit("/README.md")).alias("path"), narrative.alias("text")))
+    return own.select("repo_id", F.explode(files).alias("f")).select("repo_id", "f.path", "f.text")
 
 
 def report_counts(planned: DataFrame) -> DataFrame:
@@ -80,7 +83,7 @@ def bootstrap_files(as_of: str, version: str = "0.1.0", days: int = 90) -> dict[
         "VERSION": f"{version}\n",
         "AGENTS.md": "# Contract\n\nRecords here are the source of truth; reports are generated from them.\n",
         "governance/owners.json": text({"scopes": [{"id": "governance", "paths": ["**"], "owner": "maintainers"}], "roles": [], "preflight": {"enabled": True}}),
-        "governance/invariants.json": text({"version": 1, "invariants": []}),
+        "governance/invariants.json": text({"version": 1, "invariants": [{"id": "INV-1", "statement": "Records are the source of truth; reports are generated from them.", "rationale": "A report that is edited tells nothing of the records.", "escalation": "Ask the maintainers.", "enforced_by": None}]}),
         "governance/frozen-surface.json": text({"version": 1, "protected": []}),
         "audits/registry.json": text({"scopes": [{"path": ".", "owner": "maintainers", "contract": "AGENTS.md", "last_reviewed": as_of, "next_review": due, "alignment": "aligned", "notes": ""}]}),
     }

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.plans import adoption, change, doctor, fleet, planning, report, research
+from recordloom.plans import adoption, change, doctor, fleet, integrity, planning, report, research
 from recordloom.sources import snapshot
 from recordloom.sources.records import Records
 from tests.conftest import rows
@@ -143,7 +143,7 @@ def test_adoption(spark):
     made = adoption.new_work_items(spark.createDataFrame([("r", "New thing")], "repo_id string, title string"), r, AS_OF)
     assert made.first()["path"] == "work/active/008-new-thing/work-item.json" and json.loads(made.first()["text"])["id"] == "008"
     plan = adoption.missing_files(made.unionByName(spark.createDataFrame([("r", "CODEOWNERS", "x")], made.schema)), r)
-    assert rows(plan, "path", "action") == [("CODEOWNERS", "skip"), ("work/active/008-new-thing/work-item.json", "create")]
+    assert rows(plan, "path", "action") == [("CODEOWNERS", "skip"), ("work/active/008-new-thing/README.md", "create"), ("work/active/008-new-thing/work-item.json", "create")]
     assert rows(adoption.report_counts(plan)) == [("r", 1, 0, 0, 1)]
 
 
@@ -218,3 +218,27 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "changed").write_text("governance/owners.json\n")
     assert cli.main(["changed", "--changed", str(tmp_path / "changed"), *at], spark) == 1
     assert cli.main(["next-id", *at], spark) == 0 and "work 002" in capsys.readouterr().out
+
+
+def test_cli_makes_repositories_that_hold(spark, tmp_path, capsys):
+    from recordloom import cli
+
+    at = ["--root", str(tmp_path / "own"), "--as-of", AS_OF]
+    assert cli.main(["init", "--write", *at], spark) == 0 and "create VERSION" in capsys.readouterr().out
+    assert cli.main(["new", "--title", "First thing", "--write", *at], spark) == 0 and "work/active/001-first-thing/work-item.json" in capsys.readouterr().out
+    assert cli.main(["dashboard", "--write", *at], spark) == 0
+    assert cli.main(["validate", *at], spark) == 0, capsys.readouterr().out
+    manifest = tmp_path / "own/work/active/001-first-thing/work-item.json"
+    manifest.write_text(manifest.read_text().replace('"pending"', '"hoped"'))
+    assert cli.main(["validate", *at], spark) == 1 and "schema acceptance_criteria/0/state: 'hoped' is not one of" in capsys.readouterr().out
+    (tmp_path / "tracked").write_text("VERSION\n")
+    assert cli.main(["adopt", *at], spark) == 0 and "skip VERSION" in capsys.readouterr().out
+    assert cli.main(["fleet-verify", *at], spark) == 1 and cli.main(["release-closeout", *at], spark) == 1
+    assert cli.main(["spec"], spark) == 0 and "`work-item.schema.json`" in capsys.readouterr().out
+
+
+def test_shipped_schemas_take_the_sound_repository(spark):
+    from recordloom import schemas
+
+    r = Records(snapshot.from_texts(spark, {"a": base(), "b": base() | evidence(result="unknown")}))
+    assert rows(integrity.schemas(r, schemas.SHIPPED), "repo_id", "message") == [("b", "schema result: 'unknown' is not one of ['passed', 'failed', 'partial', 'blocked']")]
