@@ -10,9 +10,12 @@ sizes leave no room for the overlap that they need, or the parities of both sets
 more bits than the sets in shingles, don't allow it. No pair is left out and none is let in wrongly, but for collisions
 of 64-bit hashes (and 128 bits for whole sets).
 
-Equal sets are one node of the search. Each text is first compared with the least of those that it shares a shingle with,
-so that a large group of copies is linked by as many comparisons as it has texts; only pairs of different components
-are then compared one by one. No group is gathered in a task.
+Equal sets are one node of the search. Each text is first compared with the least of those that it shares a shingle with.
+As long as the pairs of different components that share one are many for their texts, there are rounds: the texts of a
+shingle are dealt to blocks of BLOCK at most, another way each time, each text takes the first of its block, of another
+component, that places, sizes and parities allow, and is compared with that one alone, so that a large group of copies
+is linked by a few comparisons of each of its texts. When such pairs are few, or a round doesn't link a tenth of its pairs,
+all that are left are compared one by one. No group is gathered in a task.
 
 Rows are told apart by a number that is stored with their sets, and found again by their place in their Parquet files;
 rows that don't come from files are written first.
@@ -41,6 +44,10 @@ from .components import components, hot_lookup
 WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Texts in the sample at most, shingles that count as common at most.
 SAMPLE, COMMON = 1 << 15, 1 << 20
+#: Rounds of one comparison for each text, at most, and pairs for each text that sharing a shingle makes at which they end.
+ROUNDS, FEW = 5, 4
+#: Texts of a shingle that a task compares by their parities at once, about.
+BLOCK = 2048
 #: Buckets of rows that are broadcast, and words whose hashes a task remembers, at most.
 BUCKETS, REMEMBERED = 1 << 20, 1 << 16
 
@@ -200,6 +207,28 @@ def _simhash_pairs(sets: DataFrame) -> DataFrame:
     return near.unionByName(same)
 
 
+def _first_partners(similarity: Fraction):
+    """For rows of a shingle: a and b, where a is the first row before b, of another component, that may be similar; c and d: their components."""
+    num, den = similarity.numerator, similarity.denominator
+
+    def pairs(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
+        row, met, place = (rows[c].to_numpy() for c in ("row", "met", "place"))
+        n, at = place & 0xFFFFFFFF, place >> 32
+        bits = np.frombuffer(b"".join(rows["parity"].to_pylist()), np.uint64).reshape(-1, 16)
+        first = np.full(len(row), -1)
+        for i in range(len(row) - 1):
+            todo = np.flatnonzero((first[i + 1 :] < 0) & (met[i + 1 :] != met[i])) + i + 1
+            both = n[todo] + n[i]
+            todo = todo[np.minimum(n[todo] - at[todo], n[i] - at[i]) * (num + den) >= num * both]
+            apart = np.bitwise_count(bits[todo] ^ bits[i]).sum(1, dtype=np.int64)
+            first[todo[(n[todo] + n[i] - apart) * (num + den) >= 2 * num * (n[todo] + n[i])]] = i
+        b = np.flatnonzero(first >= 0)
+        return pa.table({"a": row[first[b]], "b": row[b], "c": met[first[b]], "d": met[b]})
+
+    return pairs
+
+
 def components_of_copies(rows: DataFrame, own: DataFrame, sets: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """node, component of linked rows. rows: file, at, text; own: row, n and prefix; sets: row, file, at, n, parity and fp, of a row of each set."""
     num, den = similarity.numerator, similarity.denominator
@@ -209,11 +238,29 @@ def components_of_copies(rows: DataFrame, own: DataFrame, sets: DataFrame, words
     shared = written(entries.join(groups.select("h", "least"), "h"), "shared")
     first = shared.groupBy("row").agg(F.min("least").alias("a")).where("a < row").select("a", F.col("row").alias("b"))
     found = _verified(first.unionByName(_simhash_pairs(sets)).distinct(), rows, sets, words, similarity)
-    met = components(found)
-    # Shingles that rows of several components share.
-    with_own = written(shared.select("h", "row", "place").join(met.withColumnRenamed("node", "row"), "row", "left").withColumn("met", F.coalesce("component", "row")).drop("component"), "met")
-    several = with_own.groupBy("h").agg(F.min("met").alias("low"), F.max("met").alias("high")).where("low < high").select("h")
-    left = with_own.join(several, "h", "left_semi")
+    met = components(found).withColumnRenamed("node", "row")
+    left = written(shared.select("h", "row", "place").join(met, "row", "left").select("h", "row", "place", F.coalesce("component", "row").alias("met")), "met")
+    for k in range(ROUNDS + 1):
+        # Shingles that rows of several components share.
+        several = written(left.groupBy("h").agg(F.count("*").alias("n"), F.min("met").alias("low"), F.max("met").alias("high")).where("low < high").select("h", "n"), "several")
+        pairs, texts = several.agg(F.sum(F.expr("n * (n - 1) / 2")), F.sum("n")).first()
+        if k == ROUNDS or (pairs or 0) <= FEW * (texts or 0):
+            break
+        left = written(left.join(several.select("h"), "h", "left_semi"), "left")
+        dealt = left.join(several, "h").withColumn("block", F.pmod(F.xxhash64("row", F.lit(k)), F.ceil(F.col("n") / BLOCK)))
+        dealt = dealt.join(sets.select("row", "parity"), "row").select("h", "block", "row", "place", "met", "parity")
+        near = dealt.groupBy("h", "block").applyInArrow(_first_partners(similarity), "a bigint, b bigint, c bigint, d bigint")
+        taken = written(near.groupBy("b").agg(F.min(F.struct("a", "c", "d")).alias("t")).select("t.a", "b", "t.c", "t.d"), "taken")
+        more = _verified(taken.select("a", "b"), rows, sets, words, similarity)
+        compared, linked = taken.count(), more.count()
+        found = found.unionByName(more)
+        # Components that are linked now are one.
+        joined = components(taken.join(more, ["a", "b"], "left_semi").select(F.col("c").alias("a"), F.col("d").alias("b"))).withColumnRenamed("node", "met")
+        left = written(left.join(joined, "met", "left").select("h", "row", "place", F.coalesce("component", "met").alias("met")), "met")
+        if 10 * linked < compared:
+            several = left.groupBy("h").agg(F.min("met").alias("low"), F.max("met").alias("high")).where("low < high")
+            break
+    left = left.join(several.select("h"), "h", "left_semi")
     n, at = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), (lambda c: F.shiftright(c, 32))
     a, b = (left.select("h", F.col("row").alias(c), n("place").alias(f"n_{c}"), at("place").alias(f"at_{c}"), F.col("met").alias(f"met_{c}")) for c in "ab")
     # At the first shingle that two share, all that they share lies from there on in both.
