@@ -65,6 +65,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int =
                 yield batch.slice(a, b - a)
 
 
+def filtered(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], list[bool]]]) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts pass; make() is called in each task and gives the function of texts.
+
+    Columns go by their places, since mapInArrow can't take a name with a dot in it.
+    """
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches):
+        passes = make()
+        for batch in text_slices(batches, at):
+            yield batch.filter(pa.array(passes(pc.cast(batch.column(at), pa.string())), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def by_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over slices of (id, text); make() is called once for each task and gives the function of a slice."""
 

@@ -171,7 +171,7 @@ def _raw_segments(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
             own = np.concatenate(ids)
             width = 4 if own.max() > 65535 else 2
             sink = pa.BufferOutputStream()
-            with pa.CompressedOutputStream(sink, "zstd") as out:
+            with pa.CompressedOutputStream(sink, "lz4") as out:
                 out.write(own.astype(f"<u{width}").tobytes())
             row = [[place], [number], [base], [list(held)], [list(sizes)], [sink.getvalue().to_pybytes()], [width]]
             number, base, total = number + 1, base + len(own), 0
@@ -200,7 +200,7 @@ def _raw_segments(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
 
 
 def _plain(raw: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(pa.input_stream(pa.py_buffer(raw), compression="zstd").read(), f"<u{width}")
+    return np.frombuffer(pa.input_stream(pa.py_buffer(raw), compression="lz4").read(), f"<u{width}")
 
 
 def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> IdFiles:

@@ -26,12 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_table import tokenizer_path
-from .common import id_and_text, text_slices, written
+from .common import filtered, id_and_text, text_slices, written
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Letters of a part, rounds of expectation maximisation, letters between scalings.
@@ -361,17 +360,17 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5, far: float = FAR, te
 
     Where no language could be learned, all rows with a letter are kept.
     """
-    broadcast, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def passing():
         scores = _Scores(broadcast.value)
-        for batch in text_slices(batches, at):
-            texts = pc.cast(batch.column(at), pa.string()).to_pylist()
-            if scores.model.langs:
-                langs, score, beyond = _judge(scores, texts)
-                kept = [x != "und" and s >= least and b >= -far for x, s, b in zip(langs, score.tolist(), beyond.tolist(), strict=True)]
-            else:
-                kept = [has_letter(words(x or "")) for x in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+
+        def passes(texts: pa.Array) -> list[bool]:
+            own = texts.to_pylist()
+            if not scores.model.langs:
+                return [has_letter(words(x or "")) for x in own]
+            return [x != "und" and s >= least and b >= -far for x, s, b in zip(*_judge(scores, own), strict=True)]
+
+        return passes
+
+    return filtered(docs, text_col, passing)

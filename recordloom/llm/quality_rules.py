@@ -20,12 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, text_slices, utf8
+from .common import filtered, id_and_text, text_slices, utf8
 
 #: Documents at most on which cost and selectivity are estimated.
 SAMPLE = 1000
@@ -220,13 +219,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, sample: int = SAMPLE,
 def keep(docs: DataFrame, rules: Sequence[Rule] = (*BASE, *RULES), sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
     """The rows whose texts no rule rejects, the base rules among them, with all their columns."""
     order = [rules[x["rule"]] for x in plan(docs, rules, sample, text_col)]
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in text_slices(batches, at):
-            yield batch.filter(pa.array([_kept(Measures(raw), order) for raw in utf8(pc.cast(batch.column(at), pa.string()))], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, text_col, lambda: lambda texts: [_kept(Measures(raw), order) for raw in utf8(texts)])
 
 
 #: The same rows in DuckDB's SQL.
