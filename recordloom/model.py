@@ -12,7 +12,7 @@ WORK_FIELDS = ("id", "title", "status", "owner_scope", "affected_scopes", "depen
 EVIDENCE_FIELDS = ("id", "timestamp", "work_item", "result", "commands", "artifacts", "environment")
 AUDIT_FILES = ("README.md", "inventory.md", "alignment-report.md")
 
-#: Relations as Spark schemas.
+#: The fields of the record formats, as Spark schemas; TREE is our own.
 TREE = "repo_id string, path string, content binary, is_dir boolean"
 WORK_ITEM = """id string, title string, status string, owner_scope string, affected_scopes array<string>, depends_on array<string>, provenance string,
 preflight struct<created_before_work_started: boolean, created_at: string, note: string>,

@@ -1,6 +1,8 @@
 """Integrity rules over record repositories; each returns problem rows, validate() is their bag union.
 
 A rule sees all repositories of a snapshot at once and never raises; as_of is the day that rules of freshness ask for.
+Messages are fixed values where conformance cases pin fragments of them (tests/repository.py has these together) and
+where users compare the lines that validate prints.
 Row-local rules of a relation are one pass over it; the others are joins, windows and aggregates.
 """
 

@@ -37,6 +37,7 @@ def base():
     } | owners() | item() | evidence()
 
 
+#: Names of the conformance cases and the fragments of messages that they pin.
 #: name: (changes, expectation, fragment); a change to None removes the file. `_dashboard` tells what becomes of it.
 CASES = {
     "valid-minimal": ({}, "accept", ""),
