@@ -125,7 +125,7 @@ class IdFiles:
 
 _DOCS = "bucket int, segment int, base bigint, doc_ids array<{}>, lengths array<bigint>"
 #: Ids of documents looked at for each bucket, to find their ranges.
-LOOKED_AT = 20
+LOOKED_AT = 50
 
 
 def _buckets(docs: DataFrame) -> tuple[int, list[tuple]]:
