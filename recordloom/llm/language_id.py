@@ -229,8 +229,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", name: str = VOCABULARY, rounds: int = ROUNDS) -> Model:
-    """The model of all rows of docs whose lang and text aren't null."""
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", name: str = VOCABULARY, rounds: int = ROUNDS, usual: bool = True) -> Model:
+    """The model of all rows of docs whose lang and text aren't null; usual: with what keep() needs, one more pass over words."""
     known = vocabulary(name)
     pieces, n = Pieces(known), len(known) + 1
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
@@ -265,7 +265,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", name:
     p = np.full((n, len(langs)), 0.125)  # first, every piece wherever it fits
     for _ in range(1 + rounds):
         p = expect(p)
-    return Model(langs, p, pieces, _usual(counted, at, p, pieces))
+    return Model(langs, p, pieces, _usual(counted, at, p, pieces) if usual else None)
 
 
 def _usual(counted: DataFrame, at: dict[str, int], p: np.ndarray, pieces: Pieces) -> np.ndarray:
@@ -335,7 +335,7 @@ def _judge(scores: _Scores, texts: list[str | None]) -> tuple[list[str], np.ndar
             total = logs[own].sum(0)
             k = int(total.argmax())
             langs[i], score[i] = model.langs[k], 1 / np.exp(total - total[k]).sum()
-            mean, spread = model.usual[k]
+            mean, spread = model.usual[k] if model.usual is not None else (0.0, np.inf)
             beyond[i] = ((logs[own, k] / size[own]).mean() - mean) / max(spread, SPREAD) * min(1, len(own) ** 0.5 / 4)
     return langs, score, beyond
 
