@@ -11,11 +11,11 @@ more bits than the sets in shingles, don't allow it. No pair is left out and non
 of 64-bit hashes (and 128 bits for whole sets).
 
 Equal sets are one node of the search. Each text is first compared with the least of those that it shares a shingle with.
-As long as the pairs of different components that share one are many for their texts, there are rounds: the texts of a
+As long as over LARGE texts of different components share one, there are rounds: the texts of such a
 shingle are dealt to blocks of BLOCK at most, another way each time, each text takes the first of its block, of another
 component, that places, sizes and parities allow, and is compared with that one alone, so that a large group of copies
-is linked by a few comparisons of each of its texts. When such pairs are few, or a round doesn't link a tenth of its pairs,
-all that are left are compared one by one. No group is gathered in a task.
+is linked by a few comparisons of each of its texts. After that, or when a round doesn't link a tenth of its pairs, all
+pairs that are left are compared one by one. No group is gathered in a task.
 
 Rows are told apart by a number that is stored with their sets, and found again by their place in their Parquet files;
 rows that don't come from files are written first.
@@ -44,8 +44,8 @@ from .components import components, hot_lookup
 WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Texts in the sample at most, shingles that count as common at most.
 SAMPLE, COMMON = 1 << 15, 1 << 20
-#: Rounds of one comparison for each text, at most, and pairs for each text that sharing a shingle makes at which they end.
-ROUNDS, FEW = 5, 4
+#: Rounds of one comparison for each text, at most, and texts that share a shingle at which they end.
+ROUNDS, LARGE = 5, 1024
 #: Texts of a shingle that a task compares by their parities at once, about.
 BLOCK = 2048
 #: Buckets of rows that are broadcast, and words whose hashes a task remembers, at most.
@@ -240,13 +240,11 @@ def components_of_copies(rows: DataFrame, own: DataFrame, sets: DataFrame, words
     found = _verified(first.unionByName(_simhash_pairs(sets)).distinct(), rows, sets, words, similarity)
     met = components(found).withColumnRenamed("node", "row")
     left = written(shared.select("h", "row", "place").join(met, "row", "left").select("h", "row", "place", F.coalesce("component", "row").alias("met")), "met")
-    for k in range(ROUNDS + 1):
-        # Shingles that rows of several components share.
-        several = written(left.groupBy("h").agg(F.count("*").alias("n"), F.min("met").alias("low"), F.max("met").alias("high")).where("low < high").select("h", "n"), "several")
-        pairs, texts = several.agg(F.sum(F.expr("n * (n - 1) / 2")), F.sum("n")).first()
-        if k == ROUNDS or (pairs or 0) <= FEW * (texts or 0):
+    for k in range(ROUNDS):
+        # Shingles that many rows of several components share.
+        several = written(left.groupBy("h").agg(F.count("*").alias("n"), F.min("met").alias("low"), F.max("met").alias("high")).where(f"low < high and n > {LARGE}").select("h", "n"), "several")
+        if several.isEmpty():
             break
-        left = written(left.join(several.select("h"), "h", "left_semi"), "left")
         dealt = left.join(several, "h").withColumn("block", F.pmod(F.xxhash64("row", F.lit(k)), F.ceil(F.col("n") / BLOCK)))
         dealt = dealt.join(sets.select("row", "parity"), "row").select("h", "block", "row", "place", "met", "parity")
         near = dealt.groupBy("h", "block").applyInArrow(_first_partners(similarity), "a bigint, b bigint, c bigint, d bigint")
@@ -258,9 +256,10 @@ def components_of_copies(rows: DataFrame, own: DataFrame, sets: DataFrame, words
         joined = components(taken.join(more, ["a", "b"], "left_semi").select(F.col("c").alias("a"), F.col("d").alias("b"))).withColumnRenamed("node", "met")
         left = written(left.join(joined, "met", "left").select("h", "row", "place", F.coalesce("component", "met").alias("met")), "met")
         if 10 * linked < compared:
-            several = left.groupBy("h").agg(F.min("met").alias("low"), F.max("met").alias("high")).where("low < high")
             break
-    left = left.join(several.select("h"), "h", "left_semi")
+    # Shingles that rows of several components still share.
+    several = left.groupBy("h").agg(F.min("met").alias("low"), F.max("met").alias("high")).where("low < high").select("h")
+    left = left.join(several, "h", "left_semi")
     n, at = (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), (lambda c: F.shiftright(c, 32))
     a, b = (left.select("h", F.col("row").alias(c), n("place").alias(f"n_{c}"), at("place").alias(f"at_{c}"), F.col("met").alias(f"met_{c}")) for c in "ab")
     # At the first shingle that two share, all that they share lies from there on in both.
