@@ -52,7 +52,9 @@ def corpus(seed=1):
 
 
 @pytest.mark.parametrize("stored", [True, False])
-def test_one_of_each_group_stays(spark, tmp_path, stored):
+def test_one_of_each_group_stays(spark, tmp_path, monkeypatch, stored):
+    monkeypatch.setattr(near_copies, "LARGE", 1024 if stored else 2)
+    monkeypatch.setattr(near_copies, "BLOCK", 2048 if stored else 8)
     data = corpus(2 + stored)
     want = sorted(i for _, i, _ in groups(data))
     docs = spark.createDataFrame(data, SCHEMA)
