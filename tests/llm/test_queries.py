@@ -13,6 +13,8 @@ import pytest
 import corpus_pipeline
 from recordloom.llm import chunk_table, language_id, queries, quality_rules
 from tests.llm.test_near_copies import groups as brute_groups
+from tests.llm.test_turn_repair import COLUMNS
+from tests.llm.test_turn_repair import brute as brute_repair
 from tests.llm.test_operators import brute_components, brute_fingerprint
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
@@ -104,6 +106,12 @@ def test_media(spark, texts):
         assert tuple(got[i])[1:5] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
 
 
+def test_turn_repair(spark, db):
+    rows = db.sql("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    got = {r["conv_id"]: tuple(r[c] for c in COLUMNS[1:]) for r in queries.QUERIES["op11_turn_repair"](spark, str(DATA)).collect()}
+    assert got == brute_repair(rows)
+
+
 def assert_packed(out, texts):
     library, pieces, bins = chunk_table._library("word_bpe_49k.json"), {}, {}
     for r in out:
@@ -157,4 +165,4 @@ def test_entry_registers_everything():
 
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
