@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, huffman_ids, language_id, license_rules, media_tiles, quality_rules, rff_quality, sentencepiece_chunks, simhash_vp, ss_packing, turn_repair, url_filter
+from . import filter_audit, huffman_ids, language_id, license_rules, media_tiles, quality_rules, rff_quality, sentencepiece_chunks, setsketch, simhash_vp, ss_packing, turn_repair, url_filter
 from .common import written
 
 
@@ -76,9 +76,13 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.summary(turn_repair.repair(turn_repair.damage(_table(spark, sf_dir, "conversations"))))
 
 
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.labelled(filter_audit.masks(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash_vp, op4_sentencepiece, op5_token_files, op6_rff_quality, op7_license_scan, op8_language_id, op9_media_tiles, op10_packing, op11_turn_repair, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_simhash_vp, op4_sentencepiece, op5_token_files, op6_rff_quality, op7_license_scan, op8_language_id, op9_media_tiles, op10_packing, op11_turn_repair, op12_setsketch, op13_filter_audit)}
 SQL = {"op1_quality_rules": quality_rules.SQL, "op7_license_scan": license_rules.SQL, "op13_filter_audit": filter_audit.SQL}

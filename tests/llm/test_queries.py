@@ -13,9 +13,10 @@ import pytest
 import corpus_pipeline
 from recordloom.llm import chunk_table, language_id, queries, quality_rules
 from tests.llm.test_near_copies import groups as brute_groups
+from tests.llm.test_operators import brute_components, brute_fingerprint
+from tests.llm.test_setsketch import brute as brute_sets
 from tests.llm.test_turn_repair import COLUMNS
 from tests.llm.test_turn_repair import brute as brute_repair
-from tests.llm.test_operators import brute_components, brute_fingerprint
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="the driver's tables aren't here")
@@ -112,6 +113,11 @@ def test_turn_repair(spark, db):
     assert got == brute_repair(rows)
 
 
+def test_setsketch(spark, texts):
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op12_setsketch"](spark, str(DATA)).collect()}
+    assert got == brute_sets(list(texts.items()))
+
+
 def assert_packed(out, texts):
     library, pieces, bins = chunk_table._library("word_bpe_49k.json"), {}, {}
     for r in out:
