@@ -343,30 +343,21 @@ def dashboard(r: Records, as_of: str) -> DataFrame:
 SCHEMA_FILES = {"work": "work-item.schema.json", "evidence": "evidence-run.schema.json", "findings": "audit-finding.schema.json", "invariants": "invariants.schema.json", "frozen": "frozen-surface.schema.json", "adopters": "adopter-fleet.schema.json"}
 
 
-#: Distinct schema texts that one plan compiles, at most.
-SCHEMA_TEXTS = 64
-
-
 def schemas(r: Records, given: dict[str, dict]) -> DataFrame:
     """Structural problems by JSON Schemas: {kind: schema} for the kinds of SCHEMA_FILES.
 
-    A repository's own schema file goes before the given one. Each distinct text of these files is compiled once, into a
-    branch of the plan; with over SCHEMA_TEXTS of them this raises ValueError, and the fleet is to be checked in parts.
+    A repository's own schema file goes before the given one. Equal texts are one schema, found by its digest; all documents
+    of all kinds walk all schemas at once.
     """
     whole = {"work": r.items.where(F.size("missing") == 0), "evidence": r.evidence.where(F.size("missing") == 0), "findings": r.findings, "invariants": r.invariants, "frozen": r.frozen, "adopters": r.adopters}
-    local = r.files.where((F.col("parent") == "schemas") & F.col("name").isin(*(SCHEMA_FILES[k] for k in given)) & F.json_object_keys("text").isNotNull()).select("repo_id", "name", "text")
-    texts = [(x["name"], x["text"]) for x in local.select("name", "text").distinct().take(SCHEMA_TEXTS + 1)]
-    if len(texts) > SCHEMA_TEXTS:
-        raise ValueError(f"over {SCHEMA_TEXTS} distinct schemas")
-    frames = []
-    for kind, schema in given.items():
-        mine = local.where(F.col("name") == SCHEMA_FILES[kind])
-        plans = [(whole[kind].join(mine.select("repo_id"), "repo_id", "left_anti") if texts else whole[kind], schema)]
-        plans += [(whole[kind].join(mine.where(F.col("text") == text).select("repo_id"), "repo_id", "left_semi"), json.loads(text)) for name, text in texts if name == SCHEMA_FILES[kind]]
-        for rows, own in plans:
-            found = rows.where("keys is not null").select("repo_id", "path", F.explode(jsonschema.errors(F.try_parse_json("text"), own)).alias("e"))
-            frames.append(ops.problems(found, ("P1", F.lit(True), say("schema ", F.col("e.location"), ": ", F.col("e.message")))))
-    return ops.union_all(frames)
+    names = [SCHEMA_FILES[k] for k in given]
+    local = r.files.where((F.col("parent") == "schemas") & F.col("name").isin(*names) & F.json_object_keys("text").isNotNull()).select("repo_id", "name", F.sha2("text", 256).alias("digest"), "text")
+    shipped = r.tree.sparkSession.createDataFrame([(SCHEMA_FILES[k], json.dumps(x)) for k, x in given.items()], "name string, text string").select("name", F.sha2("text", 256).alias("given"), "text")
+    nodes = jsonschema.compiled(local.select("digest", "text").unionByName(shipped.select(F.col("given").alias("digest"), "text")))
+    docs = ops.union_all([whole[k].where("keys is not null").select("repo_id", "path", "text", F.lit(SCHEMA_FILES[k]).alias("name")) for k in given])
+    own = docs.join(F.broadcast(shipped.select("name", "given")), "name").join(local.select("repo_id", "name", "digest"), ["repo_id", "name"], "left")
+    found = jsonschema.errors(own.select(F.struct("repo_id", "path").alias("doc"), F.coalesce("digest", "given").alias("digest"), F.try_parse_json("text").alias("v")), nodes)
+    return ops.problems(found.select("doc.*", "location", "message"), ("P1", F.lit(True), say("schema ", F.col("location"), ": ", F.col("message"))))
 
 
 RULES = (

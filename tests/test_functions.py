@@ -1,3 +1,4 @@
+import json
 import datetime
 
 import pytest
@@ -75,6 +76,16 @@ def test_sections(spark):
     assert values(spark, t.fenced("x"), [text, "plain"]) == ["\nin\n", "plain"]
 
 
+def schema_errors(spark, texts, docs):
+    """The errors of each document (digest of its schema, text), as sets of (location, message)."""
+    nodes = jsonschema.compiled(spark.createDataFrame([(k, x if isinstance(x, str) else json.dumps(x)) for k, x in texts.items()], "digest string, text string"))
+    own = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(docs)], "doc int, digest string, text string")
+    out = [set() for _ in docs]
+    for r in jsonschema.errors(own.select("doc", "digest", F.try_parse_json("text").alias("v")), nodes).collect():
+        out[r["doc"]].add((r["location"], r["message"]))
+    return out
+
+
 def test_schema_errors(spark):
     schema = {
         "type": "object", "required": ["id", "n"], "additionalProperties": False,
@@ -85,8 +96,7 @@ def test_schema_errors(spark):
         "allOf": [{"if": {"properties": {"kind": {"const": "y"}}, "required": ["kind"]}, "then": {"required": ["tags"]}}],
     }
     docs = ['{"id": "ab", "n": 1}', '{"id": "b", "n": 0.5}', '{"n": 2, "x": 1}', '{"id": "ab", "n": 1, "tags": ["a", 1, "a"]}', '{"id": "ab", "n": 1, "kind": "y"}', '{"id": "ab", "n": 1, "yes": false, "maybe": null, "either": []}', '{"id": "ab", "n": 1.0, "tags": []}', "[]"]
-    got = values(spark, jsonschema.errors(F.try_parse_json("x"), schema), docs)
-    told = [{(e["location"], e["message"]) for e in x} for x in got]
+    told = schema_errors(spark, {"s": schema}, [("s", x) for x in docs])
     assert told[0] == set()
     assert ("id", "'b' does not match '^a'") in told[1] and ("id", "'b' is too short") in told[1] and any(a == "n" and "is not of type 'integer'" in b for a, b in told[1]) and any("less than the minimum" in b for _, b in told[1])
     assert told[2] == {("<root>", "'id' is a required property"), ("<root>", "Additional properties are not allowed ('x' was unexpected)")}
@@ -95,3 +105,29 @@ def test_schema_errors(spark):
     assert {a for a, _ in told[5]} == {"yes", "either"}
     assert told[6] == {("tags", "[] should be non-empty")}
     assert ("<root>", "[] is not of type 'object'") in told[7]
+
+
+def test_schemas_are_rows(spark):
+    """Each document by its own schema: nested decisions, references into the schema itself, and keywords of all kinds."""
+    tree = {"$ref": "#/$defs/node", "$defs": {"node": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}}}}}}
+    nested = {"not": {"not": {"anyOf": [{"const": 1}, {"allOf": [{"type": "string"}, {"if": {"minLength": 3}, "then": {"pattern": "z$"}, "else": {"enum": ["a", "b"]}}]}]}}}
+    either = {"oneOf": [{"type": "integer"}, {"minimum": 2}, {"type": "string"}]}
+    keys = {"propertyNames": {"maxLength": 3}, "patternProperties": {"^n": {"type": "number"}}, "properties": {"a/b": {"const": {"x": [1]}}}, "additionalProperties": {"type": "boolean"}, "dependentRequired": {"n": ["m"]}, "minProperties": 2, "maxProperties": 3}
+    rows = {"prefixItems": [{"type": "string"}, {"const": None}], "items": {"multipleOf": 0.5, "exclusiveMaximum": 9, "exclusiveMinimum": 0, "maximum": 7}, "maxItems": 4}
+    texts = {"tree": tree, "nested": nested, "either": either, "keys": keys, "rows": rows, "lost": {"properties": {"a": {"$ref": "#/none"}, "b": False, "c": True}}, "odd": "{'x': 1}"}
+    docs = [
+        ("tree", '{"n": 1, "kids": [{"n": 2, "kids": [{"kids": 3}]}]}'), ("nested", '"a"'), ("nested", '"c"'), ("nested", '"xyy"'), ("nested", "1.0"), ("nested", "true"), ("either", "1"), ("either", "3"), ("either", '"it\'s"'), ("either", "[1, {\"a\": null}]"),
+        ("keys", '{"n": "1", "long": true, "a/b": {"x": [1]}}'), ("keys", '{"a/b": 2}'), ("keys", '{"x": true, "n": 1, "m": false, "y": 3}'), ("rows", '[1, null, 0.25, 9, 8]'), ("rows", '["a", 0]'), ("lost", '{"a": 1, "b": 2, "c": 3}'), ("odd", "1"),
+    ]
+    root = lambda *x: {("<root>", m) for m in x}
+    wrong = repr(nested["not"])[8:-1]
+    told = schema_errors(spark, texts, docs)
+    assert told[0] == {("kids/0/kids/0", "'n' is a required property"), ("kids/0/kids/0/kids", "3 is not of type 'array'")}
+    assert told[1:6] == [set(), root(f"'c' should not be valid under {{'not': {wrong}}}"), root(f"'xyy' should not be valid under {{'not': {wrong}}}"), set(), root(f"True should not be valid under {{'not': {wrong}}}")]
+    assert told[6:10] == [set(), root("3 is valid under each of {'minimum': 2}, {'type': 'integer'}"), root("\"it's\" is valid under each of {'type': 'string'}, {'minimum': 2}"), set()]
+    assert told[10] == {("n", "'1' is not of type 'number'"), ("<root>", "'long' is too long"), ("<root>", "'m' is a dependency of 'n'")}
+    assert told[11] == {("a/b", "{'x': [1]} was expected"), ("<root>", "{'a/b': 2} does not have enough properties")}
+    assert told[12] == {("y", "3 is not of type 'boolean'"), ("<root>", "{'m': False, 'n': 1, 'x': True, 'y': 3} has too many properties")}
+    assert told[13] == {("0", "1 is not of type 'string'"), ("2", "0.25 is not a multiple of 0.5"), ("3", "9 is greater than the maximum of 7"), ("3", "9 is greater than or equal to the maximum of 9"), ("4", "8 is greater than the maximum of 7"), ("<root>", "[1, None, 0.25, 9, 8] is too long")}
+    assert told[14] == {("1", "None was expected")}
+    assert told[15] == {("a", "Unresolvable reference #/none for 1"), ("b", "False schema does not allow 2")} and told[16] == root("False schema does not allow 1")
