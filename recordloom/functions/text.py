@@ -157,11 +157,33 @@ def glob_head(glob: str) -> str:
 
 def glob_pattern(glob: Column | str) -> tuple[Column, Column]:
     """glob_regex and glob_head of a column of globs; classes are taken as they are, with `!` as `^`."""
-    own = F.regexp_replace(_col(glob), "([.\\\\+(){}|^$])", "\\\\$1")
+    own = F.regexp_replace(F.regexp_replace(_col(glob), "([.\\\\+(){}|^$])", "\\\\$1"), "\\[(?=[^\\]]*\\z)", "\\\\[")
     own = F.regexp_replace(F.regexp_replace(F.regexp_replace(own, "\\[!", "[^"), "\\*", ".*"), "\\?", ".")
     return F.concat(F.lit("(?s)\\A(?:"), own, F.lit(")\\z")), F.regexp_extract(_col(glob), "^[^*?\\[]*", 0)
 
 
+_END = "(\\.[^./]*)\\z"
+
+
+def glob_key(glob: Column | str) -> Column:
+    """What a path must have in common with a glob, as one text: see path_keys(). A glob without a wildcard is the path itself.
+
+    Otherwise it is the last folder before the first wildcard, and the ending (`.md`) after the last one, `*` where it has none.
+    """
+    head, tail = F.regexp_extract(_col(glob), "^[^*?\\[]*", 0), F.regexp_extract(_col(glob), "[^*?\\[\\]]*\\z", 0)
+    end = F.regexp_extract(tail, _END, 1)
+    return F.when(head == _col(glob), F.concat(F.lit("="), head)).otherwise(F.concat(F.lit("/"), F.regexp_extract(head, "(?s)^(.*)/[^/]*\\z", 1), F.lit("\0"), F.when(end == "", "*").otherwise(end)))
+
+
+def path_keys(path: Column | str) -> Column:
+    """The keys of all globs that may match a path: itself, and each folder above it with its ending and with any."""
+    parts = F.split(_col(path), "/")
+    above = F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+    end = F.regexp_extract(_col(path), _END, 1)
+    keys = F.flatten(F.transform(above, lambda a: F.array_distinct(F.array(F.concat(F.lit("/"), a, F.lit("\0*")), F.concat(F.lit("/"), a, F.lit("\0"), F.when(end == "", "*").otherwise(end))))))
+    return F.concat(F.array(F.concat(F.lit("="), _col(path))), keys)
+
+
 def parent(path: Column | str) -> Column:
     """The folder of a path, `.` at the top."""
     own = F.regexp_extract(_col(path), "(?s)^(.*)/[^/]*$", 1)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordloom.functions import text as t
+
 #: Rows of the result relation of all rules.
 PROBLEM = "repo_id string, path string, message string, rule_id string, subject string"
 
@@ -77,18 +79,23 @@ def overlaps(members: DataFrame, scope: Sequence[str], item: str, value: str, or
     return a.join(b, [*scope, value]).where("_lo < _ro").groupBy(*scope, "left", "right").agg(F.sort_array(F.collect_set(value)).alias("shared"))
 
 
-def owners(paths: DataFrame, patterns: DataFrame, path: str, scope: Sequence[str] = ()) -> DataFrame:
-    """paths with `owners`: the sorted ids of patterns (id, regex, and head: the text before its first wildcard) that match.
+def pattern_hits(paths: DataFrame, patterns: DataFrame, path: str, scope: Sequence[str] = ()) -> DataFrame:
+    """paths with the columns of each pattern that matches: patterns have a glob, whose `*` also crosses `/`, and further columns.
 
-    Patterns are records written by hand and few; the join compares a path with those of its own scope only, first by
-    the head, which costs less than the regular expression.
+    The index of patterns is a trie of literal folders, held as keys (functions.text.glob_key): a path meets those patterns
+    alone that lie on its own way through the trie and have its ending, by equality, and only these are matched as a whole.
     """
-    p = patterns.select(*scope, F.col("id").alias("_id"), F.col("regex").alias("_regex"), F.col("head").alias("_head"))
-    fits = F.startswith(F.col(path), F.col("_head")) & F.expr(f"`{path}` rlike _regex")
-    for c in scope:
-        fits = fits & (paths[c] == p[c])
-    hit = paths.join(p, fits, "left").select(*(paths[c] for c in paths.columns), "_id")
-    return hit.groupBy(*paths.columns).agg(F.sort_array(F.collect_set("_id")).alias("owners"))
+    regex, _ = t.glob_pattern("glob")
+    p = patterns.withColumns({"_key": t.glob_key("glob"), "_regex": regex}).drop("glob")
+    keyed = paths.withColumn("_key", F.explode(t.path_keys(F.col(path))))
+    return keyed.join(p, [*scope, "_key"]).where(F.expr(f"`{path}` rlike _regex")).drop("_key", "_regex")
+
+
+def owners(paths: DataFrame, patterns: DataFrame, path: str, scope: Sequence[str] = ()) -> DataFrame:
+    """Distinct paths with `owners`: the sorted ids of the patterns (id, glob) of their scope that match; none gives an empty list."""
+    hits = pattern_hits(paths, patterns.select(*scope, F.col("id").alias("_id"), "glob"), path, scope).select(*paths.columns, "_id")
+    whole = paths.withColumn("_id", F.lit(None).cast(patterns.schema["id"].dataType)).unionByName(hits)
+    return whole.groupBy(*paths.columns).agg(F.sort_array(F.collect_set("_id")).alias("owners"))
 
 
 def owners_of(path: Column, patterns: Sequence[tuple[str, str, str]]) -> Column:

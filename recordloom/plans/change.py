@@ -22,12 +22,11 @@ def changed_paths(ranges: list[DataFrame]) -> DataFrame:
 
 def path_hits(r: Records, changed: DataFrame) -> DataFrame:
     """repo_id, path and reason for each protected entry whose glob, or whose folder, a changed path matches."""
-    entries = _protected(r)
-    regex, head = t.glob_pattern("glob")
-    under, under_head = t.glob_pattern(F.concat(t.rstrip_chars("glob", "/*"), F.lit("/**")))
-    p = entries.select("repo_id", "reason", regex.alias("a"), under.alias("b"), F.least(head, under_head).alias("head"))
-    fits = F.expr("path rlike a or path rlike b")
-    return changed.join(p, "repo_id").where(fits).select("repo_id", "path", "reason")
+    # An entry is its glob, and all that lies below the folder that it names.
+    globs = F.array("glob", F.concat(t.rstrip_chars("glob", "/*"), F.lit("/**")))
+    entries = _protected(r).select("repo_id", "pos", "reason", F.explode(globs).alias("glob"))
+    hits = ops.pattern_hits(changed.select("repo_id", "path").distinct(), entries, "path", ["repo_id"])
+    return hits.select("repo_id", "path", "pos", "reason").distinct().select("repo_id", "path", "reason")
 
 
 def symbol_hits(r: Records, patches: DataFrame) -> DataFrame:

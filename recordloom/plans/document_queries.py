@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.plans import integrity
+from recordloom.operators import relational as ops
+from recordloom.plans import change, integrity, planning
 from recordloom.sources.records import Records
 from recordloom.sources.snapshot import with_folders
 
@@ -66,3 +67,53 @@ def rule_schema_messages(table, spark: SparkSession) -> DataFrame:
     files = F.array(*(F.struct(F.lit(path).alias("path"), F.col(c).cast("binary").alias("content")) for path, c in (("schemas/audit-finding.schema.json", "schema"), ("audits/findings/1-a.json", "finding"))))
     r = Records(with_folders(part.select("repo_id", F.explode(files).alias("f")).select("repo_id", "f.*")), keep=False)
     return integrity.schemas(r, {"findings": {}}).select("repo_id", "path", "message")
+
+
+#: Paths of orders, and a glob of each part, for the same four repositories.
+_PATH = "concat('area', o_custkey % 50, '/', lower(substr(o_orderpriority, 3, 4)), '/m', o_orderkey % 97, '/f', o_orderkey, CASE o_orderstatus WHEN 'F' THEN '.py' WHEN 'O' THEN '.md' ELSE '.test.ts' END)"
+_GLOB = f"""CASE {_K} % 7 WHEN 0 THEN concat('area', {_K} % 50, '/high/m', {_K} % 97, '/**') WHEN 1 THEN concat('area', {_K} % 50, '/*/m', {_K} % 97, '/*.py') WHEN 2 THEN concat('area', {_K} % 50, '/urge/m', {_K} % 97, '/f[0-4]*.md')
+  WHEN 3 THEN concat('*/m', {_K} % 97, '/f', {_K}, '.*') WHEN 4 THEN concat('area', {_K} % 50, '/low/m?', '/f', {_K} % 10, '*') WHEN 5 THEN concat('*/f', {_K}, '.test.ts') ELSE concat('area', {_K} % 50, '/medi/m', {_K} % 97, '/f', {_K}, '.md') END"""
+_GLOBS = f"p AS (SELECT concat('r', o_orderkey % 4) AS repo_id, {_PATH} AS path FROM orders), g AS (SELECT concat('r', {_K} % 4) AS repo_id, concat('s', {_K} % 300) AS id, {_K} AS k, {_GLOB} AS glob FROM part)"
+
+
+def _paths(table) -> DataFrame:
+    return table("orders").selectExpr("concat('r', o_orderkey % 4) AS repo_id", f"{_PATH} AS path")
+
+
+@_query(f"""WITH {_GLOBS}, h AS (SELECT DISTINCT repo_id, path, id FROM p LEFT JOIN g ON p.repo_id = g.repo_id AND p.path GLOB g.glob)
+SELECT repo_id, path, count(id) AS n_owners, coalesce(string_agg(id, ', ' ORDER BY id), '') AS owners FROM h GROUP BY repo_id, path""".replace("SELECT DISTINCT repo_id, path, id", "SELECT DISTINCT p.repo_id, path, id"))
+def pattern_ownership(table, spark: SparkSession) -> DataFrame:
+    """Owners of the paths of orders by the globs of parts: a path meets the patterns on its own way through the index."""
+    globs = table("part").selectExpr(f"concat('r', {_K} % 4) AS repo_id", f"concat('s', {_K} % 300) AS id", f"{_GLOB} AS glob")
+    out = ops.owners(_paths(table), globs, "path", ["repo_id"])
+    return out.select("repo_id", "path", F.size("owners").cast("bigint").alias("n_owners"), F.array_join("owners", ", ").alias("owners"))
+
+
+@_query(f"""WITH {_GLOBS} SELECT p.repo_id, path, 'why ' || k AS reason FROM (SELECT DISTINCT * FROM p) p JOIN g ON p.repo_id = g.repo_id AND (p.path GLOB g.glob OR p.path GLOB (rtrim(g.glob, '/*') || '/*'))""")
+def change_protected(table, spark: SparkSession) -> DataFrame:
+    """Changed paths, those of orders, under the protected globs of parts; each repository's frozen surface is one file."""
+    each = F.struct(F.col("k"), F.col("glob"), F.concat(F.lit("why "), "k").alias("reason"))
+    surface = table("part").selectExpr(f"concat('r', {_K} % 4) AS repo_id", f"{_K} AS k", f"{_GLOB} AS glob").groupBy("repo_id").agg(F.array_sort(F.collect_list(each)).alias("protected"))
+    files = surface.select("repo_id", F.lit("governance/frozen-surface.json").alias("path"), F.to_json(F.struct(F.lit(1).alias("version"), "protected")).cast("binary").alias("content"))
+    return change.path_hits(Records(with_folders(files), keep=False), change.changed_paths([_paths(table)]))
+
+
+#: Lines of files that name retired folders, one for each part, and what lies below them, named like the suppliers' work items.
+_TOKEN = "concat(CASE WHEN l_linenumber % 2 = 0 THEN '../' ELSE '' END, 'plan', l_partkey, '/', l_suppkey, '-w', CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '/README.md' ELSE '/gone.md' END)"
+_LINED = f"""SELECT concat('r', l_orderkey % 4) AS repo_id, concat('docs/l', l_orderkey % 200, '.md') AS path, l_partkey AS part, l_suppkey AS supp, l_linenumber AS nth, l_quantity % 2 = 0 AS linked, {_TOKEN} AS token,
+  row_number() OVER (PARTITION BY l_orderkey % 4, l_orderkey % 200 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS pos FROM lineitem"""
+
+
+@_query(f"""WITH l AS ({_LINED}), own AS (SELECT l.*, s_suppkey IS NOT NULL AS home, CASE WHEN nth % 2 = 0 THEN '../' ELSE '' END || 'work/active/' || supp || '-w' AS dir
+  FROM l JOIN part ON p_partkey = part AND concat('r', p_partkey % 4) = repo_id LEFT JOIN supplier ON s_suppkey = supp AND concat('r', s_suppkey % 4) = repo_id)
+SELECT repo_id, path, CAST(pos AS INTEGER) AS pos, token, CASE WHEN home THEN dir || CASE WHEN nth % 3 = 0 THEN '' ELSE '/README.md' END END AS mapped, CASE WHEN linked THEN 'link' ELSE 'mention' END AS kind FROM own""")
+def reference_tokens(table, spark: SparkSession) -> DataFrame:
+    """Mentions of as many retired folders as there are parts, in one pass over the lines of lineitem, and what they map to."""
+    lines = spark.sql(_LINED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table("lineitem"))
+    said = F.when(F.col("linked"), F.concat(F.lit("See [it]("), "token", F.lit("), please."))).otherwise(F.concat(F.lit("As "), "token", F.lit(" tells.")))
+    docs = lines.groupBy("repo_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))), lambda x: x["said"]), "\n").alias("text"))
+    folder = F.concat(F.lit("work/active/"), "s_suppkey", F.lit("-w"))
+    work = table("supplier").select(F.concat(F.lit("r"), F.col("s_suppkey") % 4).alias("repo_id"), F.explode(F.array(F.struct(F.concat(folder, F.lit("/work-item.json")).alias("path"), F.lit('{"id": "001"}').alias("text")), F.struct(F.concat(folder, F.lit("/README.md")).alias("path"), F.lit("# Work").alias("text")))).alias("f")).select("repo_id", "f.*")
+    r = Records(with_folders(docs.unionByName(work).select("repo_id", "path", F.col("text").cast("binary").alias("content"))), keep=False)
+    retired = table("part").select(F.concat(F.lit("r"), F.col("p_partkey") % 4).alias("repo_id"), F.concat(F.lit("plan"), "p_partkey").alias("folder"))
+    return planning.references(r, retired).select("repo_id", "path", "pos", "token", "mapped", "kind")

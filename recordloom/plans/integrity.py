@@ -130,9 +130,8 @@ def tracked_ownership(r: Records, as_of: str) -> DataFrame:
     """Tracked paths of none or several scopes, where a repository asks for it and is a checkout."""
     asks = r.owners.where("data.enforce_tracked_path_ownership").select("repo_id")
     globs = r.scopes.select("repo_id", F.coalesce("scope", F.lit("")).alias("id"), F.explode("paths").alias("glob")).where("glob <> ''")
-    regex, head = t.glob_pattern("glob")
     paths = r.tracked.join(asks, "repo_id", "left_semi").select("repo_id", F.translate("path", "\\", "/").alias("path"))
-    own = ops.owners(paths, globs.select("repo_id", "id", regex.alias("regex"), head.alias("head")), "path", ["repo_id"])
+    own = ops.owners(paths, globs, "path", ["repo_id"])
     own = own.select("repo_id", F.lit("governance/owners.json").alias("path"), F.col("path").alias("tracked"), "owners")
     return ops.problems(own, ("J10", F.size("owners") == 0, say("tracked path '", F.col("tracked"), "' has no owner scope")), ("J10", F.size("owners") > 1, say("tracked path '", F.col("tracked"), "' has multiple owner scopes: ", F.array_join("owners", ", "))), subject="tracked")
 

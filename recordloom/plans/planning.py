@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as t
+from recordloom.operators import dictionary
 from recordloom.operators import relational as ops
 from recordloom.sources.records import Records
 from recordloom.sources.snapshot import text_lines
@@ -252,6 +253,12 @@ def retirement(r: Records, git: DataFrame, folders: tuple[str, ...] = PLAN_DIRS)
     return own.select("repo_id", "folder", F.when(why.isNotNull(), "block").when(lost.isNull(), "delete").otherwise("archive").alias("action"), F.coalesce(why, lost).alias("reason"))
 
 
+def _and_above(path: str) -> Column:
+    """A path and the folders above it."""
+    parts = F.split(F.col(path), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
 def references(r: Records, retired: DataFrame) -> DataFrame:
     """Lines elsewhere that name something below retired folders (repo_id, folder): with `token`, `mapped` and `kind`.
 
@@ -259,11 +266,16 @@ def references(r: Records, retired: DataFrame) -> DataFrame:
     null; mention for all others. A token's head is swapped for the work item of that name, its lead of `../` stays.
     """
     own = r.files.where(F.lower(F.regexp_extract("name", r"\.([^.]+)\z", 1)).isin(*TEXT_ENDS) & ~F.col("path").rlike(r"^(\.git|node_modules|archive)/|/__pycache__/"))
-    own = own.join(F.broadcast(retired.groupBy("repo_id").agg(F.collect_set("folder").alias("folders"))), "repo_id")
-    own = own.where(~F.exists("folders", lambda n: (F.col("path") == n) | F.startswith(F.col("path"), F.concat(n, F.lit("/")))) & F.exists("folders", lambda n: F.contains(F.col("text"), F.concat(n, F.lit("/")))))
-    lines = text_lines(own).where(~F.contains("line", F.lit("Imported from"))).join(own.select("repo_id", "path", "folders"), ["repo_id", "path"])
-    any_of = F.array_join(F.transform("folders", lambda n: F.regexp_replace(n, r"([^A-Za-z0-9])", r"\\$1")), "|")
-    tokens = lines.withColumn("pattern", F.concat(F.lit(r"(?:\.\./)*(?:"), any_of, F.lit(")/[^\\s;)\"'`]+"))).withColumn("token", F.explode(F.expr("array_distinct(regexp_extract_all(line, pattern, 0))")))
+    retired = retired.select("repo_id", "folder").where("folder <> ''").distinct()
+    hits = dictionary.occurrences(text_lines(own).where(~F.contains("line", F.lit("Imported from"))), retired.select(F.concat("folder", F.lit("/")).alias("name")), "line")
+    # Names of all repositories are sought at once; those of a line's own count, and only outside of retired folders.
+    hits = hits.withColumn("folder", F.expr("left(name, length(name) - 1)")).join(retired, ["repo_id", "folder"])
+    inside = hits.select("repo_id", "path").distinct().select("repo_id", "path", F.explode(_and_above("path")).alias("folder")).join(retired, ["repo_id", "folder"]).select("repo_id", "path").distinct()
+    hits = hits.join(inside, ["repo_id", "path"], "left_anti")
+    before, after = F.expr("left(line, at)"), F.expr("substring(line, stop + 1)")
+    hits = hits.withColumns({"lead": F.regexp_extract(before, r"((?:\.\./)*)\z", 1), "rest": F.regexp_extract(after, r"^[^\s;)\"'`]+", 0)}).where("rest <> ''")
+    hits = hits.select("repo_id", "path", "pos", "line", (F.col("at") - F.length("lead")).alias("start"), "stop", (F.col("stop") + F.length("rest")).alias("last"), F.concat("lead", "name", "rest").alias("token"))
+    tokens = dictionary.leftmost(hits, ["repo_id", "path", "pos", "line"], "start", "last", "token").withColumn("token", F.explode("token"))
     lead = F.regexp_extract("token", r"^((?:\.\./)*)", 1)
     parts = F.filter(F.split(F.expr("substring(token, length(regexp_extract(token, '^((?:\\\\.\\\\./)*)', 1)) + 1)"), "/"), lambda x: x != "")
     skip = F.when(F.coalesce(F.try_element_at(parts, F.lit(2)).isin(*LIFECYCLES), F.lit(False)), 2).otherwise(1)

@@ -35,9 +35,7 @@ def test_gaps_and_ids(spark):
 def test_overlaps_owners_prefixes(spark):
     m = spark.createDataFrame([("r", "i1", "s", 1), ("r", "i2", "s", 2), ("r", "i2", "t", 2), ("r", "i3", "t", 3), ("q", "i9", "s", 1)], "repo string, item string, scope string, o int")
     assert rows(ops.overlaps(m, ["repo"], "item", "scope", "o")) == [("r", "i1", "i2", ["s"]), ("r", "i2", "i3", ["t"])]
-    from recordloom.functions import text as t
-
-    globs = spark.createDataFrame([(i, t.glob_regex(g), t.glob_head(g)) for i, g in (("a", "src/*"), ("b", "*.py"))], "id string, regex string, head string")
+    globs = spark.createDataFrame([("a", "src/*"), ("b", "*.py")], "id string, glob string")
     paths = spark.createDataFrame([("src/x.py",), ("docs/y",), ("src/z",)], "path string")
     assert rows(ops.owners(paths, globs, "path")) == [("docs/y", []), ("src/x.py", ["a", "b"]), ("src/z", ["a"])]
     prefixes = spark.createDataFrame([("a", "1"), ("a/b", "2")], "prefix string, to string")
@@ -45,6 +43,37 @@ def test_overlaps_owners_prefixes(spark):
     assert rows(ops.most_specific(texts, prefixes, "text", "prefix", "to")) == [(None, None), ("a/b/c", "2"), ("a/x", "1"), ("ab", None)]
 
 
+def test_the_index_of_patterns_finds_what_each_of_them_matches(spark):
+    import fnmatch
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "b", "src", "x.y", "", "m1"])
+    paths = sorted({"/".join(word() for _ in range(rng.randrange(1, 5))) + rng.choice(["", ".py", ".test.md", "[", "]x", ".p/y"]) for _ in range(400)} - {""})
+    globs = sorted({"/".join(rng.choice([word(), "*", "**", "?", "[ab]", "[!a]", "m*", "*.py", "s[rq]c"]) for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", "*.md", ".py", "/*", "[", "?", ".p/?"]) for _ in range(300)} - {""} | set(paths[:20]))
+    found = ops.pattern_hits(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame([(g, g) for g in globs], "glob string, own string"), "path")
+    got = {(r["path"], r["own"]) for r in found.collect()}
+    assert got == {(p, g) for p in paths for g in globs if fnmatch.fnmatchcase(p, g)} and len(got) > 1000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_occurrences_of_many_names(spark):
+    from recordloom.operators import dictionary
+
+    names = ["ab", "b", "abc", "é/", "x" * 50, "", None]
+    texts = ["zabcab", "", None, "é/é/", "x" * 52, "none"]
+    docs = spark.createDataFrame([(i, x, "own") for i, x in enumerate(texts)], "i int, text string, name2 string")
+    want = {(i, n, k) for i, x in enumerate(texts) for n in names if n and x for k in range(len(x)) if x.startswith(n, k)}
+    for most in (dictionary.MOST, 3):
+        found = dictionary.occurrences(docs, spark.createDataFrame([(n,) for n in names + names], "name string"), "text", most)
+        got = [(r["i"], r["name"], r["at"]) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and all(r["stop"] == r["at"] + len(r["name"]) for r in found.collect())
+    assert dictionary.occurrences(docs, docs.select("name2").toDF("name").limit(0), "text").count() == 0
+    taken = dictionary.leftmost(found, ["i"], "at", "stop", "name")
+    assert {r["i"]: r["name"] for r in taken.collect()} == {0: ["abc", "ab"], 3: ["é/"], 4: ["x" * 50]}
+
+
 def edges(spark, *pairs):
     return spark.createDataFrame([("r", a, b, a, i) for i, (a, b) in enumerate(pairs)], "repo_id string, src string, dst string, src_ord string, pos int")
 

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from recordloom.plans import fleet_queries, record_queries, repository_queries, table_queries
+from recordloom.plans import document_queries, fleet_queries, record_queries, repository_queries, table_queries
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.is_dir(), reason="the driver's tables aren't here")
@@ -19,7 +19,7 @@ def db():
     return con
 
 
-MODULES = (table_queries, record_queries, repository_queries, fleet_queries)
+MODULES = (table_queries, record_queries, repository_queries, fleet_queries, document_queries)
 
 
 @pytest.mark.parametrize("module, name", [(m, n) for m in MODULES for n in sorted(m.QUERIES)])
