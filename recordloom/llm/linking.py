@@ -23,7 +23,7 @@ from .common import written
 from .components import components
 
 #: Rows that share a key at which rounds begin, and rows of a block at most.
-LARGE, BLOCK = 1024, 2048
+LARGE, BLOCK = 128, 2048
 
 #: Whether rows may be linked: (place, sketch) of one row and (places, sketches) of others that share its key.
 Possible = Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -57,17 +57,19 @@ def _by_blocks(df: DataFrame, pairs: Callable, schema: str) -> DataFrame:
     return df.repartition("h", "block").sortWithinPartitions("h", "block", "row").mapInArrow(run, schema)
 
 
-def _first(possible: Possible):
-    """For each row of a block the first one before it, of another component, that it may be linked with: a, b, their components."""
+def _forest(possible: Possible):
+    """Pairs of a block that may be linked and, if all of them were, would join what any such pair could: a, b, their components."""
 
     def pairs(row, met, place, side, sketch):
-        first = np.full(len(row), -1)
+        label, left, right = np.unique(met, return_inverse=True)[1], [], []
         for i in range(len(row) - 1):
-            todo = np.flatnonzero((first[i + 1 :] < 0) & (met[i + 1 :] != met[i])) + i + 1
+            todo = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
             if len(todo):
-                first[todo[possible(place[i], sketch[i], place[todo], sketch[todo])]] = i
-        b = np.flatnonzero(first >= 0)
-        a = first[b]
+                todo = todo[possible(place[i], sketch[i], place[todo], sketch[todo])]
+                others, first = np.unique(label[todo], return_index=True)
+                left.append(np.full(len(others), i)), right.append(todo[first])
+                label[np.isin(label, others)] = label[i]
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         return row[a], row[b], met[a], met[b]
 
     return pairs
@@ -110,8 +112,10 @@ def linked(entries: DataFrame, nodes: DataFrame, possible: Possible, verify: Cal
             break
         k += 1
         dealt = left.join(several.where(F.col("n") > LARGE), "h").withColumn("block", F.pmod(F.xxhash64("row", F.lit(k)), F.ceil(F.col("n") / BLOCK)))
-        near = _by_blocks(dealt.join(nodes, "row").select("h", "block", "row", "met", "place", F.lit(2).alias("side"), "sketch"), _first(possible), "a bigint, b bigint, c bigint, d bigint")
-        taken = written(near.groupBy("b").agg(F.min(F.struct("a", "c", "d")).alias("t")).select("t.a", "b", "t.c", "t.d"), "taken")
+        near = _by_blocks(dealt.join(nodes, "row").select("h", "block", "row", "met", "place", F.lit(2).alias("side"), "sketch"), _forest(possible), "a bigint, b bigint, c bigint, d bigint")
+        # One pair of each two components.
+        taken = near.groupBy(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(F.min(F.struct("a", "b")).alias("t"))
+        taken = written(taken.select("t.a", "t.b", "c", "d"), "taken")
         more = verify(taken.select("a", "b"))
         compared, joined = taken.count(), more.count()
         found = found.unionByName(more)

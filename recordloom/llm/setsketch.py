@@ -7,8 +7,9 @@ Registers of two sets merge by their maxima (merge()), and are equal with a prob
 (linking.linked); with BANDS such places a pair of just 0.85 is missed by all of them once in 170 million, and one of 0.9
 once in 10 to the 12. Of a candidate, the numbers of registers that are greater, less and equal, and both sets' exact sizes,
 give the likelihood of each similarity; where the best one is more likely than all from the threshold on by a ratio that
-DOUBT bounds (a chance of 10 to the -8), the pair goes no further. All others are held against each other by their whole
-sets, so no link is wrong. Equal sets are one row of the search.
+DOUBT bounds (a chance of 10 to the -8), the pair goes no further, nor where parities of the sets over 1024 bits show that
+they share too little. All others are held against each other by their whole sets, so no link is wrong. Equal sets are one
+row of the search.
 
 Cases: a text without words, or null, has the empty set and is linked with nothing, not even with another such text; a
 shorter text than WORDS words is one shingle; equal rows, rows with the same id or without one are rows of their own; a
@@ -88,7 +89,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, thresho
 
 
 def _possible(similarity: Fraction):
-    """For linked(): the place is a band; a pair counts in its first equal band only. A sketch ends with the size (8 bytes)."""
+    """For linked(): the place is a band; a pair counts in its first equal band only. A sketch ends with size (8 bytes) and parities.
+
+    The parities of two sets over 1024 bits differ in no more bits than the sets in shingles, which bounds what they share.
+    """
+    num, den = similarity.numerator, similarity.denominator
     t = float(similarity)
     p = np.log1p(t * (BASE - 1)) / np.log(BASE)
     few = int(M * p - 7 * np.sqrt(M * p * (1 - p)))  # equal registers that a similar pair has, but for a chance of 1e-11
@@ -98,8 +103,10 @@ def _possible(similarity: Fraction):
         equal = b == a
         able = np.flatnonzero((equal.sum(1) >= few) & ~equal[:, : BAND * place].reshape(len(b), place, BAND).all(2).any(1))
         if len(able):
-            n, m = one[2 * M :].view(np.int64), np.ascontiguousarray(others[able, 2 * M :]).view(np.int64)[:, 0]
-            able = able[estimate(a[None, :], b[able], np.broadcast_to(n, m.shape), m, t)[1] <= DOUBT]
+            n, m = one[2 * M : 2 * M + 8].view(np.int64), np.ascontiguousarray(others[able, 2 * M : 2 * M + 8]).view(np.int64)[:, 0]
+            apart = np.bitwise_count(np.ascontiguousarray(others[able, 2 * M + 8 :]).view(np.uint64) ^ one[2 * M + 8 :].view(np.uint64)).sum(1, dtype=np.int64)
+            likely = estimate(a[None, :], b[able], np.broadcast_to(n, m.shape), m, t)[1] <= DOUBT
+            able = able[likely & ((n + m - apart) * (num + den) >= 2 * num * (n + m))]
         out = np.zeros(len(b), bool)
         out[able] = True
         return out
@@ -108,7 +115,7 @@ def _possible(similarity: Fraction):
 
 
 def _described(rows: DataFrame, words: int) -> DataFrame:
-    """id, file and at of each row; set (its digest), n (its size), parity over 1024 bits and sketch (registers and size)."""
+    """id, file and at of each row; set (its digest), n (its size), parity over 1024 bits and sketch (registers, size, parity)."""
 
     def run(batches):
         of = Shingles(words)
@@ -119,7 +126,7 @@ def _described(rows: DataFrame, words: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
                 parities.append(np.packbits((np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).tobytes())
-                sketches.append(sketch(h).tobytes() + len(h).to_bytes(8, "little"))
+                sketches.append(sketch(h).tobytes() + len(h).to_bytes(8, "little") + parities[-1])
             columns = [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "file", "at", "set", "n", "parity", "sketch"])
 
