@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions import text as t
+from recordloom.operators import history
 from recordloom.operators import relational as ops
 from recordloom.sources.records import Records
 from recordloom.sources.snapshot import text_lines
@@ -20,6 +21,16 @@ def changed_paths(ranges: list[DataFrame]) -> DataFrame:
     return ops.union_all([x.select("repo_id", "path") for x in ranges]).distinct()
 
 
+def changed_since(commits: DataFrame, trees: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
+    """repo_id and path of what differs between head and where it left base; both (repo_id, id), see operators.history.
+
+    A repository without a common ancestor gives no row.
+    """
+    heads = base.select("repo_id", F.lit("base").alias("label"), "id").unionByName(head.select("repo_id", F.lit("head").alias("label"), "id"))
+    left = history.merge_bases(commits, history.reachable(commits, heads), "base", "head")
+    return history.changed_paths(trees, left, head.join(left.select("repo_id").distinct(), "repo_id", "left_semi"))
+
+
 def path_hits(r: Records, changed: DataFrame) -> DataFrame:
     """repo_id, path and reason for each protected entry whose glob, or whose folder, a changed path matches."""
     # An entry is its glob, and all that lies below the folder that it names.

@@ -10,11 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from recordloom.operators import history
 from recordloom.operators import relational as ops
 from recordloom.plans import change, integrity, planning
 from recordloom.sources.records import Records
 from recordloom.sources.snapshot import with_folders
+from recordloom.sources.stored import written
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +120,50 @@ def reference_tokens(table, spark: SparkSession) -> DataFrame:
     r = Records(with_folders(docs.unionByName(work).select("repo_id", "path", F.col("text").cast("binary").alias("content"))), keep=False)
     retired = table("part").select(F.concat(F.lit("r"), F.col("p_partkey") % 4).alias("repo_id"), F.concat(F.lit("plan"), "p_partkey").alias("folder"))
     return planning.references(r, retired).select("repo_id", "path", "pos", "token", "mapped", "kind")
+
+
+#: Commits of orders in five repositories: a trunk, branches that are merged or left alone, and merges across them.
+_HISTORY = """WITH RECURSIVE c AS (SELECT repo_id, n, concat('c', o_orderkey) AS id, author, CAST((n - n % 10) / 10 AS INT) AS decade FROM (SELECT *, concat('r', o_custkey % 5) AS repo_id, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS n, concat('a', o_custkey) AS author FROM orders)),
+e AS (SELECT a.repo_id, a.id AS child, b.id AS parent FROM c a JOIN c b ON a.repo_id = b.repo_id AND (b.n = a.n - CASE a.n % 10 WHEN 5 THEN 4 WHEN 7 THEN 3 ELSE 1 END OR (a.n % 10 = 0 AND a.decade % 5 <> 3 AND b.n = a.n - 4) OR (a.n % 10 = 8 AND a.decade % 7 = 2 AND b.n = a.n - 3))),
+top AS (SELECT repo_id, arg_max(id, n) AS id FROM c GROUP BY repo_id),
+side AS (SELECT repo_id, arg_max(id, n) AS id FROM c WHERE n % 10 = 6 AND decade % 5 = 2 GROUP BY repo_id),
+tag AS (SELECT repo_id, id, 'v' || id AS tag FROM c WHERE CAST(substr(id, 2) AS INT) % 97 = 0),
+h AS (SELECT repo_id, 'top' AS label, id FROM top UNION ALL SELECT repo_id, 'side', id FROM side UNION ALL SELECT repo_id, tag, id FROM tag),
+reach AS (SELECT repo_id, label, id FROM h UNION SELECT r.repo_id, r.label, e.parent FROM reach r JOIN e ON e.repo_id = r.repo_id AND e.child = r.id),
+own AS (SELECT repo_id, id FROM reach WHERE label = 'top')
+"""
+
+
+def _history(table) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Commits of orders, and the heads top (the last commit) and side (the last one of a branch that was not merged)."""
+    w = Window.partitionBy(F.col("o_custkey") % 5).orderBy("o_orderkey")
+    own = table("orders").select(F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("repo_id"), F.row_number().over(w).alias("n"), F.concat(F.lit("c"), "o_orderkey").alias("id"), F.concat(F.lit("a"), "o_custkey").alias("author"))
+    own = own.withColumn("decade", F.expr("(n - n % 10) div 10"))
+    before = F.when(F.col("n") % 10 == 5, 4).when(F.col("n") % 10 == 7, 3).otherwise(1)
+    merged = F.when((F.col("n") % 10 == 0) & (F.col("decade") % 5 != 3), 4).when((F.col("n") % 10 == 8) & (F.col("decade") % 7 == 2), 3)
+    links = own.select("repo_id", "id", F.explode(F.array_compact(F.array(before, merged))).alias("back"), "n").withColumn("n", F.col("n") - F.col("back"))
+    parents = links.join(own.select("repo_id", "n", F.col("id").alias("parent")), ["repo_id", "n"]).groupBy("repo_id", "id").agg(F.collect_set("parent").alias("parents"))
+    commits = own.join(parents, ["repo_id", "id"], "left").select("repo_id", "id", "author", "parents", "n", "decade")
+    commits = written(commits, "commits")
+    top = commits.groupBy("repo_id").agg(F.max_by("id", "n").alias("id"))
+    return commits, top, commits.where("n % 10 = 6 AND decade % 5 = 2").groupBy("repo_id").agg(F.max_by("id", "n").alias("id"))
+
+
+@_query(_HISTORY + """, depth AS (SELECT t.repo_id, t.tag, count(*) AS n FROM tag t JOIN own o ON o.repo_id = t.repo_id AND o.id = t.id JOIN reach r ON r.repo_id = t.repo_id AND r.label = t.tag GROUP BY ALL),
+last AS (SELECT repo_id, arg_max(tag, (n, tag)) AS latest_tag FROM depth GROUP BY repo_id)
+SELECT top.repo_id, count(*) AS commits, substr(any_value(top.id), 1, 7) AS head, any_value(latest_tag) AS latest_tag, count(DISTINCT author) AS contributors
+FROM top JOIN own USING (repo_id) JOIN c ON c.repo_id = own.repo_id AND c.id = own.id LEFT JOIN last ON last.repo_id = top.repo_id GROUP BY top.repo_id""")
+def repository_statistics(table, spark: SparkSession) -> DataFrame:
+    """Commits, head, latest tag and contributors of repositories whose commits are the orders."""
+    commits, top, _ = _history(table)
+    tags = commits.where(F.substring("id", 2, 20).cast("bigint") % 97 == 0).select("repo_id", F.concat(F.lit("v"), "id").alias("tag"), "id")
+    return history.statistics(commits, top, tags)
+
+
+@_query(_HISTORY + """, common AS (SELECT a.repo_id, a.id FROM own a SEMI JOIN (SELECT * FROM reach WHERE label = 'side') b ON b.repo_id = a.repo_id AND b.id = a.id)
+SELECT repo_id, id FROM common WHERE NOT EXISTS (SELECT 1 FROM e JOIN common y ON y.repo_id = e.repo_id AND y.id = e.child WHERE e.repo_id = common.repo_id AND e.parent = common.id)""")
+def history_merge_bases(table, spark: SparkSession) -> DataFrame:
+    """Where a branch left the trunk."""
+    commits, top, side = _history(table)
+    heads = top.select("repo_id", F.lit("top").alias("label"), "id").unionByName(side.select("repo_id", F.lit("side").alias("label"), "id"))
+    return history.merge_bases(commits, history.reachable(commits, heads), "top", "side")
