@@ -2,7 +2,8 @@
 
 validate, dashboard, doctor, plan, retire, changed, owners and next-id read repositories; init, adopt and new tell, or write,
 files that aren't there yet; fleet-verify and release-closeout compare adopters with tables of what their remotes hold; spec
-prints the catalog of record kinds; conformance checks a folder of cases. What version control or a remote knows comes in
+prints the catalog of record kinds; conformance checks a folder of cases. Tracked and ignored files are read from a checkout's
+index and ignore files, unless lists of them are given; what else version control or a remote knows comes in
 files: lists of paths, one in a line, or JSON lines of the tables that the plans name.
 """
 
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom import schemas
+from recordloom.operators import history
 from recordloom.plans import adoption, change, doctor, fleet, integrity, planning, report
-from recordloom.sources import snapshot
+from recordloom.sources import snapshot, version_control
 from recordloom.sources.records import Records
 
 COMMANDS = ("validate", "dashboard", "doctor", "plan", "retire", "changed", "owners", "next-id", "init", "adopt", "new", "fleet-verify", "release-closeout", "spec", "conformance")
@@ -38,6 +40,13 @@ def _table(spark: SparkSession, file: str | None, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(file) if file else spark.createDataFrame([], schema)
 
 
+def _ignored(spark: SparkSession, r: Records, roots: list[str]) -> DataFrame:
+    """Files of the repositories that their .gitignore files hide, which Spark's readers pass over as hidden themselves."""
+    files = [(root, str(x.relative_to(root)), x.read_bytes()) for root in roots for x in sorted(Path(root).rglob(".gitignore")) if ".git" not in x.relative_to(root).parts[:-1]]
+    patterns = version_control.ignore_patterns(spark.createDataFrame(files, "repo_id string, path string, content binary"))
+    return version_control.ignored(r.files, patterns, version_control.tracked(version_control.load_indexes(spark, {root: root for root in roots})))
+
+
 def _made(files: DataFrame, write: bool) -> list[str]:
     """Lines of missing_files(); with write, files to be created are written below their repositories' folders."""
     out = []
@@ -57,8 +66,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--root", action="append", default=[], help="folder of a repository; may be given several times")
     parser.add_argument("--as-of", default=datetime.date.today().isoformat())
     parser.add_argument("--write", action="store_true", help="dashboard, init, adopt, new: write the files that aren't there")
-    parser.add_argument("--tracked", help="validate: file of paths under version control")
-    parser.add_argument("--ignored", help="doctor: file of paths that version control ignores")
+    parser.add_argument("--tracked", help="validate: file of paths under version control, in place of the index of each repository")
+    parser.add_argument("--ignored", help="doctor: file of paths that version control ignores, in place of the repositories' .gitignore files")
+    parser.add_argument("--log", help=f"adopt: file of `git log --all --format={version_control.LOG_FORMAT}`, for statistics of the history".replace("%", "%%"))
     parser.add_argument("--git", help="retire: JSON lines of what version control knows of plan folders")
     parser.add_argument("--issues", help="plan: JSON lines of issues")
     parser.add_argument("--changed", help="changed: file of changed paths")
@@ -77,7 +87,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     roots = {Path(x).name: x for root in args.root for x in sorted(map(str, Path(root).iterdir())) if Path(x).is_dir()} if args.command == "conformance" else {root: root for root in args.root}
     for root in args.root if args.command == "init" else ():
         Path(root).mkdir(parents=True, exist_ok=True)
-    r = Records(snapshot.load(spark, roots), _lines(spark, args.root, args.tracked) if args.tracked else None)
+    tracked = _lines(spark, args.root, args.tracked) if args.tracked else version_control.tracked(version_control.load_indexes(spark, roots)) if args.command == "validate" else None
+    r = Records(snapshot.load(spark, roots), tracked.select("repo_id", "path") if tracked is not None else None)
     repos = spark.createDataFrame([(x,) for x in roots], "repo_id string")
     lines, bad = [], False
     if args.command == "validate":
@@ -93,7 +104,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             lines.append(x.dashboard)
     elif args.command == "doctor":
         shipped = spark.createDataFrame([(integrity.SCHEMA_FILES[kind], json.dumps(x, indent=2).encode()) for kind, x in schemas.SHIPPED.items()], "name string, content binary")
-        found = doctor.diagnose(r, shipped, _lines(spark, args.root, args.ignored)).persist()
+        found = doctor.diagnose(r, shipped, _lines(spark, args.root, args.ignored) if args.ignored else _ignored(spark, r, args.root)).persist()
         lines = [f"{x.severity} {x.code} {x.repo_id}: {x.message}" for x in found.orderBy("repo_id", "code", "message").collect()]
         lines += [f"repair {x.repo_id}: {x.action} {x.subject or ''}".rstrip() for x in doctor.repairs(r, args.as_of, found).orderBy("repo_id", "action").collect()]
         bad = not found.isEmpty()
@@ -114,6 +125,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "adopt":
             lines = [f"{x.repo_id}: version {x.version}" for x in adoption.detected_version(r).orderBy("repo_id").collect()]
             lines += [f"{x.repo_id}: owner {x.handle} {' '.join(x.globs)}" for x in adoption.code_owners(r).orderBy("repo_id", "handle").collect()]
+            if args.log:
+                found = history.statistics(*version_control.log_tables(_lines(spark, args.root, args.log).withColumnRenamed("path", "line")))
+                lines += [f"{x.repo_id}: {x.commits} commits by {x.contributors}, head {x.head}, latest tag {x.latest_tag}" for x in found.orderBy("repo_id").collect()]
             lines += [f"{x.repo_id}: workflow {x.title}" for x in adoption.workflows(r).orderBy("repo_id", "path").collect()]
         lines += _made(adoption.missing_files(adoption.bootstrap(repos, args.as_of), r), args.write)
     elif args.command == "new":

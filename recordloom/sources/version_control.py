@@ -67,6 +67,19 @@ def _there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+#: The format of a log that log_tables() reads: git log --all --format=...
+LOG_FORMAT = "%H%x1f%P%x1f%an <%ae>%x1f%D"
+
+
+def log_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """commits, heads and tags, as operators.history.statistics() takes them, of a log's lines (repo_id, line) in LOG_FORMAT."""
+    parts = F.split("line", "\x1f")
+    own = lines.where(F.size(parts) == 4).select("repo_id", parts[0].alias("id"), F.filter(F.split(parts[1], " "), lambda x: x != "").alias("parents"), parts[2].alias("author"), F.explode_outer(F.split(parts[3], ", ")).alias("ref"))
+    tags = own.where(F.startswith("ref", F.lit("tag: "))).select("repo_id", F.expr("substring(ref, 6)").alias("tag"), "id")
+    heads = own.where((F.col("ref") == "HEAD") | F.startswith("ref", F.lit("HEAD -> "))).select("repo_id", "id")
+    return own.select("repo_id", "id", "parents", "author").distinct(), heads, tags
+
+
 def blob(content: Column | str) -> Column:
     """The digest under which version control holds a file's bytes; line ends are taken as they are."""
     own = F.col(content) if isinstance(content, str) else content

@@ -7,6 +7,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.operators import history
 from recordloom.sources import version_control as vc
 from tests.conftest import rows
 
@@ -63,3 +64,27 @@ def test_ignored_paths(spark, tmp_path):
     assert {r["path"] for r in vc.ignored(own, patterns).collect()} == set(told) and 20 < len(told) < len(paths) - 20
     known = spark.createDataFrame([("r", told[0], 0, 0, "")], vc.TRACKED)
     assert {r["path"] for r in vc.ignored(own, patterns, known).collect()} == set(told[1:])
+
+
+def test_the_log_of_a_history(spark, tmp_path):
+    root = checkout(tmp_path / "repo", {"a": "1"})
+    say = lambda n, who: git(root, "-c", f"user.name={who}", "commit", "-q", "--allow-empty", "-m", n)
+    for k in range(6):
+        say(str(k), "abc"[k % 2])
+        if k in (1, 3):
+            git(root, "tag", f"v{k}")
+    git(root, "checkout", "-q", "-b", "side", "HEAD~2"), say("other", "z"), git(root, "tag", "far"), git(root, "checkout", "-q", "-")
+    lines = spark.createDataFrame([("r", x) for x in git(root, "log", "--all", f"--format={vc.LOG_FORMAT}").splitlines()], "repo_id string, line string")
+    want = ("r", int(git(root, "rev-list", "--count", "HEAD")), git(root, "rev-parse", "HEAD")[:7], git(root, "describe", "--tags", "--abbrev=0").strip(), len(git(root, "shortlog", "-sne", "HEAD").splitlines()))
+    assert rows(history.statistics(*vc.log_tables(lines))) == [want] == [("r", 6, want[2], "v3", 2)]
+
+
+def test_the_command_line_reads_the_index_and_the_ignore_files(spark, tmp_path, capsys):
+    from recordloom import cli
+    from tests.repository import base
+
+    root = checkout(tmp_path / "own", base() | {".gitignore": "decisions/\n", "src/lost.py": ""})
+    git(root, "add", "-A"), git(root, "commit", "-q", "-m", "one")
+    (tmp_path / "log").write_text(git(root, "log", "--all", f"--format={vc.LOG_FORMAT}"))
+    at = ["--root", str(root), "--as-of", "2026-07-26"]
+    assert cli.main(["adopt", "--log", str(tmp_path / "log"), *at], spark) == 0 and f"1 commits by 1, head {git(root, 'rev-parse', 'HEAD')[:7]}, latest tag None" in capsys.readouterr().out
