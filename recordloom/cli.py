@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from recordloom import schemas
 from recordloom.operators import history
 from recordloom.plans import adoption, change, doctor, fleet, integrity, planning, report
-from recordloom.sources import snapshot, version_control
+from recordloom.sources import files, snapshot, version_control
 from recordloom.sources.records import Records
 
 COMMANDS = ("validate", "dashboard", "doctor", "plan", "retire", "changed", "owners", "next-id", "init", "adopt", "new", "fleet-verify", "release-closeout", "spec", "conformance")
@@ -42,21 +42,23 @@ def _table(spark: SparkSession, file: str | None, schema: str) -> DataFrame:
 
 def _ignored(spark: SparkSession, r: Records, roots: list[str]) -> DataFrame:
     """Files of the repositories that their .gitignore files hide, which Spark's readers pass over as hidden themselves."""
-    files = [(root, str(x.relative_to(root)), x.read_bytes()) for root in roots for x in sorted(Path(root).rglob(".gitignore")) if ".git" not in x.relative_to(root).parts[:-1]]
-    patterns = version_control.ignore_patterns(spark.createDataFrame(files, "repo_id string, path string, content binary"))
+    own = [(root, str(x.relative_to(root)), x.read_bytes()) for root in roots for x in sorted(Path(root).rglob(".gitignore")) if ".git" not in x.relative_to(root).parts[:-1]]
+    patterns = version_control.ignore_patterns(spark.createDataFrame(own, "repo_id string, path string, content binary"))
     return version_control.ignored(r.files, patterns, version_control.tracked(version_control.load_indexes(spark, {root: root for root in roots})))
 
 
-def _made(files: DataFrame, write: bool) -> list[str]:
-    """Lines of missing_files(); with write, files to be created are written below their repositories' folders."""
-    out = []
-    for x in files.orderBy("repo_id", "path").collect():
-        if write and x.action == "create":
-            path = Path(x.repo_id, x.path)
-            path.parent.mkdir(parents=True, exist_ok=True)
-            path.write_text(x.text, encoding="utf-8")
-        out.append(f"{x.repo_id}: {x.action} {x.path}")
-    return out
+def _put(rows: DataFrame, action: str) -> None:
+    """Writes rows (repo_id, path, text) below their repositories' folders, as one transaction."""
+    root = F.when(F.startswith("repo_id", F.lit("/")), F.col("repo_id")).otherwise(F.concat(F.lit(f"{Path.cwd()}/"), "repo_id"))
+    files.write_files(rows.select(root.alias("repo_id"), "path", F.encode("text", "UTF-8").alias("content"), F.lit(action).alias("action")))
+
+
+def _made(rows: DataFrame, write: bool) -> list[str]:
+    """Lines of missing_files(); with write, files to be created are written, unless there are some by then."""
+    lines = [f"{x.repo_id}: {x.action} {x.path}" for x in rows.select("repo_id", "action", "path").orderBy("repo_id", "path").collect()]
+    if write:
+        _put(rows.where("action = 'create'"), "create")
+    return lines
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -96,12 +98,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         bad = bool(lines)
         lines.append(f"Validation failed with {len(lines)} error(s)." if bad else "Validation passed.")
     elif args.command == "dashboard":
-        for x in report.dashboard(r, args.as_of).collect():
-            if args.write:
-                path = Path(x.repo_id, "audits/reports/dashboard.md")
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_text(x.dashboard, encoding="utf-8")
-            lines.append(x.dashboard)
+        made = report.dashboard(r, args.as_of)
+        lines = [x.dashboard for x in made.collect()]
+        if args.write:
+            _put(made.select("repo_id", F.lit("audits/reports/dashboard.md").alias("path"), F.col("dashboard").alias("text")), "replace")
     elif args.command == "doctor":
         shipped = spark.createDataFrame([(integrity.SCHEMA_FILES[kind], json.dumps(x, indent=2).encode()) for kind, x in schemas.SHIPPED.items()], "name string, content binary")
         found = doctor.diagnose(r, shipped, _lines(spark, args.root, args.ignored) if args.ignored else _ignored(spark, r, args.root)).persist()
