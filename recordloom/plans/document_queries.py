@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recordloom.functions import text as t
 from recordloom.operators import history
 from recordloom.operators import relational as ops
-from recordloom.plans import change, integrity, planning
+from recordloom.plans import adoption, change, integrity, planning, report
 from recordloom.sources.records import Records
 from recordloom.sources.snapshot import with_folders
 from recordloom.sources.stored import written
@@ -167,3 +168,49 @@ def history_merge_bases(table, spark: SparkSession) -> DataFrame:
     commits, top, side = _history(table)
     heads = top.select("repo_id", F.lit("top").alias("label"), "id").unionByName(side.select("repo_id", F.lit("side").alias("label"), "id"))
     return history.merge_bases(commits, history.reachable(commits, heads), "top", "side")
+
+
+_TITLE = "CASE WHEN o_orderkey % 5 = 0 THEN ' ' WHEN o_orderkey % 7 = 0 THEN '!' ELSE o_orderpriority END"
+
+
+@_query(f"""WITH i AS (SELECT concat('r', o_custkey % 8) AS repo_id, o_orderkey AS number, {_TITLE} AS title, o_orderstatus = 'F' AS closed, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey DESC) AS n FROM orders),
+named AS (SELECT repo_id, number, closed, CASE WHEN trim(title) = '' THEN 'issue-' || number ELSE title END AS title FROM i WHERE n <= 200)
+SELECT repo_id, 'github:#' || number AS source, title, CASE WHEN closed THEN 'completed' ELSE 'active' END AS lifecycle, coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'issue') AS slug FROM named""")
+def planning_issues(table, spark: SparkSession) -> DataFrame:
+    """Orders as issues, the 200 newest of each repository."""
+    issues = table("orders").selectExpr("concat('r', o_custkey % 8) AS repo_id", "o_orderkey AS number", f"{_TITLE} AS title", "'' AS body", "CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'OPEN' END AS state", "'' AS url")
+    return planning.from_issues(issues).select("repo_id", "source", "title", "lifecycle", "slug")
+
+
+@_query("""SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'About ' || p_name || chr(10) || '<!-- generated:x -->' || chr(10) || p_type || chr(10) || '<!-- /generated:x -->' || chr(10) || 'end' END AS text FROM part""")
+def report_blocks(table, spark: SparkSession) -> DataFrame:
+    """A generated block of each part's text is made anew; a text without its markers has none."""
+    mark = F.when(F.col("p_partkey") % 4 == 0, "other").otherwise("x")
+    text = F.concat(F.lit("About "), "p_name", F.lit("\n<!-- generated:"), mark, F.lit(" -->\nold "), "p_brand", F.lit("\nlines\n<!-- /generated:"), mark, F.lit(" -->\nend"))
+    return table("part").select(F.col("p_partkey").alias("k"), report.replace_block(text, "x", F.col("p_type")).alias("text"))
+
+
+@_query("""SELECT concat('r', o_custkey % 100) AS repo_id, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderstatus = 'F') AS work_items, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderstatus = 'O') AS decisions,
+count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderstatus = 'P') AS findings, count(*) FILTER (o_orderkey % 3 = 0) AS skipped FROM orders GROUP BY ALL""")
+def adoption_counts(table, spark: SparkSession) -> DataFrame:
+    """What an import of orders would create, by the kinds of their paths, and skip."""
+    path = "CASE o_orderstatus WHEN 'F' THEN concat('work/active/', o_orderkey, '-x/work-item.json') WHEN 'O' THEN concat('decisions/', o_orderkey, '.md') ELSE concat('audits/findings/', o_orderkey, '.json') END AS path"
+    return adoption.report_counts(table("orders").selectExpr("concat('r', o_custkey % 100) AS repo_id", path, "CASE WHEN o_orderkey % 3 = 0 THEN 'skip' ELSE 'create' END AS action"))
+
+
+@_query("""WITH v AS (SELECT concat('r', p_partkey % 40) AS repo_id, unnest([CASE p_partkey % 3 WHEN 0 THEN 'todos' WHEN 1 THEN 'plans/' || p_brand ELSE 'todosx/' || p_brand END, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'plans/' || p_type || '/AGENTS.md' END]) AS value FROM part)
+SELECT DISTINCT repo_id, folder, value FROM v, (SELECT unnest(['todos', 'plans']) AS folder) WHERE value = folder OR starts_with(value, folder || '/')""")
+def planning_scopes_inside(table, spark: SparkSession) -> DataFrame:
+    """Audit scopes and contracts, parts in the registries of forty repositories, that lie in two folders of plans."""
+    entry = F.struct(F.expr("CASE p_partkey % 3 WHEN 0 THEN 'todos' WHEN 1 THEN concat('plans\\\\', p_brand) ELSE concat('todosx/', p_brand) END").alias("path"), F.expr("CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('plans/', p_type, '/AGENTS.md') END").alias("contract"))
+    own = table("part").select(F.concat(F.lit("r"), F.col("p_partkey") % 40).alias("repo_id"), entry.alias("e")).groupBy("repo_id").agg(F.to_json(F.struct(F.collect_list("e").alias("scopes"))).cast("binary").alias("content"))
+    r = Records(with_folders(own.select("repo_id", F.lit("audits/registry.json").alias("path"), "content")), keep=False)
+    return planning.scopes_inside(r, r.repos.select("repo_id", F.explode(F.array(F.lit("todos"), F.lit("plans"))).alias("folder"))).select("repo_id", "folder", "value")
+
+
+@_query("""SELECT p_partkey AS k, '{"brand":"' || p_brand || '","name":"' || p_name || '","size":' || p_size || ',"zero":null}' AS json, p_name || chr(10) || p_brand || chr(13) || chr(10) AS unix FROM part""")
+def deterministic_texts(table, spark: SparkSession) -> DataFrame:
+    """Parts as JSON with sorted keys, and texts whose ends of lines are made plain."""
+    json_ = report.as_json({"zero": F.lit(None).cast("string"), "name": F.col("p_name"), "size": F.col("p_size"), "brand": F.col("p_brand")})
+    unix = t.unix_ends(F.concat("p_name", F.lit("\r\n"), "p_brand", F.lit("\r\r\n")).cast("binary")).cast("string")
+    return table("part").select(F.col("p_partkey").alias("k"), json_.alias("json"), unix.alias("unix"))
