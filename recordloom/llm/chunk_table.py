@@ -1,7 +1,8 @@
 """Token ids of whole texts by way of a table of distinct chunks.
 
 A text is cut where no token can cross: before a space between two other characters. Each distinct chunk of a slice of
-texts is segmented once by the tokenizer's own library, and its ids are put back by position with array operations.
+texts is segmented once by the tokenizer's own library, whole or by the pieces that the library would part it into, and
+its ids are put back by position with array operations.
 A bounded table of chunks is kept from slice to slice in the Python worker; what isn't in it is segmented again.
 """
 
@@ -9,8 +10,10 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -28,30 +31,46 @@ class ChunkTable:
     unsafe: for parts, as an array and as strings, whether a space beside one may lie within a token; `cut` then cuts
     the text exactly.
     first: how the first chunk of a text is marked; later ones are marked by a space.
+    pieces: a chunk's pieces, of which the tokenizer segments each by itself, or None where that isn't known; `one` gives
+    a piece's ids. The table then holds pieces in place of such chunks.
     """
 
-    def __init__(self, segment: Callable, unsafe: Callable, cut: Callable[[str], list[str]], first: str = ""):
-        self.segment, self.unsafe, self.cut, self.first = segment, unsafe, cut, first
+    def __init__(self, segment: Callable, unsafe: Callable, cut: Callable[[str], list[str]], first: str = "", pieces: Callable[[str], list[str] | None] | None = None, one: Callable[[str], bytes] | None = None):
+        self.segment, self.unsafe, self.cut, self.first, self.pieces, self.one = segment, unsafe, cut, first, pieces or (lambda chunk: None), one
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def remember(self, chunk: str, row: bytes) -> None:
+        if len(chunk) <= LONGEST:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[chunk] = row
+
+    def piece(self, piece: str) -> bytes:
+        row = self.known.get(piece)
+        if row is None:
+            row = self.older.get(piece)
+            row = self.one(piece) if row is None else row
+            self.remember(piece, row)
+        return row
+
     def table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of these chunks one after the other, where each starts, and how many it has."""
-        rows = list(map(self.known.get, chunks))
+        rows, new = list(map(self.known.get, chunks)), []
         for i in [i for i, x in enumerate(rows) if x is None]:
             if (row := self.older.get(chunks[i])) is not None:
                 self.known[chunks[i]] = rows[i] = row
-        new = [i for i, x in enumerate(rows) if x is None]
+            elif (pieces := self.pieces(chunks[i])) is not None:
+                rows[i] = b"".join(map(self.piece, pieces))
+            else:
+                new.append(i)
         if new:
             fresh = [chunks[i] for i in new]
             ids, lengths = self.segment(fresh)
             raw, ends = ids.astype(np.int32).tobytes(), (np.cumsum(lengths) * 4).tolist()
             for i, chunk, a, b in zip(new, fresh, [0, *ends], ends, strict=False):
                 rows[i] = row = raw[a:b]
-                if len(chunk) <= LONGEST:
-                    if len(self.known) >= REMEMBERED:
-                        self.known, self.older = {}, self.known
-                    self.known[chunk] = row
+                self.remember(chunk, row)
         lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
         return np.frombuffer(b"".join(rows), np.int32), np.cumsum(lengths) - lengths, lengths
 
@@ -61,7 +80,7 @@ class ChunkTable:
         n = np.diff(parts.offsets.to_numpy())
         coded = parts.flatten().dictionary_encode()
         del parts
-        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         starts = np.cumsum(n) - n
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         bad = self.unsafe(coded.dictionary, words)
@@ -221,6 +240,38 @@ def _plain(tokenizer, fits: Callable[[str], object]) -> Callable[[str], bool]:
     return lambda x: fits(x) is not None and holds(x) is None
 
 
+#: Characters of which it is sure that any library has them as letters, figures, other signs or white space: ASCII and the
+#: letters of the two Latin blocks behind it.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ſ", r"!-/:-@\[-`{-~"
+#: Fixed value: what byte-level BPE parts a text by before it merges, for these characters.
+_PARTS = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\s+(?!\S)|\s+"
+
+
+def _byte_pieces(tokenizer) -> tuple[Callable[[str], list[str] | None], Callable[[str], bytes]] | tuple[None, None]:
+    """`pieces` and `one` of a ChunkTable: parts of chunks of sure characters, merged by the library's own model.
+
+    Pieces recur where chunks don't: a word with a comma behind it, or at the end of a line, is the word again. None for a
+    tokenizer that parts texts otherwise.
+    """
+    way = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    if tokenizer.normalizer or way.get("type") != "ByteLevel" or not way["use_regex"] or way["add_prefix_space"]:
+        return None, None
+    fits, word, parts = (re.compile(x) for x in (rf"[!-~ \n{_LETTERS}]*", f" ?[{_LETTERS}]+", _PARTS))
+    added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+    holds = re.compile("|".join(map(re.escape, added))).search if added else lambda chunk: None
+    seen = [chr(i) for i in range(0x180) if fits.fullmatch(chr(i))]
+    # The library's signs for the bytes of each character.
+    signs = str.maketrans({x: "".join(y for y, _ in tokenizer.pre_tokenizer.pre_tokenize_str(x)) for x in seen})
+    merge = tokenizer.model.tokenize
+
+    def pieces(chunk: str) -> list[str] | None:
+        if word.fullmatch(chunk) and not holds(chunk):
+            return [chunk]
+        return parts.findall(chunk) if fits.fullmatch(chunk) and not holds(chunk) else None
+
+    return pieces, lambda piece: array("i", [x.id for x in merge(piece.translate(signs))]).tobytes()
+
+
 @functools.lru_cache(1)
 def byte_bpe(name: str = "byte_bpe_50k.json") -> ChunkTable:
     """Byte-level BPE: a space goes with the word behind it, so a chunk is a space and what follows."""
@@ -232,7 +283,7 @@ def byte_bpe(name: str = "byte_bpe_50k.json") -> ChunkTable:
         return [head, *(" " + x for x in rest)]
 
     plain = _plain(t, re.compile(r" ?\S+(?:\n\S+)*").fullmatch)
-    return ChunkTable(_joined(t, "\n", newline[0], plain), _loose, cut)
+    return ChunkTable(_joined(t, "\n", newline[0], plain), _loose, cut, "", *_byte_pieces(t))
 
 
 @functools.lru_cache(1)
