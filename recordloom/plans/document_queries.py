@@ -17,7 +17,7 @@ from recordloom.operators import history
 from recordloom.operators import relational as ops
 from recordloom.plans import adoption, change, integrity, planning, report
 from recordloom.sources.records import Records
-from recordloom.sources.snapshot import with_folders
+from recordloom.sources.snapshot import overlay, overlay_refs, with_contents, with_folders
 from recordloom.sources.stored import written
 
 QUERIES: dict[str, Callable] = {}
@@ -214,3 +214,48 @@ def deterministic_texts(table, spark: SparkSession) -> DataFrame:
     json_ = report.as_json({"zero": F.lit(None).cast("string"), "name": F.col("p_name"), "size": F.col("p_size"), "brand": F.col("p_brand")})
     unix = t.unix_ends(F.concat("p_name", F.lit("\r\n"), "p_brand", F.lit("\r\r\n")).cast("binary")).cast("string")
     return table("part").select(F.col("p_partkey").alias("k"), json_.alias("json"), unix.alias("unix"))
+
+
+#: A base of files for each nation, and what each customer's case has in their place or besides: contents of its own, and
+#: some that many cases share.
+_CASE = {"nation": ("concat('nations/', c_nationkey, '.json')", "c_name", "c_custkey % 3 = 0"), "segment": ("concat('own/', c_mktsegment, '.md')", "c_mktsegment", "c_custkey % 5 = 0")}
+_OWN = " UNION ALL ".join(f"SELECT c_custkey AS k, {path} AS path, {text} AS text FROM customer WHERE {where}" for path, text, where in _CASE.values())
+
+
+def _cases(customer: DataFrame, files: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """repo_id, path and content of the cases' own files; path, text and condition of each kind."""
+    own = F.array(*(F.when(F.expr(where), F.struct(F.expr(path).alias("path"), F.expr(text).cast("binary").alias("content"))) for path, text, where in files.values()))
+    return customer.select(F.concat(F.lit("c"), "c_custkey").alias("repo_id"), F.explode(own).alias("f")).where("f IS NOT NULL").select("repo_id", "f.*")
+
+
+@_query(f"""
+WITH own AS ({_OWN}), base AS (SELECT 'nations/' || n_nationkey || '.json' AS path, n_name AS text FROM nation),
+files AS (SELECT * FROM own UNION ALL SELECT c_custkey, path, text FROM customer, base WHERE NOT (c_custkey % 3 = 0 AND path = 'nations/' || c_nationkey || '.json'))
+SELECT 'c' || k AS repo_id, count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, sha256(string_agg(path || ':' || sha256(text), chr(10) ORDER BY path)) AS tree_sha256 FROM files GROUP BY k
+""")
+def conformance_overlays(table, spark: SparkSession) -> DataFrame:
+    """Each customer's case over one base of nations: its files, bytes of contents, and a digest of its tree."""
+    base = table("nation").select(F.concat(F.lit("nations/"), "n_nationkey", F.lit(".json")).alias("path"), F.col("n_name").cast("binary").alias("content"))
+    over = _cases(table("customer"), _CASE | {"meta": ("'meta.json'", "c_name", "true")})
+    files = with_contents(*overlay_refs(base, over))
+    line = F.concat("path", F.lit(":"), F.sha2("content", 256))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"])
+    return files.groupBy("repo_id").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("content")).alias("n_bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("tree_sha256"))
+
+
+_MUST = "must be semantic"
+_CHECKED = {
+    "meta": ("'meta.json'", f"""concat('{{"expect": "', CASE WHEN c_custkey % 4 < 2 THEN 'reject' ELSE 'accept' END, '", "fragment": "', CASE WHEN c_custkey % 8 = 1 THEN 'missing' ELSE '{_MUST}' END, '"}}')""", "true"),
+    "version": ("'VERSION'", "CASE WHEN c_custkey % 4 = 2 THEN '2.0.1' ELSE concat('v', c_nationkey) END", "c_custkey % 4 <> 3 OR c_custkey % 3 = 0"),
+}
+
+
+@_query("SELECT 'c' || c_custkey AS \"case\", CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN c_custkey % 8 <> 1 WHEN 2 THEN true ELSE c_custkey % 3 <> 0 END AS passed, CAST(c_custkey % 4 < 2 OR (c_custkey % 4 = 3 AND c_custkey % 3 = 0) AS BIGINT) AS n_problems FROM customer")
+def conformance_verdicts(table, spark: SparkSession) -> DataFrame:
+    """Each customer's case, judged by the rule of versions, against what its manifest expects."""
+    over = _cases(table("customer"), _CHECKED)
+    region, content = table("region"), lambda x: x.cast("binary").alias("content")
+    base = region.select(F.concat(F.lit("regions/"), "r_regionkey", F.lit(".md")).alias("path"), content(F.col("r_name"))).unionByName(region.select(F.lit("VERSION").alias("path"), content(F.lit("1.0.0"))).distinct())
+    expected = over.where("path = 'meta.json'").select("repo_id", F.from_json(F.decode("content", "UTF-8"), "expect string, fragment string").alias("m")).select("repo_id", "m.*")
+    r = Records(with_folders(overlay(base, over)), keep=False)
+    return integrity.verdicts(expected, r, integrity.version(r, "2026-07-26"))

@@ -12,6 +12,9 @@ from recordloom.functions import text as t
 from recordloom.model import TREE
 from recordloom.operators.relational import union_all
 
+#: Cases, about, for which one task copies a content.
+CASES = 1024
+
 
 def with_folders(files: DataFrame) -> DataFrame:
     """tree from (repo_id, path, content): folders are the prefixes of the paths; a path ending in `/` is an empty folder."""
@@ -46,15 +49,33 @@ def from_texts(spark: SparkSession, repos: Mapping[str, Mapping[str, str | bytes
     return with_folders(spark.createDataFrame(rows, TREE).drop("is_dir"))
 
 
-def overlay(base: DataFrame, over: DataFrame, skip: str = "meta.json") -> DataFrame:
-    """Files (repo_id, path, content) of cases: a case's own files replace those of the base; `skip` is dropped.
+def overlay_refs(base: DataFrame, over: DataFrame, skip: str = "meta.json") -> tuple[DataFrame, DataFrame]:
+    """Files of cases by content address: (repo_id, path, digest, part) and the contents (digest, content), each once.
 
-    base has the files of one repository, without repo_id; over has those of all cases, one row at least for each.
+    base has the files of one repository, without repo_id; over has those of all cases, one row at least for each. A
+    case's own files replace those of the base; `skip` is dropped. Cases are dealt to parts of about CASES, by which the
+    base's rows of digests meet them; contents stay where they are. A file without content has no digest.
     """
     cases = over.select("repo_id").distinct()
+    parts = -(-max(1, cases.count()) // CASES)
+    part, digest = F.pmod(F.xxhash64("repo_id"), F.lit(parts)).cast("int").alias("part"), F.sha2("content", 256).alias("digest")
     own = over.where((F.col("path") != skip) & F.col("path").isNotNull())
-    under = cases.crossJoin(F.broadcast(base.select("path", "content"))).join(own.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-    return under.select("repo_id", "path", "content").unionByName(own.select("repo_id", "path", "content"))
+    dealt = base.select("path", digest, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    under = cases.select("repo_id", part).join(dealt, "part").join(own.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    files = under.select("repo_id", "path", "digest", "part").unionByName(own.select("repo_id", "path", digest, part))
+    contents = base.select(digest, "content").unionByName(own.select(digest, "content"))
+    return files, contents.where("digest IS NOT NULL").groupBy("digest").agg(F.first("content").alias("content"))
+
+
+def with_contents(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """Files (repo_id, path, content) from overlay_refs: a content goes once to each part of cases that has it."""
+    wanted = files.where("digest IS NOT NULL").select("digest", "part").distinct()
+    return files.join(contents.join(wanted, "digest"), ["digest", "part"], "left").select("repo_id", "path", "content")
+
+
+def overlay(base: DataFrame, over: DataFrame, skip: str = "meta.json") -> DataFrame:
+    """Files (repo_id, path, content) of cases over a base, as overlay_refs has them, with their contents."""
+    return with_contents(*overlay_refs(base, over, skip))
 
 
 def text_lines(files: DataFrame) -> DataFrame:

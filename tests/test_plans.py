@@ -185,6 +185,20 @@ def test_overlay_and_folders(spark):
     assert rows(tree.where("is_dir and repo_id = 'c1'"), "path") == [(".",), ("a",)]
 
 
+def test_overlay_of_parts_and_equal_contents(spark, monkeypatch):
+    monkeypatch.setattr(snapshot, "CASES", 7)
+    own = spark.createDataFrame([("a", b"1"), ("b", b"1"), ("e/", None)], "path string, content binary")
+    over = spark.createDataFrame([(f"c{k}", "b" if k % 2 else None, b"same" if k % 2 else None) for k in range(60)], "repo_id string, path string, content binary")
+    files, contents = snapshot.overlay_refs(own, over)
+    assert contents.count() == 2 and files.select("part").distinct().count() > 5
+    out = snapshot.with_contents(files, contents)
+    want = sorted((f"c{k}", p, c) for k in range(60) for p, c in (("a", "1"), ("b", "same" if k % 2 else "1"), ("e/", None)))
+    assert rows(out.select("repo_id", "path", F.decode("content", "UTF-8").alias("text")), "repo_id", "path", "text") == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert snapshot.overlay(own, over.limit(0)).count() == 0
+
+
 def test_load_from_folders(spark, tmp_path):
     (tmp_path / "work").mkdir()
     (tmp_path / "VERSION").write_text("1.0.0\n")
