@@ -9,6 +9,10 @@ ordered sequence of identifiers, which matches where they stand one after anothe
 matches from those behind it; the last ones match only where nothing else has. Rules and sentences are fixed parameters,
 so the whole scan is a projection: nothing is shuffled.
 
+Of an SPDX tag each name of its expression is a sentence, parted at OR, AND and WITH; names of exceptions aren't known, and
+a + behind a name isn't read. The target of a Markdown link is no part of a sentence. The title of a full text of the GNU
+licences names it, and takes the sentences of its appendix, which tell how to grant it and don't grant it.
+
 Cases: a null or empty text has no sentence and no licence; repeated rows have equal results; of rules of one length the
 earlier one goes first; an empty table gives an empty one; other columns of the input, whatever their names, are
 ignored; very long texts are scanned whole.
@@ -16,6 +20,7 @@ ignored; very long texts are scanned whole.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -107,6 +112,7 @@ Unlicense: unlicense
 Zlib: zlib license
 BSL-1.0: boost software license version 1 0
 EPL-2.0: eclipse public license 2 0
+EPL-2.0: eclipse public license v 2 0
 PostgreSQL: postgresql license
 CDDL-1.0: common development and distribution license version 1 0
 MS-PL: microsoft public license
@@ -127,6 +133,17 @@ CC-BY-NC-SA-4.0: creative commons attribution noncommercial sharealike 4 0 inter
 CC-BY-NC-ND-4.0: cc by nc nd 4 0
 CC-BY-NC-ND-4.0: creative commons attribution noncommercial noderivatives 4 0 international license
 """
+#: SPDX names beside those above, of the licences that have versions only, or later ones.
+_GNU = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+_TAGGED = tuple(f"{name}-{kind}" for name in _GNU for kind in ("only", "or-later"))
+#: Titles of full texts, normalised, and the identifiers of their appendices.
+_TITLES = (
+    ("GPL-2.0", "gnu general public license version 2 june 1991", "gnu.free gpl.terms gnu2.later"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007", "gpl3.later"),
+    ("LGPL-2.1", "gnu lesser general public license version 2 1 february 1999", "gnu.free lgpl.terms gnu21.later"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007", ""),
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007", "agpl3.later"),
+)
 #: Licences by rules of identifiers in order.
 _RULES = """
 MIT: mit.grant mit.keep mit.as_is mit.liability
@@ -182,6 +199,8 @@ CDDL-1.0: cddl.notice
 MS-PL: mspl.governs mspl.accept
 """
 #: What stands before a licence's name in a notice; rules that match only where no other has; a name that varies.
+#: How a normalised SPDX tag begins; what parts its names; words that don't part them, and how they stand in for it.
+_SPDX, _BETWEEN, _LATER = "spdx license identifier ", " (?:or|and|with) ", (" or later", " orlater")
 _FRAMES = ("", "licensed under ", "released under ", "distributed under ", "available under ", "this work is licensed under ", "this project is licensed under ", "this software is licensed under ", "this file is licensed under ", "this software is released under ", "this program is licensed under ")
 _ALONE = (("Proprietary", ("reserved",)),)
 _VARIES = ("neither the name of ", "^neither the name of .+ nor the names of (?:its|their) contributors", "neither the name of the copyright holder nor the names of its contributors")
@@ -198,20 +217,27 @@ def known_sentences() -> dict[str, str]:
         for frame in _FRAMES:
             for article in ("", "a ", "the ") if frame else ("", "the "):
                 out.setdefault(f"{frame}{article}{called}", f"{name}.notice")
-        out.setdefault("spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower()), f"{name}.notice")
-    return out
+        out.setdefault(_tag(name), f"{name}.notice")
+    out |= {_tag(name): f"{name}.notice" for name in _TAGGED}
+    return out | {title: f"{name}.title" for name, title, _ in _TITLES}
+
+
+def _tag(name: str) -> str:
+    return _SPDX + re.sub("[^a-z0-9]+", " ", name.lower()).replace(*_LATER)
 
 
 def licence_rules() -> tuple[tuple[str, tuple[str, ...]], ...]:
     """Licence and identifiers: the longest first, else in the order given, notices last."""
     own = [(name, tuple(ids.split(" "))) for name, ids in _pairs(_RULES)]
-    own += [(name, (f"{name}.notice",)) for name in dict.fromkeys(n for n, _ in _pairs(_NAMES))]
+    for name, _, appendix in _TITLES:
+        own += [(name, (f"{name}.title", *ids)) for ids in ([appendix.split(" "), ()] if appendix else [()])]
+    own += [(name, (f"{name}.notice",)) for name in dict.fromkeys([*(n for n, _ in _pairs(_NAMES)), *_TAGGED])]
     return tuple(sorted(own, key=lambda r: -len(r[1])))
 
 
 #: A part, within a word, of every known sentence, so that texts without any of them needn't be cut.
 _HINT = r"(?i)licen[cs]e|redistribut|rights|permission|liable|advertising|software|either|mpl|cc0|spdx|[^a-z0-9]by[^a-z0-9]"
-_CUTS = ((r"\r\n?", "\n"), (r"\n(?:[^A-Za-z0-9\n]*\n)+", "\x01"), (r"([.!?;])[\"')\]]*[ \t\n\x01]+", "\\1\x01"))
+_CUTS = ((r"\]\([^)\s]*\)", "]"), (r"\r\n?", "\n"), (r"\n(?:[^A-Za-z0-9\n]*\n)+", "\x01"), (r"([.!?;])[\"')\]]*[ \t\n\x01]+", "\\1\x01"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -222,31 +248,42 @@ def sentences(text: Column) -> Column:
     return F.split(text, "\x01")
 
 
-def normalised(sentence: Column) -> Column:
-    out = F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
-    out = F.regexp_replace(out, "^[0-9]{1,2} ", "")
-    return F.when(F.startswith(out, F.lit(_VARIES[0])), F.regexp_replace(out, _VARIES[1], _VARIES[2])).otherwise(out)
+def normalised(sentences: Column) -> Column:
+    """The sentences of an array, normalised; one expression after another, so that each is evaluated once."""
+    plain = F.transform(sentences, lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")), "^[0-9]{1,2} ", ""))
+    return F.transform(plain, lambda s: F.when(F.startswith(s, F.lit(_VARIES[0])), F.regexp_replace(s, _VARIES[1], _VARIES[2])).otherwise(s))
+
+
+def _named(sentence: Column) -> Column:
+    """A normalised sentence as it is, an SPDX tag as one for each name."""
+    names = F.split(F.replace(F.substring(sentence, len(_SPDX) + 1, 1 << 30), *map(F.lit, _LATER)), _BETWEEN)
+    return F.when(F.startswith(sentence, F.lit(_SPDX)), F.transform(names, lambda x: F.concat(F.lit(_SPDX), x))).otherwise(F.array(sentence))
+
+
+def _constant(value, kind: str) -> Column:
+    """A constant array or map, made by one expression, which the optimiser folds, in place of one for each value."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules=None, alone=_ALONE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentence_ids (known ones in order), first_at (place of the sentence with the first, from 0) and licenses (sorted)."""
     known, rules = known_sentences() if known is None else known, licence_rules() if rules is None else rules
-    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     none = F.array().cast("array<string>")
-    is_known = lambda x: x.isin(*known)  # noqa: E731  a look into a hash set; the map is searched for known ones alone
-    ids = lambda own: F.transform(F.filter(own, is_known), lambda x: F.element_at(table, x))
-
-    def of(sentence: Column) -> Column:
-        lines = lambda: ids(F.transform(F.split(sentence, "\n"), normalised))
-        whole = ids(F.array(normalised(sentence)))
-        return F.when((F.size(whole) == 0) & F.contains(sentence, F.lit("\n")), lines()).otherwise(whole)
+    quoted = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in known) or "NULL"
+    # A look into a hash set; the map is searched for known sentences alone.
+    only_known = lambda column: F.expr(f"transform({column}, own -> filter(own, x -> x IN ({quoted})))")
 
     df = id_and_text(docs, id_col, text_col)
     df = df.select("doc_id", F.when(F.col("text").rlike(_HINT), sentences(F.col("text"))).otherwise(none).alias("own"))
-    df = df.select("doc_id", F.transform("own", of).alias("found"))
-    df = df.select("doc_id", F.flatten("found").alias("sentence_ids"), F.array_position(F.transform("found", lambda x: F.size(x) > 0), F.lit(True)).alias("at"))
+    df = df.select("doc_id", "own", F.transform(normalised(F.col("own")), _named).alias("named"))
+    df = df.select("doc_id", "own", only_known("named").alias("whole"))
+    by_line = lambda s, i: F.when((F.size(F.get("whole", i)) == 0) & F.contains(s, F.lit("\n")), F.flatten(F.transform(normalised(F.split(s, "\n")), _named))).otherwise(none)
+    df = df.select("doc_id", "whole", F.transform("own", by_line).alias("lines"))
+    df = df.select("doc_id", F.zip_with("whole", only_known("lines"), lambda a, b: F.concat(a, b)).alias("found"))
+    table = _constant(known, "map<string, string>")
+    df = df.select("doc_id", F.transform(F.flatten("found"), lambda x: F.element_at(table, x)).alias("sentence_ids"), F.array_position(F.transform("found", lambda x: F.size(x) > 0), F.lit(True)).alias("at"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
-    steps = F.array(*(F.struct(F.lit(_pattern(i)).alias("ids"), F.lit(name).alias("name"), F.lit(last).alias("alone")) for last, own in ((False, rules), (True, alone)) for name, i in own))
+    steps = _constant([{"ids": _pattern(i), "name": name, "alone": last} for last, own in ((False, rules), (True, alone)) for name, i in own], "array<struct<ids: string, name: string, alone: boolean>>")
     start = F.struct(line.alias("line"), none.alias("licenses"))
     fits = lambda acc, r: F.contains(acc["line"], r["ids"]) & (~r["alone"] | (F.size(acc["licenses"]) == 0))
     taken = lambda acc, r: F.struct(F.replace(acc["line"], r["ids"], F.lit(",.,")).alias("line"), F.array_append(acc["licenses"], r["name"]).alias("licenses"))
@@ -264,10 +301,11 @@ def _sql() -> str:
     values = ", ".join(f"('{k}', '{v}')" for k, v in known_sentences().items())
     norm = lambda x: f"regexp_replace(trim(regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), '^[0-9]{{1,2}} ', '')"
     fixed = lambda x: f"CASE WHEN starts_with({x}, '{_VARIES[0]}') THEN regexp_replace({x}, '{_VARIES[1]}', '{_VARIES[2]}') ELSE {x} END"
+    named = lambda x: f"CASE WHEN starts_with({x}, '{_SPDX}') THEN list_transform(string_split_regex(replace(substr({x}, {len(_SPDX) + 1}), '{_LATER[0]}', '{_LATER[1]}'), '{_BETWEEN}'), lambda t: '{_SPDX}' || t) ELSE [{x}] END"
     cut = "coalesce(text, '')"
     for pattern, by in _CUTS:
         quoted = pattern.replace("'", "''")
-        target = "'\\1' || chr(1)" if "\\1" in by else "chr(1)" if by == "\x01" else "chr(10)"
+        target = "'\\1' || chr(1)" if "\\1" in by else "chr(1)" if by == "\x01" else "chr(10)" if by == "\n" else f"'{by}'"
         cut = f"regexp_replace({cut}, '{quoted}', {target}, 'g')"
     took = "".join(f", replace(l{k}, '{_pattern(i)}', ',.,') AS l{k + 1}" for k, (_, i) in enumerate(rules))
     names = ", ".join(f"CASE WHEN contains(l{k}, '{_pattern(i)}') THEN '{name}' END" for k, (name, i) in enumerate(rules))
@@ -277,11 +315,13 @@ WITH known(s, id) AS (VALUES {values}),
 c AS (SELECT doc_id, string_split({cut}, chr(1)) AS own FROM documents),
 e AS (SELECT doc_id, unnest(own) AS raw, generate_subscripts(own, 1) AS p FROM c),
 n AS (SELECT doc_id, p, raw, {norm("raw")} AS s FROM e),
-w AS (SELECT doc_id, p, raw, id FROM (SELECT doc_id, p, raw, {fixed("s")} AS s FROM n) LEFT JOIN known USING (s)),
-x AS (SELECT doc_id, p, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS q FROM w WHERE id IS NULL AND contains(raw, chr(10))),
+w AS (SELECT doc_id, p, raw, {named(fixed("s"))} AS names FROM n),
+v AS (SELECT doc_id, p, 0 AS q, r, id FROM (SELECT doc_id, p, unnest(names) AS s, generate_subscripts(names, 1) AS r FROM w) JOIN known USING (s)),
+x AS (SELECT doc_id, p, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS q FROM w ANTI JOIN v USING (doc_id, p) WHERE contains(raw, chr(10))),
 y AS (SELECT doc_id, p, q, {norm("line")} AS s FROM x),
-z AS (SELECT doc_id, p, q, id FROM (SELECT doc_id, p, q, {fixed("s")} AS s FROM y) JOIN known USING (s) UNION ALL SELECT doc_id, p, 0, id FROM w WHERE id IS NOT NULL),
-g AS (SELECT doc_id, list(id ORDER BY p, q) AS ids, min(p) - 1 AS first_at FROM z GROUP BY doc_id),
+l AS (SELECT doc_id, p, q, {named(fixed("s"))} AS names FROM y),
+z AS (SELECT doc_id, p, q, r, id FROM (SELECT doc_id, p, q, unnest(names) AS s, generate_subscripts(names, 1) AS r FROM l) JOIN known USING (s) UNION ALL SELECT * FROM v),
+g AS (SELECT doc_id, list(id ORDER BY p, q, r) AS ids, min(p) - 1 AS first_at FROM z GROUP BY doc_id),
 f AS (SELECT *, ',' || array_to_string(ids, ',,') || ',' AS l0{took} FROM g),
 r AS (SELECT doc_id, ids, first_at, list_filter([{names}], lambda x: x IS NOT NULL) AS named, list_filter([{last}], lambda x: x IS NOT NULL) AS rest FROM f)
 SELECT d.doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, CAST(first_at AS BIGINT) AS first_at,

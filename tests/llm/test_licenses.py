@@ -93,6 +93,29 @@ CASES = {
 }
 
 
+GPL3_TEXT = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for software.\n"
+GPL2_TEXT = GPL3_TEXT.replace("Version 3, 29 June 2007", "Version 2, June 1991")
+tag = "SPDX-License-Identifier: {}".format
+CASES |= {
+    "spdx later": ("// " + tag("GPL-2.0-or-later") + "\nint x;", ["GPL-2.0-or-later"]), "spdx only": ("# " + tag("LGPL-2.1-only"), ["LGPL-2.1-only"]), "spdx expression": (tag("(MIT OR Apache-2.0)"), ["Apache-2.0", "MIT"]),
+    "spdx and": ("/* " + tag("GPL-3.0-or-later AND BSD-2-Clause") + " */", ["BSD-2-Clause", "GPL-3.0-or-later"]), "spdx with": (tag("GPL-2.0-only WITH Classpath-exception-2.0"), ["GPL-2.0-only"]), "spdx unknown": (tag("NOT-A-NAME OR Other"), []),
+    "spdx in a header": ("/*\n * Copyright 2020 X\n * " + tag("Apache-2.0 OR GPL-2.0-or-later") + "\n */", ["Apache-2.0", "GPL-2.0-or-later"]),
+    "gpl 3 text": (GPL3_TEXT, ["GPL-3.0"]), "gpl 2 text": (GPL2_TEXT, ["GPL-2.0"]), "gpl 3 text and appendix": (GPL3_TEXT + "\n  To do so, attach the following notices to the program.\n\n" + textwrap.indent(GPL3, "    "), ["GPL-3.0"]),
+    "gpl 2 text and appendix": (GPL2_TEXT + "\n\n" + GPL2, ["GPL-2.0"]), "lgpl 2.1 text": ("GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999\n\nCopyright", ["LGPL-2.1"]), "agpl text": ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nx", ["AGPL-3.0"]),
+    "link": ("## License\nReleased under the [MIT License](LICENSE).", ["MIT"]), "epl title": ("Eclipse Public License - v 2.0\n\n    THE PROGRAM", ["EPL-2.0"]), "near 7": ("It may not be licensed under the MIT license.", []), "near 8": ("MIT-0", []),
+}
+
+
+def test_sql_has_the_same_rows_of_texts_as_printed(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, x) for k, (x, _) in CASES.items()])
+    got = {r["doc_id"]: (",".join(r["sentence_ids"]), r["first_at"], ",".join(r["licenses"])) for r in L.scan(spark.createDataFrame([(k, x) for k, (x, _) in CASES.items()], "doc_id string, text string")).collect()}
+    assert got == {k: tuple(x) for k, *x in con.sql(f"SELECT doc_id, sentence_ids, first_at, licenses FROM ({L.SQL})").fetchall()}
+
+
 def test_texts_as_printed(spark):
     rows = [(k, x, "k") for k, (x, _) in CASES.items()]
     got = {r["doc_id"]: r["licenses"] for r in L.scan(spark.createDataFrame(rows, "doc_id string, text string, licenses string")).collect()}
