@@ -43,6 +43,17 @@ def test_overlaps_owners_prefixes(spark):
     assert rows(ops.most_specific(texts, prefixes, "text", "prefix", "to")) == [(None, None), ("a/b/c", "2"), ("a/x", "1"), ("ab", None)]
 
 
+def test_overlaps_of_a_value_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(ops, "BLOCK", 4)
+    own = {i: sorted({"hot", f"s{i % 3}"} if i % 5 else {f"s{i % 3}", f"t{i % 2}"}) for i in range(40)}
+    m = spark.createDataFrame([("r", f"i{i:02}", s, i) for i, own_ in own.items() for s in own_], "repo string, item string, scope string, o int")
+    found = ops.overlaps(m, ["repo"], "item", "scope", "o")
+    assert rows(found) == sorted(("r", f"i{i:02}", f"i{j:02}", sorted(set(own[i]) & set(own[j]))) for i in own for j in own if i < j and set(own[i]) & set(own[j]))
+    # Pairs are told as the join makes them: no aggregate gathers them anew.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate")
+
+
 def test_the_index_of_patterns_finds_what_each_of_them_matches(spark):
     import fnmatch
     import random
