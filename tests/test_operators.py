@@ -69,6 +69,19 @@ def test_the_index_of_patterns_finds_what_each_of_them_matches(spark):
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_globs_that_share_a_folder_are_filed_under_their_rarest_word(spark):
+    from recordloom.functions import text as t
+
+    paths = spark.createDataFrame([(f"area/m{i % 7}/f{i}.py",) for i in range(300)], "path string")
+    globs = spark.createDataFrame([(f"o{i % 3}", f"*/m{i % 7}/f{i}.*") for i in range(300)] + [("all", "area/*.py")] * 50, "id string, glob string")
+    assert rows(ops.owners(paths, globs, "path")) == sorted((f"area/m{i % 7}/f{i}.py", ["all", f"o{i % 3}"]) for i in range(300))
+    # Keys of folders alone would hold each path against 300 globs.
+    keys = globs.distinct().select("glob", F.explode(t.glob_keys("glob")).alias("key"))
+    assert keys.where("key = 'wf7'").select("glob").collect() == [("*/m0/f7.*",)]
+    near = [n for n in ops.glob_hits(paths, globs, "path")._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in n]
+    assert any("_key" in n and "_head" in n and "RLIKE" in n for n in near)
+
+
 def test_occurrences_of_many_names(spark):
     from recordloom.operators import dictionary
 
