@@ -252,3 +252,17 @@ def test_shipped_schemas_take_the_sound_repository(spark):
 
     r = Records(snapshot.from_texts(spark, {"a": base(), "b": base() | evidence(result="unknown")}))
     assert rows(integrity.schemas(r, schemas.SHIPPED), "repo_id", "message") == [("b", "schema result: 'unknown' is not one of ['passed', 'failed', 'partial', 'blocked']")]
+
+
+def test_records_of_files_keep_the_files_alone(spark):
+    from recordloom.plans import record_queries
+
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    files = record_queries.fleet(table)
+    assert files._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1  # lines are gathered once
+    kept = Records.of_files(snapshot.from_texts(spark, {"a": base(), "b": base() | {"work/active/009-x/work-item.json": "[1]"}}).where("not is_dir").select("repo_id", "path", "content"))
+    plain = records(spark, a=base(), b=base() | {"work/active/009-x/work-item.json": "[1]"})
+    assert "text" not in kept.work.columns
+    assert rows(kept.tree, "repo_id", "path", "text", "is_dir") == rows(plain.tree, "repo_id", "path", "text", "is_dir")
+    assert rows(kept.repos) == rows(plain.repos) and rows(kept.items, "repo_id", "id", "missing") == rows(plain.items, "repo_id", "id", "missing")
+    kept.release()
