@@ -6,18 +6,26 @@ grows with the logarithm of a history's length, and takes in chains, branches th
 branches. Only what is left, commits whose children hang on several, is walked from the heads step by step; merges across
 branches are few in any history, and a step takes all repositories at once.
 
+Most of that needs no rounds: commits are dealt to blocks of BLOCK rows in the log's own order, in which parents are near,
+and each block is settled by one task in one pass. The rounds go on with the commits that have a child in another block or
+hang on several; a log without any order leaves all of them to the rounds.
+
 commits: (repo_id, id, parents); parents that aren't commits themselves (of a shallow clone) are left out, a null list is
 an empty one. Each round is a written table. An id is told apart within its repository.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.operators import relational as ops
 from recordloom.sources.stored import written
 
+#: Rows of a log that are settled together.
+BLOCK = 1 << 16
+
 
 def edges_of(commits: DataFrame) -> DataFrame:
     """repo_id, child and parent."""
@@ -36,15 +44,85 @@ def _jumped(hangs: DataFrame) -> DataFrame:
             return hangs.drop("moved")
 
 
+def _blocks(commits: DataFrame) -> DataFrame:
+    """commits with the block of each row, as a written table."""
+    if "block" in commits.columns:
+        return commits
+    return written(commits.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}")), "blocks")
+
+
+def _settle(rows: pa.Table) -> pa.Table:
+    """Of one block's rows (repo_id, id, fixed, child): each commit with what it hangs on, null where no head is above, and with
+    itself if that isn't known here; then the edges (child, parent) to those that hang on themselves.
+    """
+    key = {}  # numbers of the block's commits, then of children elsewhere
+    repo = rows.column("repo_id").to_pylist()
+    own = [key.setdefault(x, len(key)) for x in zip(repo, rows.column("id").to_pylist(), strict=True)]
+    n, fixed, links = len(key), set(), set()
+    for v, r, c, f in zip(own, repo, rows.column("child").to_pylist(), rows.column("fixed").to_pylist(), strict=True):
+        if f:
+            fixed.add(v)
+        if c is not None:
+            links.add((key.setdefault((r, c), len(key)), v))
+    children, parents, waits = [[] for _ in range(n)], [[] for _ in range(n)], [0] * n
+    for c, v in links:
+        children[v].append(c)
+        if c < n:
+            parents[c].append(v)
+            waits[v] += 1
+    on = [*range(len(key))]
+    todo = [v for v in range(n) if not waits[v]]
+    while todo:  # children first
+        v = todo.pop()
+        if v not in fixed:
+            above = {on[c] for c in children[v]} - {None}
+            one = next(iter(above)) if len(above) == 1 else v
+            on[v] = None if not above else one if one < n else v
+        for p in parents[v]:
+            waits[p] -= 1
+            if not waits[p]:
+                todo.append(p)
+    names = [*key]
+    edges = {(on[c], v) for v in range(n) if on[v] == v for c in children[v] if on[c] is not None}
+    out = [(*names[v], names[on[v]][1] if on[v] is not None else None, v in fixed, None) for v in range(n)] + [(names[v][0], names[c][1], None, None, names[v][1]) for c, v in edges]
+    kind = rows.schema.field("id").type
+    schema = pa.schema([("repo_id", rows.schema.field("repo_id").type), ("id", kind), ("on", kind), ("fixed", pa.bool_()), ("parent", kind)])
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _settled(commits: DataFrame, fixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo_id, id, on, fixed) of all commits, settled within their blocks, and (repo_id, child, parent) of the edges left."""
+    key = ["repo_id", "id"]
+    own, kind = _blocks(commits), lambda c: commits.schema[c].dataType.simpleString()
+    links = own.select("repo_id", F.explode("parents").alias("id"), F.col("id").alias("child"))
+    rows = own.groupBy(*key).agg(F.min("block").alias("block")).join(links, key, "left").join(fixed.withColumn("fixed", F.lit(True)), key, "left")
+    done = rows.groupBy("block").applyInArrow(_settle, f"repo_id {kind('repo_id')}, id {kind('id')}, on {kind('id')}, fixed boolean, parent {kind('id')}")
+    done = written(done, "settled")
+    nodes, edges = done.where("parent IS NULL").drop("parent"), done.where("parent IS NOT NULL").select("repo_id", "id", "parent")
+    edges = nodes.where("on IS NOT NULL").drop("fixed").join(edges, key).select("repo_id", F.col("on").alias("child"), "parent").distinct()
+    return nodes, edges
+
+
 def anchors(commits: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repo_id, id, on) of the commits that hang on another, and (repo_id, child, parent) between those that don't.
 
     heads (repo_id, id) never hang, and what hangs on a commit can be reached from a head just where that commit can.
     Branches that end in no head are taken away, with all that hangs on them.
     """
-    edges, key = written(edges_of(commits), "edges"), ["repo_id", "id"]
+    key = ["repo_id", "id"]
     fixed = written(heads.select(*key).distinct(), "heads")
-    loose = written(commits.select(*key).distinct().join(fixed, key, "left_anti"), "loose")  # neither a head, nor hanging, nor taken away
+    nodes, edges = _settled(commits, fixed)
+    edges = written(edges, "edges")
+    loose = written(nodes.where("id = on AND NOT fixed").select(*key), "loose")  # neither a head, nor hanging, nor taken away
+    hangs, kernel = _rounds(edges, loose, fixed)
+    up = hangs.select("repo_id", F.col("id").alias("on"), F.col("on").alias("up"))
+    below = nodes.where("id <> on").join(up, ["repo_id", "on"], "left").select(*key, F.coalesce("up", "on").alias("on"))
+    return hangs.unionByName(below), kernel
+
+
+def _rounds(edges: DataFrame, loose: DataFrame, fixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """anchors of a graph by its edges, its commits but for the heads, and the heads: rounds of joins."""
+    key = ["repo_id", "id"]
     hangs = dead = loose.limit(0)
     hangs = hangs.withColumn("on", F.col("id"))
     while True:
@@ -93,6 +171,7 @@ def statistics(commits: DataFrame, heads: DataFrame, tags: DataFrame) -> DataFra
     commits has an author as well; tags: (repo_id, tag, id). The latest tag is the one from which the fewest of the head's
     commits can't be reached, of equal ones the greatest name. A repository whose head is no commit has none, and nulls.
     """
+    commits = _blocks(commits)
     head = heads.select("repo_id", "id").distinct()
     tagged = tags.select("repo_id", "tag", "id").distinct()
     reached = reachable(commits, head.select("repo_id", F.lit("").alias("label"), "id"))
@@ -115,6 +194,6 @@ def _last_tags(commits: DataFrame, own: DataFrame, seen: DataFrame) -> DataFrame
     """
     stops = seen.select("repo_id", "id").distinct()
     cut = commits.join(own, ["repo_id", "id"], "left_semi").join(stops.withColumn("stop", F.lit(True)), ["repo_id", "id"], "left")
-    cut = cut.select("repo_id", "id", F.when(F.col("stop"), F.array().cast(commits.schema["parents"].dataType)).otherwise(F.col("parents")).alias("parents"))
+    cut = cut.select("repo_id", "id", "block", F.when(F.col("stop"), F.array().cast(commits.schema["parents"].dataType)).otherwise(F.col("parents")).alias("parents"))
     top = cut.select("repo_id", "id").join(edges_of(commits.join(own, ["repo_id", "id"], "left_semi")).select("repo_id", F.col("parent").alias("id")), ["repo_id", "id"], "left_anti")
     return reachable(cut, top.select("repo_id", F.lit("").alias("label"), "id")).join(stops, ["repo_id", "id"], "left_semi").select("repo_id", "id")

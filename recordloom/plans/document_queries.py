@@ -138,13 +138,13 @@ own AS (SELECT repo_id, id FROM reach WHERE label = 'top')
 def _history(table) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Commits of orders, and the heads top (the last commit) and side (the last one of a branch that was not merged)."""
     w = Window.partitionBy(F.col("o_custkey") % 5).orderBy("o_orderkey")
-    own = table("orders").select(F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("repo_id"), F.row_number().over(w).alias("n"), F.concat(F.lit("c"), "o_orderkey").alias("id"), F.concat(F.lit("a"), "o_custkey").alias("author"))
+    own = table("orders").select(F.concat(F.lit("r"), F.col("o_custkey") % 5).alias("repo_id"), F.row_number().over(w).alias("n"), F.concat(F.lit("c"), "o_orderkey").alias("id"), F.concat(F.lit("a"), "o_custkey").alias("author"), "o_custkey", "o_orderkey")
     own = own.withColumn("decade", F.expr("(n - n % 10) div 10"))
-    before = F.when(F.col("n") % 10 == 5, 4).when(F.col("n") % 10 == 7, 3).otherwise(1)
-    merged = F.when((F.col("n") % 10 == 0) & (F.col("decade") % 5 != 3), 4).when((F.col("n") % 10 == 8) & (F.col("decade") % 7 == 2), 3)
-    links = own.select("repo_id", "id", F.explode(F.array_compact(F.array(before, merged))).alias("back"), "n").withColumn("n", F.col("n") - F.col("back"))
-    parents = links.join(own.select("repo_id", "n", F.col("id").alias("parent")), ["repo_id", "n"]).groupBy("repo_id", "id").agg(F.collect_set("parent").alias("parents"))
-    commits = own.join(parents, ["repo_id", "id"], "left").select("repo_id", "id", "author", "parents", "n", "decade")
+    back = {k: F.lag("id", k).over(w) for k in (1, 3, 4)}
+    before = F.when(F.col("n") % 10 == 5, back[4]).when(F.col("n") % 10 == 7, back[3]).otherwise(back[1])
+    merged = F.when((F.col("n") % 10 == 0) & (F.col("decade") % 5 != 3), back[4]).when((F.col("n") % 10 == 8) & (F.col("decade") % 7 == 2), back[3])
+    # The log stays in its order, as one comes from version control.
+    commits = own.select("repo_id", "id", "author", F.array_compact(F.array(before, merged)).alias("parents"), "n", "decade")
     commits = written(commits, "commits")
     top = commits.groupBy("repo_id").agg(F.max_by("id", "n").alias("id"))
     return commits, top, commits.where("n % 10 = 6 AND decade % 5 = 2").groupBy("repo_id").agg(F.max_by("id", "n").alias("id"))

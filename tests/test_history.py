@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from recordloom.operators import history
 from recordloom.plans import change
+from recordloom.sources.stored import written
 from tests.conftest import rows
 
 
@@ -42,6 +45,33 @@ def test_reachable_commits_and_merge_bases(spark):
     assert {tuple(r) for r in history.merge_bases(commits, reached, "x", "y").collect()} == want and ("two", 1) in want and ("two", 2) in want
 
 
+def test_a_log_in_order_is_settled_in_blocks(spark, monkeypatch):
+    # A line of blocks: each commit is written a few times in all, not once in each round of jumps.
+    n, rows_written = 600, []
+
+    def counted(df, name):
+        out = written(df, name)
+        rows_written.append(out.count())
+        return out
+
+    monkeypatch.setattr(history, "BLOCK", 16)
+    monkeypatch.setattr(history, "written", counted)
+    commits, named = tables(spark, {"line": {k: [k - 1] for k in range(1, n + 1)}}, [("line", "x", n)])
+    assert history.reachable(commits, named).count() == n
+    assert sum(rows_written) < 6 * n
+
+
+def test_blocks_in_any_order(spark, monkeypatch):
+    # Blocks of seven rows, in the log's order and in none; a commit twice is one.
+    monkeypatch.setattr(history, "BLOCK", 7)
+    repos, heads = {"a": graph(5, 60, 4), "b": graph(6, 50, 3)}, [("a", "x", 60), ("a", "y", 63), ("b", "x", 50), ("b", "y", 25)]
+    commits, named = tables(spark, repos, heads)
+    want = {(r, label, k) for r, label, h in heads for k in walk(repos[r], h)}
+    for log in (commits, commits.unionByName(commits.limit(9)).orderBy(F.xxhash64("id"))):
+        reached = history.reachable(log, named)
+        assert {tuple(r) for r in reached.collect()} == want and reached.count() == len(want)
+
+
 def test_statistics(spark):
     repos = {"a": graph(3, 50, 3), "none": {1: []}}
     commits, _ = tables(spark, repos, [("a", "x", 50)])
