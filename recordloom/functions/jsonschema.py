@@ -1,7 +1,8 @@
 """JSON Schemas as data: a schema is rows, one for each of its parts, and documents walk them level by level.
 
-compiled() turns distinct schema texts into rows (digest, node, checks, steps). A node is a part of a schema, named by its
-JSON pointer; its checks are keywords with their arguments, its steps lead to the nodes that hold for a value's members,
+compiled() turns distinct schema texts into rows (digest, node, deep, again, checks, steps). A node is a part of a schema,
+named by its JSON pointer; deep is its least level in a walk, again whether it may come at later ones too, so a level meets
+the nodes that can stand at it and no others; its checks are keywords with their arguments, its steps lead to the nodes that hold for a value's members,
 elements or the value itself. errors() joins values with the nodes at which they stand, evaluates all checks of a node by
 one expression over VARIANT, and goes on with what the steps give, until nothing is left. So the number of schemas is a
 number of rows, never of branches of a plan, and a schema that half of all documents share is an ordinary skewed key of a
@@ -16,6 +17,7 @@ into the same schema, true and false. Others, format too, are ignored. A $ref to
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from recordloom.sources.stored import written
 
 _CHECK = "struct<keyword: string, shown: string, number: double, names: array<string>, more: array<string>, numbers: array<double>>"
 _STEP = "struct<kind: string, key: string, names: array<string>, more: array<string>, target: string, how: string, nth: int, shown: string>"
-_NODE = f"digest string, node string, checks array<{_CHECK}>, steps array<{_STEP}>"
+_NODE = f"digest string, node string, deep int, again boolean, checks array<{_CHECK}>, steps array<{_STEP}>"
 
 
 # --- schemas as rows -------------------------------------------------------
@@ -136,20 +138,48 @@ def nodes_of(schema: dict | bool) -> Iterator[tuple[str, list[dict], list[dict]]
         yield node, checks, steps
 
 
+def _levels(nodes: list[tuple[str, list[dict], list[dict]]]) -> dict[str, tuple[int, bool]]:
+    """deep and again of each node, the root first."""
+    to = {node: [s["target"] for s in steps] for node, _, steps in nodes}
+    deep, level = {"#": 0}, ["#"]
+    while level:
+        after = []
+        for node in level:
+            for x in to[node]:
+                if x not in deep:
+                    deep[x] = deep[node] + 1
+                    after.append(x)
+        level = after
+    again, todo = set(), [x for node in to for x in to[node] if deep[x] != deep[node] + 1]
+    while todo:  # what lies below such a node comes again as well
+        x = todo.pop()
+        if x not in again:
+            again.add(x)
+            todo += to[x]
+    return {node: (deep[node], node in again) for node in to}
+
+
 def compiled(texts: DataFrame) -> DataFrame:
     """The rows of distinct schemas (digest, text), as a written table; a text that is no JSON takes no value."""
 
     def run(batches):
         for batch in batches:
-            rows = []
+            # Equal lists of checks and steps, as most schemas have them, are made into columns once.
+            heads, parts, own = [], {}, []
             for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     schema = json.loads(text)
                 except ValueError:
                     schema = False
-                rows += [{"digest": digest, "node": node, "checks": checks, "steps": steps} for node, checks, steps in nodes_of(schema)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+                nodes = list(nodes_of(schema))
+                levels = _levels(nodes)
+                for node, checks, steps in nodes:
+                    heads.append((digest, node, *levels[node]))
+                    own.append(parts.setdefault(json.dumps((checks, steps)), (len(parts), checks, steps))[0])
+            if heads:
+                columns = [pa.array(x, t) for x, t in zip(zip(*heads, strict=True), arrow.types, strict=False)]
+                columns += [pa.array([x[k] for x in parts.values()], arrow.types[3 + k]).take(pa.array(own)) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     arrow = to_arrow_schema(StructType.fromDDL(_NODE))
     return written(texts.select("digest", "text").dropDuplicates(["digest"]).mapInArrow(run, _NODE), "schemas")
@@ -295,16 +325,16 @@ def errors(values: DataFrame, nodes: DataFrame) -> DataFrame:
     at most; there are as many as the deepest path through a schema, and through a document where a schema refers to itself.
     """
     rows, found, frames = values.where("v IS NOT NULL").select("doc", "digest", F.lit("#").alias("node"), F.lit("").alias("at"), F.lit("").alias("frame"), "v"), [], []
-    while True:
-        level = written(_level(rows, nodes), "walk")
+    for deep in itertools.count():
+        level = written(_level(rows, nodes.where((F.col("deep") == deep) | (F.col("again") & (F.col("deep") < deep))).drop("deep", "again")), "walk")
         found.append(level.select("doc", "frame", F.explode("errors").alias("e")).select("doc", "frame", "e.*"))
         onward = level.select("doc", "digest", "node", "at", "told", F.col("frame").alias("outer"), F.explode("onward").alias("o"))
         frames.append(onward.where("o.how <> ''").select("doc", "outer", F.concat_ws("\x01", "outer", "at", "node").alias("place"), "at", "told", "o.frame", "o.how", "o.nth", "o.branch"))
         if level.where(F.size("onward") > 0).isEmpty():
             break
         rows = onward.select("doc", "digest", "o.node", "o.at", "o.frame", "o.v")
-    deep = lambda c: F.size(F.split(c, "\x01"))
-    return _settled(_union(found).withColumn("deep", deep("frame")), _union(frames).withColumn("deep", deep("frame"))).select("doc", F.when(F.col("at") == "", "<root>").otherwise(F.col("at")).alias("location"), "message")
+    inside = lambda c: F.size(F.split(c, "\x01"))
+    return _settled(_union(found).withColumn("deep", inside("frame")), _union(frames).withColumn("deep", inside("frame"))).select("doc", F.when(F.col("at") == "", "<root>").otherwise(F.col("at")).alias("location"), "message")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

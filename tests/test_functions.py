@@ -131,3 +131,14 @@ def test_schemas_are_rows(spark):
     assert told[13] == {("0", "1 is not of type 'string'"), ("2", "0.25 is not a multiple of 0.5"), ("3", "9 is greater than the maximum of 7"), ("3", "9 is greater than or equal to the maximum of 9"), ("4", "8 is greater than the maximum of 7"), ("<root>", "[1, None, 0.25, 9, 8] is too long")}
     assert told[14] == {("1", "None was expected")}
     assert told[15] == {("a", "Unresolvable reference #/none for 1"), ("b", "False schema does not allow 2")} and told[16] == root("False schema does not allow 1")
+
+
+def test_a_level_meets_its_own_nodes_alone(spark):
+    # `long` is reached by ways of two and of four steps; below it nodes come again, elsewhere each has one level.
+    text = {"properties": {"a": {"$ref": "#/$defs/long"}, "b": {"items": {"properties": {"c": {"$ref": "#/$defs/long"}}}}, "d": {"minimum": 3}}, "$defs": {"long": {"items": {"minLength": 2}}}, "allOf": [{"required": ["e"]}]}
+    nodes = jsonschema.compiled(spark.createDataFrame([("s", json.dumps(text))], "digest string, text string"))
+    levels = {r["node"]: (r["deep"], r["again"]) for r in nodes.collect()}
+    assert levels["#"] == (0, False) and levels["#/properties/d"] == levels["#/allOf/0"] == (1, False) and levels["#/$defs/long"] == (2, True) and levels["#/$defs/long/items"] == (3, True)
+    doc = spark.createDataFrame([(1, "s", json.dumps({"a": ["x"], "b": [{"c": ["xx", "y"]}], "d": 1, "e": 0}))], "doc int, digest string, text string")
+    found = jsonschema.errors(doc.select("doc", "digest", F.try_parse_json("text").alias("v")), nodes)
+    assert sorted((r["location"], r["message"]) for r in found.collect()) == [("a/0", "'x' is too short"), ("b/0/c/1", "'y' is too short"), ("d", "1 is less than the minimum of 3")]
