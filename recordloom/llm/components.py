@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Links, at most, that one task takes: then a round needs no shuffle.
+FEW = 1 << 16
+
+
 def components(links: DataFrame, rounds: int = 50, hot_least: int = 1 << 20) -> DataFrame:
     """node and component (its smallest node) of each node of links (a, b).
 
     Large-star and small-star in turn (Kiveris et al. 2014) until the links no longer change; each round is written, so
     lost executors cost at most that round. Nodes link to ever smaller ones; a star's centre is met by grouped minima and,
-    where there are `hot_least` links, by hot_lookup, so no task gathers a component. An empty table gives an empty one. Raises
+    where there are `hot_least` links, by hot_lookup, so no task gathers a component but where all links are FEW. An empty table gives an empty one. Raises
     RuntimeError where the links still change after `rounds` rounds.
     """
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     known, n = None, links.count()
     look = lambda rows, table: hot_lookup(rows, written(table, "least"), "a", "n") if n >= hot_least else rows.join(table.drop("n"), "a")
     for _ in range(rounds):
+        links = links.coalesce(1) if n <= FEW else links
         # Large star: larger neighbours link to the smallest of a node and its neighbours.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n")

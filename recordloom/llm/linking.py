@@ -4,7 +4,8 @@ Candidates are rows with a key in common. Each row is first compared with the le
 with. From then on only keys matter that rows of several components share. As long as over LARGE rows share one, there
 are rounds: its rows are dealt to blocks of BLOCK at most, another way each time, and each takes the first row of its
 block, of another component, whose sketch allows a link, so that a large group of copies is linked by a few comparisons
-of each of its rows. When a round doesn't link a tenth of its pairs, or no such key is left, all pairs of rows of
+of each of its rows; a key that is one block is dealt once, since it would be the same block again. When a round doesn't
+link a tenth of its pairs, or no such key is left, all pairs of rows of
 different components that still share a key are held against each other by their sketches within tasks, two blocks at a
 time; those whose sketches allow a link, and only these, leave the task to be verified. No pair is left out, no key is
 capped, and no task holds more than two blocks.
@@ -108,10 +109,11 @@ def linked(entries: DataFrame, nodes: DataFrame, possible: Possible, verify: Cal
     while True:
         # Keys that rows of several components share.
         several = written(left.groupBy("h").agg(F.count("*").alias("n"), F.min("met").alias("low"), F.max("met").alias("high")).where("low < high").select("h", "n"), "several")
-        if several.where(F.col("n") > LARGE).isEmpty():
+        large = several.where(F.col("n") > (BLOCK if k else LARGE))
+        if large.isEmpty():
             break
         k += 1
-        dealt = left.join(several.where(F.col("n") > LARGE), "h").withColumn("block", F.pmod(F.xxhash64("row", F.lit(k)), F.ceil(F.col("n") / BLOCK)))
+        dealt = left.join(large, "h").withColumn("block", F.pmod(F.xxhash64("row", F.lit(k)), F.ceil(F.col("n") / BLOCK)))
         near = _by_blocks(dealt.join(nodes, "row").select("h", "block", "row", "met", "place", F.lit(2).alias("side"), "sketch"), _forest(possible), "a bigint, b bigint, c bigint, d bigint")
         # One pair of each two components.
         taken = near.groupBy(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(F.min(F.struct("a", "b")).alias("t"))
