@@ -15,6 +15,7 @@ from recordloom.functions import text as t
 from recordloom.plans import fleet, integrity, planning, research
 from recordloom.plans.record_queries import _records
 from recordloom.sources.records import Records
+from recordloom.sources.stored import spread
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -149,7 +150,7 @@ _RESEARCH = {
 
 
 def papers(table) -> DataFrame:
-    base = table("supplier").selectExpr("s_suppkey AS k", "concat('m', s_suppkey) AS repo_id")
+    base = spread(table("supplier").selectExpr("s_suppkey AS k", "concat('m', s_suppkey) AS repo_id"), "k")
     each = F.array(*(F.struct(F.lit(path).alias("path"), F.expr(text).alias("text")) for path, text in _RESEARCH.items()))
     return _files(base.select("repo_id", F.explode(each).alias("f")).where("f.text is not null").select("repo_id", "f.path", "f.text"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recordloom.plans import adoption, change, doctor, integrity, planning, report
 from recordloom.plans.record_queries import _records
 from recordloom.sources.records import Records
+from recordloom.sources.stored import spread
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -63,7 +64,7 @@ _P = "SELECT repo_id, {path} AS path, {say} AS message, '{rule}' AS rule_id, {of
 
 def fleet(table) -> DataFrame:
     """repo_id, path and content of all files."""
-    base = table("supplier").selectExpr(*(f"{e} AS {c}" for c, e in _BASE.items()))
+    base = spread(table("supplier").selectExpr(*(f"{e} AS {c}" for c, e in _BASE.items())), "k")
     each = F.array(*(F.struct(F.lit(path).alias("path"), F.expr(text).alias("text")) for path, text in FILES.items()))
     return base.select("repo_id", F.explode(each).alias("f")).where("f.text is not null").select("repo_id", "f.path", F.col("f.text").cast("binary").alias("content"))
 

@@ -30,6 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys to all of the session's cores, at least: for a small table, one split of a file, that makes many files."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), *keys)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Deletes the tables written so far, when no result that rests on them is needed any more."""
     while _written:

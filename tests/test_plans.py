@@ -277,3 +277,25 @@ def test_entries_of_one_glob_are_told_each_once(spark):
     # Pairs of paths and entries come from the last join; only paths and globs are made distinct before it.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Aggregate")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_tables_that_make_many_files_are_dealt_to_all_cores(spark):
+    from recordloom.plans import fleet_queries, repository_queries
+
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    assert repository_queries.fleet(table).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert fleet_queries.papers(table).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_front_matter_parts_a_text_once(spark):
+    from recordloom.functions import text as t
+
+    given = [("---\na: 1\nb: x: y\n a : 2\n\n---\nrest: 3",), ("---\na: 1",), ("---\nodd\n---\n",), ("x",), ("",), (None,), ("---\n---",), (" --- \nk:\n---\n",)]
+    df = spark.createDataFrame(given, "text string").select(t.front_matter("text").alias("m"))
+    assert [r["m"] for r in df.collect()] == [{"a": "2", "b": "x: y"}, None, None, None, None, None, {}, {"k": ""}]
+    many = spark.range(1).selectExpr("concat('---\\na: ', id, '\\n---') AS text").select(t.front_matter("text").alias("m"))
+    assert _plan(many).count("split(") == 1
