@@ -47,7 +47,7 @@ def missing_files(wanted: DataFrame, r: Records) -> DataFrame:
 def next_ids(r: Records, kind: str) -> DataFrame:
     """repo_id and next_id of a kind of records: work (3 digits), decisions (4) or policies (3)."""
     width = {"work": 3, "decisions": 4, "policies": 3}[kind]
-    name = r.work.select("repo_id", F.col("dir_name").alias("name")) if kind == "work" else getattr(r, kind).select("repo_id", "name")
+    name = r.manifest_files.select("repo_id", F.col("dir_name").alias("name")) if kind == "work" else getattr(r, kind).select("repo_id", "name")
     top = name.groupBy("repo_id").agg(F.max(F.regexp_extract("name", r"^(\d+)-", 1).try_cast("bigint")).alias("n"))
     n = (F.coalesce("n", F.lit(0)) + 1).cast("string")
     return r.repos.join(top, "repo_id", "left").select("repo_id", F.lpad(n, F.greatest(F.lit(width), F.length(n)), F.lit("0")).alias("next_id"))

@@ -35,7 +35,7 @@ def _query(*parts: str, of: Callable):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            return f(_records(of(table)), table)
+            return f(_records(of(table), held=True), table)
 
         QUERIES[f.__name__] = run
         SQL[f.__name__] = _CTE + "\n" + "\nUNION ALL ".join(parts)

@@ -283,6 +283,25 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_only_files_that_are_asked_for_are_rendered(spark):
+    from recordloom.plans import record_queries
+
+    r = Records.of_files(record_queries.fleet(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")))
+    assert "l_orderkey" in _plan(r.manifests)
+    for df in (r.repos, adoption.next_ids(r, "work"), integrity.orphans(r, AS_OF)):
+        assert "l_orderkey" not in _plan(df)
+    assert "o_orderkey" not in _plan(r.below("evidence")) and "o_orderkey" not in _plan(r.one("governance/owners.json"))
+    assert "s_suppkey" not in _plan(r.manifests)
+    r.release()
+
+
+def test_orphans_are_told_in_one_pass(spark):
+    tree = {f"work/{p}": "x" for p in ("active/a/README.md", "active/b/_audit/x.md", "b/AGENTS.md", "_c/README.md", "active/.d/README.md", "active/e/sub/README.md", "README.md", "active/README.md", "f/notes.md", "g/README.md", "g/work-item.json", "active/h/README.md", "active/h/work-item.json")}
+    own = integrity.orphans(records(spark, r=tree), AS_OF)
+    assert rows(own, "path") == [("work/active/a",), ("work/active/b",), ("work/b",)]
+    assert "Join" not in _plan(own)
+
+
 def test_small_tables_that_make_many_files_are_dealt_to_all_cores(spark):
     from recordloom.plans import fleet_queries, repository_queries
 
