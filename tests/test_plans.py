@@ -302,6 +302,15 @@ def test_orphans_are_told_in_one_pass(spark):
     assert "Join" not in _plan(own)
 
 
+def test_criteria_are_judged_within_their_manifest(spark):
+    given = [{"id": i, "text": "x", "state": s, "evidence": []} for i, s in (("AC-1", "satisfied"), ("AC-2", "pending"), ("AC-1", "pending"), (None, "pending"))]
+    r = records(spark, r=base() | item("300", "active", _slug="busy", acceptance_criteria=given) | {"work/active/300-busy/README.md": "- [x] **AC-1** a\n- [x] **AC-2** b\n- [ ] **AC-1** c\n"})
+    at = "path like '%300-busy%'"
+    assert rows(integrity.criteria(r, AS_OF).where(at).where("rule_id = 'W5'"), "path", "subject") == [("work/active/300-busy/work-item.json", "300")] * 2
+    assert rows(integrity.checkboxes(r, AS_OF).where(at), "path", "message") == [("work/active/300-busy/README.md", f"criterion {x}") for x in (" has no checkbox in README", "AC-1 is satisfied but its README checkbox is unchecked", "AC-2 is pending but its README checkbox is checked")]
+    assert "Window" not in _plan(integrity.criteria(r, AS_OF))
+
+
 def test_small_tables_that_make_many_files_are_dealt_to_all_cores(spark):
     from recordloom.plans import fleet_queries, repository_queries
 
