@@ -41,6 +41,9 @@ def later_occurrences(table, spark: SparkSession) -> DataFrame:
   WHERE l_shipdate < o_orderdate GROUP BY l_orderkey, l_linenumber""")
 def dates_out_of_order(table, spark: SparkSession) -> DataFrame:
     lines, orders = table("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), table("orders").select("o_orderkey", "o_orderdate")
+    # A join sorts what a task holds, so that isn't left to the size of the shuffled bytes.
+    n = ops.tasks_for(lines)
+    lines, orders = lines.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).where("l_shipdate < o_orderdate").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
@@ -134,7 +137,7 @@ def overlap_pairs(table, spark: SparkSession) -> DataFrame:
   WHERE o_orderstatus = 'F' AND l_linestatus = 'O' GROUP BY o_orderkey""")
 def completeness_conditional(table, spark: SparkSession) -> DataFrame:
     orders = table("orders").where("o_orderstatus = 'F'").select("o_orderkey")
-    still = table("lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("open_lines"))
+    still = ops.counted(table("lineitem").where("l_linestatus = 'O'").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"], "open_lines")
     return orders.join(still, "o_orderkey")
 
 

@@ -21,6 +21,18 @@ def test_reference_and_key_operators(spark):
     assert rows(ops.zero_filled(a, spark.createDataFrame([(2,), (5,)], "k int"), ["k"])) == [(2, 2), (5, 0)]
 
 
+def test_memory_of_counts_does_not_grow_with_the_split(spark, monkeypatch):
+    """One split of keys that occur once or twice and one frequent key: no partial counts of all that a task reads."""
+    monkeypatch.setattr(ops, "TASK_ROWS", 100)
+    a = spark.range(0, 1000, 1, 1).select(F.when(F.col("id") < 990, F.col("id") % 980).when(F.col("id") < 999, 7).alias("k"), F.lit("x").alias("v"))
+    assert rows(ops.duplicates(a, ["k", "v"])) == sorted([(7, "x", 11), *((k, "x", 2) for k in range(10) if k != 7)], key=lambda r: str(r[0]))
+    found = ops.duplicates(a, ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    deepest = {x: max(i for i, line in enumerate(plan) if x in line) for x in ("HashAggregate", "Exchange")}
+    assert deepest["HashAggregate"] < deepest["Exchange"], plan
+    assert ops.tasks_for(a) == 10 and found.rdd.getNumPartitions() == 10  # small partitions aren't put together again
+
+
 def test_carry_forward_carries_null(spark):
     df = spark.createDataFrame([(1, "a", True), (2, "x", False), (3, None, True), (4, "y", False)], "p int, v string, s boolean").withColumn("g", F.lit(1))
     assert [r["c"] for r in ops.carry_forward(df, ["g"], ["p"], F.col("s"), F.col("v"), "c").orderBy("p").collect()] == ["a", "a", None, None]
