@@ -24,6 +24,19 @@ import pyarrow.compute as pc
 REMEMBERED, LONGEST = 250_000, 64
 
 
+def _joined_rows(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+    return np.frombuffer(b"".join(rows), np.int32), np.cumsum(lengths) - lengths, lengths
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat that begin there, one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    place = np.repeat((begin - (ends - sizes)).astype(np.int32), sizes)
+    place += np.arange(len(place), dtype=np.int32)
+    return flat[place], ends
+
+
 class ChunkTable:
     """encode(texts) gives all ids and each text's offsets into them.
 
@@ -33,10 +46,12 @@ class ChunkTable:
     first: how the first chunk of a text is marked; later ones are marked by a space.
     pieces: a chunk's pieces, of which the tokenizer segments each by itself, or None where that isn't known; `one` gives
     a piece's ids. The table then holds pieces in place of such chunks.
+    parted: for an array of chunks, which of them it parts, their pieces one after the other, and where each begins; the
+    same pieces as `pieces` gives, by array operations, and each distinct one is looked up once for a slice.
     """
 
-    def __init__(self, segment: Callable, unsafe: Callable, cut: Callable[[str], list[str]], first: str = "", pieces: Callable[[str], list[str] | None] | None = None, one: Callable[[str], bytes] | None = None):
-        self.segment, self.unsafe, self.cut, self.first, self.pieces, self.one = segment, unsafe, cut, first, pieces or (lambda chunk: None), one
+    def __init__(self, segment: Callable, unsafe: Callable, cut: Callable[[str], list[str]], first: str = "", pieces: Callable[[str], list[str] | None] | None = None, one: Callable[[str], bytes] | None = None, parted: Callable[[pa.Array], tuple] | None = None):
+        self.segment, self.unsafe, self.cut, self.first, self.pieces, self.one, self.parted = segment, unsafe, cut, first, pieces or (lambda chunk: None), one, parted
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -56,6 +71,30 @@ class ChunkTable:
 
     def table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of these chunks one after the other, where each starts, and how many it has."""
+        if not self.parted or not chunks:
+            return self.looked_up(chunks)
+        done, pieces, first = self.parted(pa.array(chunks, pa.string()))
+        flat, begin, length = self.looked_up([chunks[i] for i in np.flatnonzero(~done).tolist()])
+        if not len(first):
+            return flat, begin, length
+        coded = pieces.dictionary_encode()
+        at, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = list(map(self.known.get, names))
+        for i in [i for i, x in enumerate(rows) if x is None]:
+            row = self.older.get(names[i])
+            rows[i] = row = self.one(names[i]) if row is None else row
+            self.remember(names[i], row)
+        own, starts, sizes = _joined_rows(rows)
+        ids, ends = _gathered(own, starts[at], sizes[at])
+        # Places and lengths of both kinds, in the order of the chunks.
+        starts, lengths = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        edges = np.append(np.append(0, ends)[first], len(ids))
+        starts[done], lengths[done] = edges[:-1], np.diff(edges)
+        starts[~done], lengths[~done] = begin + len(ids), length
+        return np.concatenate([ids, flat]), starts, lengths
+
+    def looked_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`table` of chunks that aren't parted by array operations."""
         rows, new = list(map(self.known.get, chunks)), []
         for i in [i for i, x in enumerate(rows) if x is None]:
             if (row := self.older.get(chunks[i])) is not None:
@@ -71,8 +110,7 @@ class ChunkTable:
             for i, chunk, a, b in zip(new, fresh, [0, *ends], ends, strict=False):
                 rows[i] = row = raw[a:b]
                 self.remember(chunk, row)
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        return np.frombuffer(b"".join(rows), np.int32), np.cumsum(lengths) - lengths, lengths
+        return _joined_rows(rows)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -107,7 +145,7 @@ class ChunkTable:
         del inner, coded
         keys += [" " + words[i] for i in kept.tolist()]
         code[kept] = np.arange(len(kept))
-        if odd.any() or self.first != " ":
+        if odd.any():
             index.update(zip(keys, range(len(keys)), strict=True))
         seq = code[at]
         if self.first != " ":
@@ -127,11 +165,7 @@ class ChunkTable:
         del at, words, index
         flat, begin, length = self.table(keys)
         del keys
-        sizes = length[seq]
-        ends = np.cumsum(sizes)
-        place = np.repeat((begin[seq] - (ends - sizes)).astype(np.int32), sizes)
-        place += np.arange(len(place), dtype=np.int32)
-        ids = flat[place]
+        ids, ends = _gathered(flat, begin[seq], length[seq])
         pa.default_memory_pool().release_unused()
         return ids, np.concatenate([[0], np.append(0, ends)[np.cumsum(n)]]).astype(np.int64)
 
@@ -247,6 +281,54 @@ _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ſ", r"!-/:-@\[-`{-~"
 _PARTS = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\s+(?!\S)|\s+"
 
 
+#: Kinds of bytes of sure characters: letters (both bytes of those beyond ASCII), figures, other signs, space, line end; 0 is any other.
+_LETTER, _FIGURE, _SIGN, _SPACE, _LINE = 1, 2, 3, 4, 5
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] = _SIGN
+_KINDS[48:58] = _FIGURE
+_KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTER
+_KINDS[[32, 10]] = _SPACE, _LINE
+
+
+def _kinds(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where chunks begin and end in their bytes, these, and their kinds."""
+    at = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return at - at[0], data, _KINDS[data]
+
+
+def _parted(added: list[str]) -> Callable[[pa.Array], tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """`parted` of a ChunkTable by _PARTS, where a piece is a run of bytes of one kind, with a space before the first.
+
+    So it is in chunks of sure characters without apostrophe, without white space beside white space, and with no space
+    but the first character.
+    """
+
+    def parted(chunks: pa.Array):
+        at, data, kind = _kinds(chunks)
+        starts = at[:-1][at[1:] > at[:-1]]
+        inner = np.ones(len(data), bool)
+        inner[starts] = False
+        odd = (kind == 0) | (data == ord("'")) | ((kind == _SPACE) & inner)
+        white = kind >= _SPACE
+        odd[1:] |= inner[1:] & ((white[1:] & white[:-1]) | ((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))))
+        seen = np.append(0, np.cumsum(odd))
+        done = (seen[at[1:]] == seen[at[:-1]]) & (at[1:] > at[:-1])
+        for x in added:
+            done &= ~pc.match_substring(chunks, x).to_numpy(zero_copy_only=False)
+        if not done.any():
+            return done, None, np.zeros(0, np.int64)
+        at, data, kind = _kinds(chunks.filter(pa.array(done)))
+        begins = np.ones(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        begins[at[:-1]] = True
+        places = np.flatnonzero(begins)
+        pieces = pa.StringArray.from_buffers(len(places), pa.py_buffer(np.append(places, len(data)).astype(np.int32)), pa.py_buffer(data))
+        return done, pieces, np.searchsorted(places, at[:-1])
+
+    return parted
+
+
 def _byte_pieces(tokenizer) -> tuple[Callable[[str], list[str] | None], Callable[[str], bytes]] | tuple[None, None]:
     """`pieces` and `one` of a ChunkTable: parts of chunks of sure characters, merged by the library's own model.
 
@@ -283,7 +365,9 @@ def byte_bpe(name: str = "byte_bpe_50k.json") -> ChunkTable:
         return [head, *(" " + x for x in rest)]
 
     plain = _plain(t, re.compile(r" ?\S+(?:\n\S+)*").fullmatch)
-    return ChunkTable(_joined(t, "\n", newline[0], plain), _loose, cut, "", *_byte_pieces(t))
+    pieces, one = _byte_pieces(t)
+    parted = _parted([x.content for x in t.get_added_tokens_decoder().values()]) if pieces else None
+    return ChunkTable(_joined(t, "\n", newline[0], plain), _loose, cut, "", pieces, one, parted)
 
 
 @functools.lru_cache(1)

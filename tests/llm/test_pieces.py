@@ -36,3 +36,28 @@ def test_a_small_table_forgets_and_stays_right(monkeypatch):
 
 def test_a_tokenizer_that_parts_otherwise_has_no_pieces():
     assert chunk_table._byte_pieces(Tokenizer.from_file(chunk_table.tokenizer_path("word_bpe_49k.json"))) == (None, None)
+
+
+def test_pieces_by_array_operations_are_those_of_the_pattern():
+    chunk_table.byte_bpe.cache_clear()
+    table, rng = chunk_table.byte_bpe(), random.Random(7)
+    chunks = ["", " ", "\n", " a", " a\nb,c1é", "a\n", *("".join(rng.choices(PARTS, k=rng.randint(0, 6))) for _ in range(5000))]
+    done, pieces, first = table.parted(pa.array(chunks, pa.string()).slice(1))
+    own = [x for x, yes in zip(chunks[1:], done, strict=True) if yes]
+    pieces, ends = pieces.to_pylist(), [*first.tolist()[1:], len(pieces)]
+    assert not len(table.parted(pa.array(["it's", "漢"]))[2])
+    assert len(own) > 500 and {" ", "\n", " a\nb,c1é", "a\n"} <= set(own)
+    for chunk, a, b in zip(own, first.tolist(), ends, strict=True):
+        assert pieces[a:b] == table.pieces(chunk), chunk
+
+
+def test_each_distinct_piece_is_looked_up_once():
+    chunk_table.byte_bpe.cache_clear()
+    table, calls = chunk_table.byte_bpe(), []
+    inner = table.pieces
+    table.pieces = lambda chunk: calls.append(chunk) or inner(chunk)
+    text = " ".join(f"word{'abcdefghij'[i % 10]},\nand{'!' * i}" for i in range(300))
+    ids, _ = table.encode(pa.array([text]))
+    assert ids.tolist() == Tokenizer.from_file(chunk_table.tokenizer_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert not calls  # no chunk is parted by itself
+    chunk_table.byte_bpe.cache_clear()
