@@ -83,6 +83,18 @@ def test_the_index_of_patterns_finds_what_each_of_them_matches(spark):
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_many_globs_are_not_sent_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(ops, "FEW_ROWS", 100)
+    paths = spark.createDataFrame([(f"area/m{i % 7}/f{i}.py",) for i in range(300)], "path string")
+    globs = spark.createDataFrame([(f"o{i % 3}", f"*/m{i % 7}/f{i}.*") for i in range(300)] + [("all", "area/*.py")] * 50, "id string, glob string")
+    found = ops.owners(paths, globs, "path")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == sorted((f"area/m{i % 7}/f{i}.py", ["all", f"o{i % 3}"]) for i in range(300))
+    hits = ops.pattern_hits(paths, globs, "path")
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert rows(hits) == sorted((f"area/m{i % 7}/f{i}.py", o) for i in range(300) for o in [f"o{i % 3}"] + ["all"] * 50)
+
+
 def test_globs_that_share_a_folder_are_filed_under_their_rarest_word(spark):
     from recordloom.functions import text as t
 
