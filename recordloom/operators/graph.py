@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators.relational import sorted_if_many
+
+#: Edges of a scope, at most, that one task takes whole, and rounds in which it trims them all at once.
+WHOLE, TRIMS = 1 << 20, 16
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir and read again, so that rounds don't grow the plan.
@@ -49,6 +56,80 @@ def trimmed(edges: DataFrame, scope: str = "repo_id") -> tuple[DataFrame, int]:
 def on_cycles(edges: DataFrame, scope: str = "repo_id") -> DataFrame:
     """(scope, node, component): nodes on cycles, and the smallest node that each shares a cycle with.
 
+    A scope of WHOLE edges at most is one task's, which needs no rounds; the others go through them.
+    """
+    own = _cut(edges.select(scope, "src", "dst").dropna().distinct())
+    large = own.groupBy(scope).count().where(F.col("count") > WHOLE).select(scope)
+    kinds = {x.name: x.dataType.simpleString() for x in own.schema}
+    schema = f"{scope} {kinds[scope]}, node {kinds['src']}, component {kinds['src']}"
+    if large.isEmpty():
+        return own.groupBy(scope).applyInArrow(_knots(scope), schema)
+    few = own.join(large, scope, "left_anti").groupBy(scope).applyInArrow(_knots(scope), schema)
+    return few.unionByName(_on_cycles_by_rounds(own.join(large, scope, "left_semi"), scope))
+
+
+def _knots(scope: str):
+    """For the distinct edges of one scope: its nodes on cycles and their components' smallest nodes."""
+
+    def found(rows: pa.Table) -> pa.Table:
+        names = pc.unique(pa.chunked_array([*rows["src"].chunks, *rows["dst"].chunks]))
+        src, dst = (pc.index_in(rows[c], names).to_numpy() for c in ("src", "dst"))
+        for _ in range(TRIMS):
+            # Nodes that no edge enters, or none leaves.
+            keep = (np.bincount(dst, minlength=len(names)) > 0)[src] & (np.bincount(src, minlength=len(names)) > 0)[dst]
+            if keep.all():
+                break
+            src, dst = src[keep], dst[keep]
+        there, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        src, dst = at[: len(src)], at[len(src) :]
+        component = _strong(src, dst, len(there))
+        # A component of one node is a cycle only by an edge to itself.
+        real = np.bincount(component, minlength=len(there))[component] > 1
+        real[src[src == dst]] = True
+        nodes, component = names.take(pa.array(there[real])), component[real]
+        least = pa.table({"c": component, "node": nodes}).group_by("c").aggregate([("node", "min")])
+        component = least["node_min"].take(pc.index_in(pa.array(component), least["c"]))
+        return pa.table({scope: pc.take(rows[scope], pa.array(np.zeros(len(nodes), np.int64))), "node": nodes, "component": component})
+
+    return found
+
+
+def _strong(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes a node of its strongly connected component, the same for all of it (Tarjan's walk, without recursion)."""
+    order = np.argsort(src, kind="stable")
+    heads, starts = dst[order].tolist(), np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    at, number, low, of = starts[:-1], [-1] * n, [0] * n, [-1] * n
+    count, waiting = 0, []
+    for root in range(n):
+        path = [] if number[root] >= 0 else [root]
+        while path:
+            v = path[-1]
+            if number[v] < 0:
+                number[v] = low[v] = count
+                count += 1
+                waiting.append(v)
+            if at[v] < starts[v + 1]:
+                w = heads[at[v]]
+                at[v] += 1
+                if number[w] < 0:
+                    path.append(w)
+                elif of[w] < 0:
+                    low[v] = min(low[v], number[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == number[v]:
+                w = -1
+                while w != v:
+                    w = waiting.pop()
+                    of[w] = v
+    return np.array(of, np.int64)
+
+
+def _on_cycles_by_rounds(edges: DataFrame, scope: str) -> DataFrame:
+    """on_cycles() by rounds over all edges.
+
     Nodes off all cycles are trimmed first. Then each node takes the least node from which it can be reached, as its
     colour; of a colour, those that reach the node it is named for are one component, and are taken away; and so on with
     the edges left within colours. Every table has a row for an edge or a node, never for a pair of connected nodes;
@@ -91,14 +172,31 @@ def cycles(edges: DataFrame) -> DataFrame:
     cycles go to the walk, a task for each component, so what a task gathers is a tangle, not a graph.
     """
     tangled = _cut(on_cycles(edges))
-    a, b = tangled.select("repo_id", F.col("node").alias("src"), F.col("component").alias("_a")), tangled.select("repo_id", F.col("node").alias("dst"), F.col("component").alias("_b"))
-    inner = edges.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"]).where("_a = _b").select("repo_id", "src", "dst", "src_ord", "pos", F.col("_a").alias("component"))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        out = _closed(list(rows.sort_values(["src_ord", "pos"])[["src", "dst"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"repo_id": [rows["repo_id"].iloc[0]] * len(out), "node": [ring[-1] for ring in out], "cycle": [[*ring, ring[0]] for ring in out]})
-
-    return inner.groupBy("repo_id", "component").applyInPandas(walk, "repo_id string, node string, cycle array<string>")
+    # A component is named for its least node, so others are in it where it is more than that one.
+    several = _cut(tangled.join(tangled.where("node <> component").select("repo_id", "component").distinct(), ["repo_id", "component"], "left_semi"))
+    alone = tangled.join(sorted_if_many(several), ["repo_id", "component"], "left_anti").select("repo_id", "node", F.array("node", "node").alias("cycle"))
+    a, b = (sorted_if_many(several.select("repo_id", F.col("node").alias(c), F.col("component").alias(of))) for c, of in (("src", "component"), ("dst", "_b")))
+    inner = edges.join(a, ["repo_id", "src"]).join(b, ["repo_id", "dst"]).where("component = _b").select("repo_id", "component", "src", "dst", "src_ord", "pos")
+
+    def walked(own: list[tuple]) -> pa.RecordBatch:
+        rings = [(repo, ring[-1], [*ring, ring[0]]) for (repo, _), edges in own for ring in _closed(edges)]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip([*zip(*rings, strict=True)] or [[]] * 3, (pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], ["repo_id", "node", "cycle"])
+
+    def walk(batches):
+        # Components come one behind the other; the last one of a batch may go on in the next.
+        last = []
+        for batch in batches:
+            own = last
+            for repo, component, src, dst in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if not own or own[-1][0] != (repo, component):
+                    own.append(((repo, component), []))
+                own[-1][1].append((src, dst))
+            last = own[-1:]
+            yield walked(own[:-1])
+        yield walked(last)
+
+    dealt = inner.repartition("repo_id", "component").sortWithinPartitions("repo_id", "component", "src_ord", "pos")
+    return alone.unionByName(dealt.mapInArrow(walk, "repo_id string, node string, cycle array<string>"))
 
 
 def _closed(edges: list[tuple[str, str]]) -> list[list[str]]:

@@ -159,6 +159,28 @@ def test_components_of_cycles_against_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 30
 
 
+def test_a_scope_that_a_task_can_hold_needs_no_rounds(spark, monkeypatch):
+    pairs = [("p", i, i + 1) for i in range(60)] + [("p", 60, 20), ("q", 1, 2), ("q", 2, 1), ("q", 2, 3), ("q", 5, 5), ("q", None, 1)]
+    df = spark.createDataFrame(pairs, "repo_id string, src bigint, dst bigint")
+    want = sorted([("p", i, 20) for i in range(20, 61)] + [("q", 1, 1), ("q", 2, 1), ("q", 5, 5)])
+    with monkeypatch.context() as m:
+        m.setattr(graph, "_fixpoint", None)
+        assert sorted(map(tuple, graph.on_cycles(df).collect())) == want
+    monkeypatch.setattr(graph, "WHOLE", 4)  # p goes through rounds
+    assert sorted(map(tuple, graph.on_cycles(df).collect())) == want
+
+
+def test_components_are_walked_whole_whatever_the_batches(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        pairs = [(f"{c}{i}", f"{c}{(i + 1) % 5}") for c in "abcd" for i in range(5)] + [("e", "e")]
+        assert sorted(r["cycle"] for r in graph.cycles(edges(spark, *pairs)).collect()) == [[*(f"{c}{i}" for i in range(5)), f"{c}0"] for c in "abcd"] + [["e", "e"]]
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_patches(spark):
     assert patched(b"first\nsecond\n", b"--- a\n+++ b\n@@ -1,0 +2 @@\n+inserted\n") == b"first\ninserted\nsecond\n"
     assert patched(b"a\nb\nc\n", b"@@ -1,3 +1,3 @@\n a\n-b\n+B\n c\n") == b"a\nB\nc\n"
