@@ -279,6 +279,21 @@ def test_entries_of_one_glob_are_told_each_once(spark):
     assert plan.index("Join Inner") < plan.index("Aggregate")
 
 
+def test_provenance_keeps_the_criteria_in_their_items(spark):
+    criterion = lambda i, evidence, state="satisfied", **more: {"id": i, "text": "x", "state": state, "evidence": evidence} | more
+    files = evidence("soft", provenance="provisional") | evidence("gone", provenance="concrete")
+    files |= item("002", acceptance_criteria=[criterion("A", ["gone", "soft", "soft"]), criterion("B", ["other"]), criterion("C", None, provenance="inferred"), criterion("D", ["soft"], "waived"), criterion(None, ["soft"])])
+    files |= item("003", "active", acceptance_criteria=[criterion("A", ["soft"]), criterion("B", ["soft"])]) | item("004", "active", provenance="provisional", acceptance_criteria=[criterion("A", ["soft"])])
+    files |= item("005", provenance="inferred", acceptance_criteria=[]) | item("006", "active", acceptance_criteria=[criterion("A", ["soft"], "pending"), None])
+    r = records(spark, r=base() | files)
+    r.criteria = None  # no row for each criterion
+    rests, concrete = "completed item criterion {} rests on non-concrete evidence; ratchet it to concrete before completing (P2)", "concrete item rests on non-concrete evidence; mark it provisional/inferred or ratchet the evidence (P3)"
+    found = integrity.provenance(r, AS_OF)
+    want = [("002", rests.format("A")), ("002", rests.format("C")), ("002", rests.format("")), ("003", concrete), ("005", "item provenance 'inferred' cannot be completed; ratchet to concrete first (P2)")]
+    assert sorted(map(tuple, found.select("subject", "message").collect())) == sorted(want)
+    assert {tuple(x) for x in found.select("repo_id", "rule_id").collect()} == {("r", "J15")}
+
+
 def test_many_protected_entries_are_not_sent_through_the_driver(spark, monkeypatch):
     from recordloom.operators import relational as ops
 
