@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash_vp
-from .common import text_slices, utf8, written
+from .common import small_batches, text_slices, utf8, written
 from .components import components, hot_lookup
 
 #: Words of a shingle, least similarity of a link.
@@ -270,6 +270,12 @@ def components_of_copies(rows: DataFrame, own: DataFrame, sets: DataFrame, words
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """One row of each component of near copies, with all its columns: that of the smallest id, those without one last."""
+    with small_batches(docs.sparkSession):
+        return _kept(docs, id_col, text_col, words, similarity)
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: Fraction) -> DataFrame:
+    """keep_one(); all that goes to Python is run before this returns."""
     docs = _placed(docs)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *_place(docs))
     own = written(_described(rows, words, similarity).select(F.monotonically_increasing_id().alias("row"), "*"), "prefixes")

@@ -67,6 +67,23 @@ def test_one_of_each_group_stays(spark, tmp_path, monkeypatch, stored):
     assert near_copies.keep_one(out.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_what_no_round_has_linked_is_compared_after_them(spark, monkeypatch, rounds):
+    for name, value in (("ROUNDS", rounds), ("LARGE", 2), ("BLOCK", 4)):
+        monkeypatch.setattr(near_copies, name, value)
+    data = corpus(5)
+    out = near_copies.keep_one(spark.createDataFrame(data, SCHEMA))
+    assert sorted(r[0] for r in out.collect()) == sorted(i for _, i, _ in groups(data))
+
+
+def test_sets_go_to_python_in_small_batches(spark, monkeypatch):
+    size, seen, inner = "spark.sql.execution.arrow.maxBytesPerBatch", [], near_copies.written
+    before = spark.conf.get(size)
+    monkeypatch.setattr(near_copies, "written", lambda df, name: seen.append(int(spark.conf.get(size))) or inner(df, name))
+    assert near_copies.keep_one(spark.createDataFrame(corpus(6)[:40], SCHEMA)).count() > 1
+    assert len(seen) > 5 and max(seen) <= 16 << 20 and spark.conf.get(size) == before
+
+
 def test_the_stage_links_at_four_fifths(spark):
     own = [f"word{i}" for i in range(104)]  # 100 shingles; a changed word in the middle changes five, one at the end one
     ends = lambda k: " ".join(own[: 104 - k] + [f"z{i}" for i in range(k)])
